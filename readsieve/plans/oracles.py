@@ -265,7 +265,7 @@ SELECT name, '', length(s), md5(s), NULL, 'ok' FROM ({_DOC_RECORDS})""",
     "file_extensions": """SELECT page_id, ext AS extension, ext IN ('fastq', 'fq') AS is_read_file FROM (
 SELECT page_id, CASE WHEN length(url) - length(string_split(url, '.')[-1]) > 1 THEN string_split(url, '.')[-1] ELSE '' END
 AS ext FROM pages)""",
-    "event_flags": """WITH f AS (SELECT user_id, date_trunc('hour', ts) AS hour, bit_or(CASE event_type WHEN 'signup' THEN 2
+    "event_flags": """WITH f AS (SELECT event_id // 8 AS batch, bit_or(CASE event_type WHEN 'signup' THEN 2
 WHEN 'purchase' THEN 512 WHEN 'error' THEN 8 ELSE 4 END)::BIGINT AS flags FROM events GROUP BY ALL)
 SELECT *, CASE WHEN flags & 514 = 514 THEN 'new_file' WHEN flags & 8 = 8 THEN 'deleted' ELSE 'modified' END AS kind
 FROM f""",

@@ -284,11 +284,11 @@ def _event_flag(kind: Column) -> Column:
 
 
 def event_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Flags combined per user and hour, and what the watcher makes of them."""
+    """Flags combined over batches of eight events, and what the watcher makes of them."""
     events = table(spark, sf, "events").select(
-        "user_id", F.date_trunc("hour", "ts").alias("hour"), _event_flag(F.col("event_type")).cast("long").alias("flag")
+        F.floor(F.col("event_id") / 8).alias("batch"), _event_flag(F.col("event_type")).cast("long").alias("flag")
     )
-    combined = events.groupBy("user_id", "hour").agg(F.bit_or("flag").alias("flags"))
+    combined = events.groupBy("batch").agg(F.bit_or("flag").alias("flags"))
     return combined.withColumn("kind", files.event_kind(F.col("flags")))
 
 
