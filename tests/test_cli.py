@@ -1,0 +1,124 @@
+import json
+import logging
+import os
+from datetime import datetime
+
+import pytest
+
+from readsieve import cli, config, logs
+from readsieve.config import Config
+from tests.test_screen import REFERENCES
+
+
+@pytest.fixture
+def path(tmp_path):
+    return str(tmp_path / "config")
+
+
+def test_round_trip(path):
+    saved = Config(pid=666, white_list='a "b"')
+    config.save(saved, path)
+    assert config.load(path) == saved
+    text = open(path).read()
+    assert '  "bloom_fp_rate": 0.001000,\n' in text
+    assert list(json.loads(text)) == list(Config.__dataclass_fields__)
+    first = saved.created
+    config.save(saved, path)
+    assert saved.created == first
+
+
+def test_missing_and_unknown_keys(path):
+    with open(path, "w") as f:
+        f.write('{"pid": 5, "other": 1}')
+    assert config.load(path) == Config(pid=5)
+    with open(path, "w") as f:
+        f.write("{}")
+    with pytest.raises(ValueError):
+        config.load(path)
+
+
+def test_timestamp():
+    assert config.timestamp(datetime(2019, 2, 7, 4, 5)) == "2019-2-7:4-5"
+
+
+def test_settings_are_checked():
+    with pytest.raises(ValueError):
+        Config(bloom_fp_rate=0.0).screen_spec()
+    with pytest.raises(ValueError):
+        Config(k_size=40).screen_spec()
+
+
+def test_log_layout(tmp_path):
+    target = tmp_path / "run.log"
+    log = logs.start(str(target), silent=True)
+    log.error("broken %d", 1)
+    log.debug("quiet")
+    logs.live("quiet too")
+    logs.start(None)
+    lines = target.read_text().splitlines()
+    assert len(lines) == 1 and lines[0].endswith(" - [ERROR] broken 1")
+    logging.getLogger(logs.NAME).handlers.clear()
+
+
+def test_nothing_to_do(path, capsys):
+    assert cli.main(["--config", path]) == 1
+    assert "nothing to do" in capsys.readouterr().err
+
+
+def test_version_and_help(capsys):
+    for flag in ("-v", "-h"):
+        with pytest.raises(SystemExit) as e:
+            cli.main([flag])
+        assert e.value.code == 0
+    assert "0.0.1" in capsys.readouterr().out
+
+
+def test_settings(path, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    white = tmp_path / "w.fa"
+    white.write_text(">a\nACGT\n")
+    assert cli.main(["--config", path, f"--setWatchDir={tmp_path}", f"--setWhiteList={white}", "--setL=x.log"]) == 0
+    saved = config.load(path)
+    assert (saved.watch_directory, saved.white_list, saved.current_log_file) == (str(tmp_path), str(white), "x.log")
+    assert cli.main(["--config", path, "--setWatchDir=/no/such/dir"]) == 1
+    assert cli.main(["--config", path, "--setWhiteList=/no/such/file"]) == 1
+    assert config.load(path).watch_directory == str(tmp_path)
+    capsys.readouterr()
+    assert cli.main(["--config", path, "--getPID"]) == 0
+    assert capsys.readouterr().out == "-1\n"
+    assert cli.main(["--config", path, "--stop"]) == 1
+
+
+def test_stale_and_running_pid(path, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    config.save(Config(pid=2**22 + 5), path)
+    assert cli.main(["--config", path, "--getPID"]) == 1
+    assert config.load(path).pid == -1
+    config.save(Config(pid=os.getpid(), current_log_file="x.log"), path)
+    capsys.readouterr()
+    assert cli.main(["--config", path, "--getPID"]) == 0
+    assert capsys.readouterr().out == f"{os.getpid()}\n"
+    sent = []
+    monkeypatch.setattr(os, "kill", lambda pid, sig: sent.append((pid, int(sig))))
+    assert cli.main(["--config", path, "--stop"]) == 0
+    assert (os.getpid(), 15) in sent
+    assert config.load(path).pid == -1
+
+
+def test_start_needs_settings(path, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["--config", path, "--start"]) == 1
+
+
+def test_start_and_drain(spark, path, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "w.fa").write_text("".join(f">r{i}\n{s}\n" for i, s in enumerate(REFERENCES)))
+    seq = REFERENCES[0][100:200]
+    (tmp_path / "in" / "a.fastq").write_text(f"@x\n{seq}\n+\n{'I' * len(seq)}\n")
+    args = ["--config", path, "--start", "--drain", "--includeExisting", "--out", str(tmp_path / "out")]
+    args += [f"--setWatchDir={tmp_path / 'in'}", f"--setWhiteList={tmp_path / 'w.fa'}"]
+    assert cli.main(args, spark) == 0
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.name, row.seq_len, row.n_minima) == ("x", 100, row.intersections)
+    assert config.load(path).pid == -1
