@@ -51,8 +51,3 @@ def to_bases(col: Column, alphabet: str = TEXT) -> Column:
 def reverse_complement(bases: Column) -> Column:
     """Reverse complement of a lower-case base string; ``n`` stays ``n``."""
     return F.translate(F.reverse(bases), "acgt", "tgca")
-
-
-def base_counts(bases: Column) -> dict[str, Column]:
-    """Number of a, c, g, t and n characters of a base string."""
-    return {b: F.length(bases) - F.length(F.replace(bases, F.lit(b), F.lit(""))) for b in "acgtn"}

@@ -26,44 +26,49 @@ def key_length(k: int) -> int:
 # ---------------------------------------------------------------- k-mer codes
 
 
-def kmer_code(kmer: Column) -> Column:
-    """2-bit packed value of a lower-case acgt k-mer (k <= 31)."""
-    return F.conv(F.translate(kmer, "acgt", "0123"), 4, 10).cast("long")
+def canonical_kmer(kmer: Column) -> Column:
+    """The k-mer or its reverse complement, whichever sorts first.
 
+    Letters sort like their codes, so this is also the smaller packed value.
+    """
+    return F.least(kmer, F.translate(F.reverse(kmer), "acgt", "tgca"))
 
-def reverse_complement_code(kmer: Column) -> Column:
-    """Packed value of the k-mer's reverse complement."""
-    return F.conv(F.translate(F.reverse(kmer), "acgt", "3210"), 4, 10).cast("long")
 
-
-def canonical_code(kmer: Column) -> Column:
-    """Smaller of the packed forward and reverse-complement values."""
-    return F.least(kmer_code(kmer), reverse_complement_code(kmer))
+def kmer_code(kmer: Column) -> Column:
+    """2-bit packed value of a lower-case acgt k-mer (k <= 31)."""
+    return F.conv(F.translate(kmer, "acgt", "0123"), 4, 10).cast("long")
 
 
 # --------------------------------------------------------------------- hash64
 
 
 def hash64(code: Column, k: int) -> Column:
-    """Invertible integer mix of a packed k-mer, within 2k bits."""
+    """Invertible integer mix of a packed k-mer, within 2k bits.
+
+    Written with one product per step where that stays below 2^63, because an
+    expression that names its input several times grows with every step.
+    """
     mask = F.lit((1 << (2 * k)) - 1)
 
     def keep(c: Column) -> Column:
         return c.bitwiseAND(mask)
 
-    def plus(a: Column, b: Column) -> Column:
-        return keep(keep(a) + keep(b))
-
-    def up(c: Column, n: int) -> Column:
-        return keep(F.shiftleft(c, n))
+    def times(c: Column, factor: int) -> Column:
+        if 2 * k + factor.bit_length() <= 63:
+            return keep(c * F.lit(factor))
+        total = None
+        for n in range(factor.bit_length()):
+            if factor >> n & 1:
+                part = keep(F.shiftleft(c, n))
+                total = part if total is None else keep(total + part)
+        return total
 
     def fold(c: Column, n: int) -> Column:
         return c.bitwiseXOR(F.shiftright(c, n))
 
-    x = fold(plus(F.bitwise_not(code), up(code, 21)), 24)
-    x = fold(plus(plus(x, up(x, 3)), up(x, 8)), 14)
-    x = fold(plus(plus(x, up(x, 2)), up(x, 4)), 28)
-    return plus(x, up(x, 31))
+    first = keep(keep(F.bitwise_not(code)) + keep(F.shiftleft(code, 21)))
+    x = fold(times(fold(first, 24), 265), 14)
+    return times(fold(times(x, 21), 28), (1 << 31) + 1)
 
 
 def tag(hashed: Column, k: int) -> Column:

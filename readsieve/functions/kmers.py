@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,9 @@ def kmers(run: Column, k: int) -> Column:
         F.sequence(F.lit(1), F.length(run) - F.lit(k - 1)), lambda i: F.substring(raw, i, F.lit(k)).cast("string")
     )
     return F.when(F.length(run) >= k, cut).otherwise(F.array().cast("array<string>"))
+
+
+def kmer_rows(seqs: DataFrame, k: int, *, seq_col: str = "seq") -> DataFrame:
+    """One row (``kmer``) per complete window of a base-string column."""
+    pieces = seqs.select(F.explode(runs(F.col(seq_col))).alias("run")).where(F.length("run") >= k)
+    return pieces.select(F.explode(kmers(F.col("run"), k)).alias("kmer"))

@@ -61,22 +61,19 @@ def key_hashes(value: Column, k: int) -> tuple[Column, Column]:
     return a, murmur2(value, length, a)
 
 
-def positions(value: Column, params: BloomParams, k: int) -> Column:
-    """The key's bit positions, in the order they are probed.
+def with_positions(hashes: DataFrame, params: BloomParams, k: int) -> DataFrame:
+    """One row per hash and probe: ``i`` counts the probes, ``position`` is the bit.
 
-    The two hashes sit in a one-element array so that they are worked out once.
+    The two hashes are columns of their own, so that the second is built on the
+    first's value and not on its expression.
     """
-    a, b = key_hashes(value, k)
+    first, _ = key_hashes(F.col("hash"), k)
+    second = murmur2(F.col("hash"), key_length(k), F.col("a"))
+    keys = hashes.select("hash", first.alias("a")).select("hash", "a", second.alias("b"))
     steps = F.sequence(F.lit(0).cast("long"), F.lit(params.hashes - 1).cast("long"))
-
-    def at(pair: Column) -> Column:
-        return F.transform(
-            steps,
-            lambda i: (pair["a"] + (i * pair["b"]).bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseAND(F.lit(0xFFFFFFFF))
-            % F.lit(params.bits).cast("long"),
-        )
-
-    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), at)[0]
+    word = F.lit(0xFFFFFFFF)
+    at = (F.col("a") + (F.col("i") * F.col("b")).bitwiseAND(word)).bitwiseAND(word) % F.lit(params.bits).cast("long")
+    return keys.select("hash", "a", "b", F.explode(steps).alias("i")).select("hash", "i", at.alias("position"))
 
 
 def bit_words(hashes: DataFrame, params: BloomParams, k: int) -> DataFrame:
@@ -84,9 +81,10 @@ def bit_words(hashes: DataFrame, params: BloomParams, k: int) -> DataFrame:
 
     ``bit_or`` combines on the map side, so one word never holds up a task.
     """
-    at = hashes.select(F.explode(positions(F.col("hash"), params, k)).alias("p"))
-    bit = F.expr("shiftleft(1L, cast(p % 32 as int))")
-    return at.groupBy(F.floor(F.col("p") / 32).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    at = with_positions(hashes, params, k)
+    bit = F.expr("shiftleft(1L, cast(position % 32 as int))")
+    word = F.shiftright("position", 5)
+    return at.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def gather(words: DataFrame, params: BloomParams) -> np.ndarray:
@@ -120,10 +118,10 @@ def members(hashes: DataFrame, words: DataFrame, params: BloomParams, k: int) ->
 
     For filters of any size: neither side is gathered.
     """
-    probes = hashes.select("hash", F.explode(positions(F.col("hash"), params, k)).alias("p"))
-    hit = F.expr("shiftright(bits, cast(p % 32 as int)) & 1") == 1
+    probes = with_positions(hashes, params, k)
+    hit = F.expr("shiftright(bits, cast(position % 32 as int)) & 1") == 1
     return (
-        probes.withColumn("word", F.floor(F.col("p") / 32).cast("long"))
+        probes.withColumn("word", F.shiftright("position", 5))
         .join(words, "word")
         .where(hit)
         .groupBy("hash")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readsieve.operators.emission import UNSIGNED_K, KmerSpec, batch_minima, bottom_values
+from readsieve.operators.emission import UNSIGNED_K, KmerSpec, batch_minima, bottom_values, string_codes
 
 SKETCH_SIZE = 128
 # The dedupe table of compat mode holds fewer than this many minima.
@@ -91,6 +91,28 @@ def emitted(reads: DataFrame, spec: KmerSpec, *, id_cols: Sequence[str], seq_col
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
+def base_counts(
+    reads: DataFrame, alphabet: str, *, id_cols: Sequence[str], seq_col: str = "seq"
+) -> DataFrame:
+    """How often each base occurs in a sequence: ``n_a, n_c, n_g, n_t`` and ``n_n``."""
+    n_ids = len(id_cols)
+    names = ["n_a", "n_c", "n_g", "n_t", "n_n"]
+    schema = T.StructType(id_fields(reads, id_cols) + [T.StructField(n, T.LongType()) for n in names])
+    spec = KmerSpec(1, alphabet=alphabet)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, offsets = string_codes(batch.column(n_ids), spec)
+            counts = np.empty((len(names), batch.num_rows), dtype=np.int64)
+            for code in range(len(names)):
+                before = np.concatenate(([0], np.cumsum(codes == code)))[offsets]
+                counts[code] = np.diff(before)
+            columns = [batch.column(i) for i in range(n_ids)] + [pa.array(c) for c in counts]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return project(reads, id_cols, seq_col).mapInArrow(run, schema)
+
+
 def distinct_hashes(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq") -> DataFrame:
     """Union of the hashes all sequences emit (column ``hash``).
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readsieve.functions import files, jsons
-from readsieve.functions.bases import TEXT, base_counts, reverse_complement, to_bases
-from readsieve.functions.hashing import canonical_code, hash64, tag
-from readsieve.functions.kmers import kmers, runs, valid_windows
+from readsieve.functions.bases import TEXT, reverse_complement, to_bases
+from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
+from readsieve.functions.kmers import kmer_rows, valid_windows
 from readsieve.operators import bloom, sketch
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import kmer_count
@@ -45,16 +45,19 @@ def _documents(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
 
 
 def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences(spark, sf, "benchmark", "text", key="item_id")
+    return table(spark, sf, "benchmark").select("item_id", "text")
+
+
+def _events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return sequences(spark, sf, "events", *columns, key="event_id")
 
 
 # ------------------------------------------------------------ bases and k-mers
 
 
 def base_composition(spark: SparkSession, sf: str) -> DataFrame:
-    counts = base_counts(to_bases(F.col("text")))
-    docs = _documents(spark, sf, "lang").select("lang", *[c.alias(b) for b, c in counts.items()])
-    return docs.groupBy("lang").agg(*[F.sum(b).alias(f"n_{b}") for b in counts])
+    counts = sketch.base_counts(_documents(spark, sf, "lang"), TEXT, id_cols=["lang"], seq_col="text")
+    return counts.groupBy("lang").agg(*[F.sum(c).alias(c) for c in counts.columns[1:]])
 
 
 def reverse_complements(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,21 +74,20 @@ def kmer_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _distinct_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """Distinct k-mers of all sequences; combined on the map side before the shuffle."""
-    pieces = seqs.select(F.explode(runs(to_bases(F.col("text")))).alias("run"))
-    return pieces.select(F.explode(kmers(F.col("run"), k)).alias("kmer")).distinct()
+def canonical_codes(k: int) -> Query:
+    """Distinct canonical k-mers of all documents, combined on the map side."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        bases = _documents(spark, sf).select(to_bases(F.col("text")).alias("seq"))
+        distinct = kmer_rows(bases, k).select(canonical_kmer(F.col("kmer")).alias("kmer")).distinct()
+        return distinct.select(kmer_code(F.col("kmer")).alias("canonical"))
 
-def canonical_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    found = _distinct_kmers(_documents(spark, sf), 7)
-    return found.select(canonical_code(F.col("kmer")).alias("canonical")).distinct()
+    return run
 
 
 def hashed_kmers(k: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        codes = _distinct_kmers(_documents(spark, sf), k).select(canonical_code(F.col("kmer")).alias("canonical"))
-        return codes.distinct().select("canonical", tag(hash64(F.col("canonical"), k), k).alias("hash"))
+        return canonical_codes(k)(spark, sf).select("canonical", tag(hash64(F.col("canonical"), k), k).alias("hash"))
 
     return run
 
@@ -156,8 +158,7 @@ def murmur_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bloom_positions(spark: SparkSession, sf: str) -> DataFrame:
-    at = F.posexplode(bloom.positions(F.col("hash"), FILTER, 7)).alias("i", "position")
-    return whitelist_hashes(spark, sf).select("hash", at).withColumn("i", F.col("i").cast("long"))
+    return bloom.with_positions(whitelist_hashes(spark, sf), FILTER, 7)
 
 
 def bloom_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +236,7 @@ def _write_fastq(spark: SparkSession, sf: str) -> str:
 def fastx_files(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as FASTQ files on disk, read in byte ranges."""
     folder = _write_fastq(spark, sf)
-    found = read_fastx(spark, folder, glob="*.txt", layout=FOUR_LINE, content_bytes=0, split_bytes=1 << 16)
+    found = read_fastx(spark, folder, glob="*.txt", layout=FOUR_LINE, content_bytes=0, split_bytes=1 << 20)
     return _record_columns(found)
 
 
@@ -311,7 +312,7 @@ def _event_json(spark: SparkSession, sf: str) -> DataFrame:
         F.col("props"),
         F.lit("}"),
     )
-    return table(spark, sf, "events").select("event_id", text.alias("json"))
+    return _events(spark, sf, "event_type", "user_id", "props").select("event_id", text.alias("json"))
 
 
 def json_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,7 +339,7 @@ def json_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_set(spark: SparkSession, sf: str) -> DataFrame:
     props, added = F.col("props"), F.col("event_type")
-    return table(spark, sf, "events").select(
+    return _events(spark, sf, "event_type", "props").select(
         "event_id",
         jsons.set_path(props, ".k", F.lit("7")).alias("replaced"),
         jsons.set_path(props, ".t", jsons.quoted(added)).alias("added"),
@@ -394,7 +395,7 @@ QUERIES: dict[str, Query] = {
     "base_composition": base_composition,
     "reverse_complements": reverse_complements,
     "kmer_windows": kmer_windows,
-    "canonical_kmers": canonical_kmers,
+    "canonical_kmers": canonical_codes(7),
     "hash64_k5": hashed_kmers(5),
     "hash64_k7": hashed_kmers(7),
     "hash64_k15": hashed_kmers(15),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from readsieve.operators import bloom
@@ -46,17 +46,19 @@ def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") ->
 
     A whitelist too large for a probe is written out once, for the joins.
     """
-    hashes = distinct_hashes(whitelist, spec.kmers, seq_col=seq_col)
-    ref_length = spec.ref_length
-    if ref_length is None:
-        ref_length = int(whitelist.agg(F.sum(F.length(seq_col))).first()[0] or 0)
+    bases = Observation()
+    total = F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases")
+    hashes = distinct_hashes(whitelist.select(seq_col).observe(bases, total), spec.kmers, seq_col=seq_col)
     if spec.filter is not None:
         probe = bloom_probe(hashes, spec.kmers, spec.filter)
     else:
         probe = exact_probe(hashes, spec.kmers, spec.broadcast_values)
+    if probe is None:
+        hashes = cut(hashes, "whitelist")
+    # counted by whichever run above read the whitelist
+    ref_length = bases.get["bases"] if spec.ref_length is None else spec.ref_length
     if probe is not None:
         return Whitelist(hashes, ref_length, probe, probe.holds_zero(spec.kmers))
-    hashes = cut(hashes, "whitelist")
     if spec.filter is None:
         return Whitelist(hashes, ref_length, None, bool(hashes.where("hash = 0").take(1)))
     zero = hashes.sparkSession.range(1).select(F.lit(0).cast("long").alias("hash"))

@@ -52,7 +52,8 @@ POSITIONS = [
 @pytest.mark.parametrize("value, k, params, wanted", POSITIONS)
 def test_positions(spark, value, k, params, wanted):
     row = spark.createDataFrame([(value,)], "hash long")
-    assert row.select(bloom.positions(F.col("hash"), params, k)).first()[0] == wanted
+    got = bloom.with_positions(row, params, k).orderBy("i").collect()
+    assert [(r.hash, r.position) for r in got] == [(value, p) for p in wanted]
 
 
 def keys(n, seed):

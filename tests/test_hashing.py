@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from readsieve.functions.hashing import (
     BLOOM_SEED,
-    canonical_code,
+    canonical_kmer,
     hash64,
     hash64_array,
+    kmer_code,
     murmur2,
     murmur2_array,
     tag,
@@ -36,7 +37,7 @@ def test_hash64_short_form():
 
 def test_tag_and_canonical(spark):
     rows = spark.createDataFrame([("acgtaca",), ("tgtacgt",)], "kmer string")
-    got = rows.select(tag(hash64(canonical_code(F.col("kmer")), 7), 7).alias("h")).collect()
+    got = rows.select(tag(hash64(kmer_code(canonical_kmer(F.col("kmer"))), 7), 7).alias("h")).collect()
     assert {r.h for r in got} == {1543943}
     with pytest.raises(ValueError):
         tag(F.col("h"), 28)

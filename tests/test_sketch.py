@@ -3,9 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from readsieve.functions.bases import DNA
 from readsieve.functions.kmers import kmers, runs, valid_windows
 from readsieve.operators.emission import KmerSpec
-from readsieve.operators.sketch import distinct_hashes, emitted, merge, minima_rows, sketch
+from readsieve.operators.sketch import base_counts, distinct_hashes, emitted, merge, minima_rows, sketch
 from tests import model
 
 
@@ -96,3 +97,8 @@ def test_column_kmers(spark):
     got = rows.select("s", F.transform(runs(F.col("s")), lambda r: kmers(r, 3)).alias("k"), valid_windows(F.col("s"), 3).alias("n"))
     found = {r.s: ([k for run in r.k for k in run], r.n) for r in got.collect()}
     assert found == {"acgtnnacg": (["acg", "cgt", "acg"], 3), "": ([], 0), "nn": ([], 0), "ac": ([], 0)}
+
+
+def test_base_counts(spark, reads):
+    got = {r.id: (r.n_a, r.n_c, r.n_g, r.n_t, r.n_n) for r in base_counts(reads, DNA, id_cols=["id"]).collect()}
+    assert got == {i: tuple(s.count(b) for b in "acgtn") for i, s in random_reads(60)}
