@@ -45,8 +45,12 @@ def token(text: Column, path: str) -> Column:
 
 
 def scalar(text: Column, path: str) -> Column:
-    """The value at a path as plain text: strings unquoted, JSON null is NULL."""
-    return F.get_json_object(text, _variant_path(path))
+    """The value at a path as plain text: strings unquoted, JSON null is NULL.
+
+    Like every conversion it starts from the same parsed value, so that a plan
+    with many of them parses each text once.
+    """
+    return F.try_variant_get(F.try_parse_json(text), _variant_path(path), "string")
 
 
 def base0_integer(text: Column) -> Column:

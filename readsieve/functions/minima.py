@@ -1,0 +1,44 @@
+"""A sketch's minima as an array column, largest first: single-value updates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def peek(minima: Column) -> Column:
+    """The largest minimum; NULL for an empty sketch."""
+    return F.get(minima, F.lit(0))
+
+
+def pop(minima: Column) -> Column:
+    """All but the largest minimum."""
+    return F.slice(minima, 2, F.greatest(F.size(minima) - 1, F.lit(0)))
+
+
+def is_empty(minima: Column) -> Column:
+    return F.size(minima) == 0
+
+
+def contains(minima: Column, value: Column) -> Column:
+    return F.array_contains(minima, value)
+
+
+def remove(minima: Column, value: Column) -> Column:
+    return F.array_remove(minima, value)
+
+
+def push(minima: Column, value: Column) -> Column:
+    """With ``value`` at its place, without a look at size or duplicates."""
+    return F.sort_array(F.array_append(minima, value), asc=False)
+
+
+def admit(minima: Column, value: Column, size: int) -> Column:
+    """The sketch after one more hash: a known or too large one changes nothing."""
+    grown = push(minima, value)
+    return (
+        F.when(contains(minima, value), minima)
+        .when(F.size(minima) < size, grown)
+        .when(value < peek(minima), pop(grown))
+        .otherwise(minima)
+    )

@@ -130,12 +130,9 @@ def _join(left, right, n_left: int, n_right: int):
     return fw, rc
 
 
-def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
-    """Canonical packed value of every k-window, by repeated doubling."""
-    dtype = np.uint16 if k <= 8 else np.uint32 if k <= 16 else np.uint64
-    power = (codes & np.uint8(3)).astype(dtype)
-    power = (power, power ^ dtype(3))
-    n_power, done, n_done, left = 1, None, 0, k
+def packed_windows(fw_digits: np.ndarray, rc_digits: np.ndarray, k: int):
+    """Packed forward and reverse-complement values of every k-window, by doubling."""
+    power, n_power, done, n_done, left = (fw_digits, rc_digits), 1, None, 0, k
     while left:
         if left & 1:
             done = power if done is None else _join(done, power, n_done, n_power)
@@ -144,7 +141,18 @@ def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
         if left:
             power = _join(power, power, n_power, n_power)
             n_power *= 2
-    return np.minimum(*done)
+    return done
+
+
+def _window_type(k: int):
+    return np.uint16 if k <= 8 else np.uint32 if k <= 16 else np.uint64
+
+
+def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """Canonical packed value of every k-window."""
+    dtype = _window_type(k)
+    digits = (codes & np.uint8(3)).astype(dtype)
+    return np.minimum(*packed_windows(digits, digits ^ dtype(3), k))
 
 
 def _hash_values(canonical: np.ndarray, spec: KmerSpec) -> np.ndarray:
@@ -190,51 +198,50 @@ def _emissions_windows(codes, offsets, spec):
 
 def _emissions_even(codes, offsets, spec):
     """One row after the other: a run's length depends on the palindromes in it."""
-    k = spec.k
+    k, dtype = spec.k, _window_type(spec.k)
     for row in range(len(offsets) - 1):
         start, end = int(offsets[row]), int(offsets[row + 1])
         if end - start <= k:
             continue
         # Carried from block to block: the last k - 1 bases seen (absent ones
         # count as zero in both strands), the run length and the latest hash.
-        fw_tail = np.zeros(k - 1, dtype=np.uint64)
-        rc_tail = np.zeros(k - 1, dtype=np.uint64)
-        run, latest, settled = 0, 0, False
+        fw_tail = np.zeros(k - 1, dtype=dtype)
+        rc_tail = np.zeros(k - 1, dtype=dtype)
+        run, latest, settled = 0, np.uint64(0), False
         for at in range(start, end, BLOCK_BASES):
             block = codes[at : min(at + BLOCK_BASES, end)]
             is_base = block < AMBIGUOUS
-            base_at = np.flatnonzero(is_base)
-            fw_digits = np.concatenate((fw_tail, block[base_at].astype(np.uint64)))
-            rc_digits = np.concatenate((rc_tail, 3 - block[base_at].astype(np.uint64)))
-            fw_tail, rc_tail = fw_digits[len(base_at) :], rc_digits[len(base_at) :]
-            fw = np.zeros(len(base_at), dtype=np.uint64)
-            rc = np.zeros(len(base_at), dtype=np.uint64)
-            for j in range(k):
-                fw = (fw << np.uint64(2)) | fw_digits[j : j + len(base_at)]
-                rc |= rc_digits[j : j + len(base_at)] << np.uint64(2 * j)
-            palindrome = np.zeros(len(block), dtype=bool)
-            palindrome[base_at] = fw == rc
-            counted = np.cumsum(is_base & ~palindrome)
-            # value of the count at the latest ambiguous character before each position
+            digits = block[is_base].astype(dtype)
+            fw_digits = np.concatenate((fw_tail, digits))
+            rc_digits = np.concatenate((rc_tail, digits ^ dtype(3)))
+            fw_tail, rc_tail = fw_digits[len(digits) :], rc_digits[len(digits) :]
+            emitting = np.arange(at - start, at - start + len(block)) >= k
+            counts = np.zeros(len(block), dtype=bool)
+            if len(digits):
+                fw, rc = packed_windows(fw_digits, rc_digits, k)
+                counts[is_base] = fw != rc
+                emitting[is_base] &= fw != rc
+            counted = np.cumsum(counts)
+            # the count at the latest ambiguous character before each position
             reset = np.maximum.accumulate(np.where(is_base, -1, counted))
             runs = np.where(reset < 0, counted + run, counted - np.maximum(reset, 0))
-            fresh = is_base & ~palindrome & (runs >= k)
-            value = np.zeros(len(block), dtype=np.uint64)
-            value[base_at] = _hash_values(np.minimum(fw, rc), spec)
-            emitting = ~palindrome & (np.arange(at, at + len(block)) - start >= k)
-            picked = value[fresh & emitting]
+            fresh = counts & (runs >= k)
+            run = int(runs[-1])
+            updates = np.flatnonzero(fresh)
+            value = np.empty(0, dtype=np.uint64)
+            if len(updates):
+                chosen = fresh[is_base]
+                value = _hash_values(np.minimum(fw[chosen], rc[chosen]), spec).astype(np.uint64)
+            picked = value[emitting[updates]]
             if not settled and emitting.any():
                 # the first emission repeats the latest hash when it has no own
                 first = int(np.argmax(emitting))
                 if not fresh[first]:
-                    earlier = np.flatnonzero(fresh[:first])
-                    stale = value[earlier[-1]] if len(earlier) else np.uint64(latest)
-                    picked = np.append(picked, stale)
+                    earlier = np.searchsorted(updates, first)
+                    picked = np.append(picked, value[earlier - 1] if earlier else latest)
                 settled = True
-            updates = np.flatnonzero(fresh)
-            if len(updates):
-                latest = value[updates[-1]]
-            run = int(runs[-1])
+            if len(value):
+                latest = value[-1]
             yield np.full(len(picked), row), picked
 
 

@@ -28,6 +28,7 @@ BROADCAST_VALUES = 4_000_000
 # A hash found in more than 1/HOT_SHARE of all minima is joined by broadcast;
 # there can be no more than HOT_SHARE of them.
 HOT_SHARE = 1000
+TRACKED_PER_HOT = 10
 
 
 @dataclass(frozen=True)
@@ -51,12 +52,16 @@ class Probe:
         return bool(self.holds(spec.values(np.zeros(1, dtype=np.int64)), spec)[0])
 
 
-def exact_probe(hashes: DataFrame, spec: KmerSpec, limit: int = BROADCAST_VALUES) -> Probe | None:
-    """The distinct ``hashes`` as a probe, or None when there are over ``limit``."""
-    taken = hashes.limit(limit + 1).toPandas()["hash"].to_numpy(dtype=np.int64)
-    if len(taken) > limit:
-        return None
-    return Probe(values=np.sort(spec.values(taken)))
+def domain_fits(spec: KmerSpec, limit: int) -> bool:
+    """Are there no more canonical k-mers (and the sentinel) than ``limit``?"""
+    palindromes = 0 if spec.k % 2 else 2**spec.k
+    return (4**spec.k + palindromes) // 2 + 1 <= limit
+
+
+def exact_probe(hashes: DataFrame, spec: KmerSpec) -> Probe:
+    """Distinct ``hashes``, of a number already checked, as a sorted array."""
+    held = hashes.toPandas()["hash"].to_numpy(dtype=np.int64)
+    return Probe(values=np.sort(spec.values(held)))
 
 
 def bloom_probe(hashes: DataFrame, spec: KmerSpec, params: BloomParams) -> Probe | None:
@@ -112,27 +117,40 @@ def probe_hits(
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
+def hot_hashes(minima: DataFrame, total: int) -> list[int]:
+    """Hashes that make up more than 1/HOT_SHARE of all minima: at most HOT_SHARE.
+
+    One pass with a frequency sketch per task and no shuffle of the hashes. It
+    only decides which join a hash goes through, never what is counted.
+    """
+    top = minima.select(F.expr(f"approx_top_k(hash, {HOT_SHARE}, {TRACKED_PER_HOT * HOT_SHARE})").alias("top"))
+    frequent = top.select(F.explode("top").alias("t")).where(F.col("t.count") * HOT_SHARE > total)
+    return [r[0] for r in frequent.select("t.item").collect()]
+
+
 def joined_hits(sketches: DataFrame, whitelist: DataFrame, *, id_cols: Sequence[str]) -> DataFrame:
     """The same columns from sketches and a whitelist of distinct hashes, by joins.
 
-    ``sketches`` is read twice; write it out first (``session.cut``). A hash
+    Both are read more than once; write them out first (``session.cut``). A hash
     that many sequences share (copies, the sentinel) would pile up in one join
-    task, so hashes above 1/HOT_SHARE of all minima are matched by a broadcast
-    of at most HOT_SHARE rows, the others by a shuffled semi-join.
+    task, so frequent hashes are matched by a broadcast of at most HOT_SHARE
+    rows, the others by a shuffled semi-join.
     """
+    spark = sketches.sparkSession
     minima = sketches.select(*id_cols, F.explode("minima").alias("hash"))
     total = sketches.agg(F.sum("n_minima")).first()[0] or 0
-    hot = minima.groupBy("hash").count().where(F.col("count") * HOT_SHARE > total).select("hash")
-    hot_hashes = [r[0] for r in hot.collect()]
-    spark = sketches.sparkSession
-    hot = F.broadcast(_hash_frame(spark, hot_hashes))
-    hot_members = F.broadcast(_hash_frame(spark, [r[0] for r in whitelist.join(hot, "hash", "left_semi").collect()]))
-    cold = minima.join(hot, "hash", "left_anti").join(whitelist.hint("shuffle_merge"), "hash", "left_semi")
-    found = cold.unionByName(minima.join(hot_members, "hash", "left_semi"))
-    one = found.select(*id_cols, F.lit(None).cast("long").alias("seq_len"), F.lit(None).cast("int").alias("n_minima"), F.lit(1).alias("m"))
-    base = sketches.select(*id_cols, "seq_len", "n_minima", F.lit(0).alias("m"))
-    return base.unionByName(one).groupBy(*id_cols).agg(
-        F.max("seq_len").alias("seq_len"), F.max("n_minima").alias("n_minima"), F.sum("m").alias("matches")
+    frequent = F.broadcast(_hash_frame(spark, hot_hashes(minima, total)))
+    held = F.broadcast(_hash_frame(spark, [r[0] for r in whitelist.join(frequent, "hash", "left_semi").collect()]))
+    cold = minima.join(frequent, "hash", "left_anti").join(whitelist.hint("shuffle_merge"), "hash", "left_semi")
+    found = cold.unionByName(minima.join(held, "hash", "left_semi"))
+    nothing = {"seq_len": F.lit(None).cast("long"), "n_minima": F.lit(None).cast("int")}
+    counted = found.select(*id_cols, *[c.alias(n) for n, c in nothing.items()], F.lit(1).alias("m"))
+    # every sequence brings a row of its own, so that those without a match stay
+    every = sketches.select(*id_cols, "seq_len", "n_minima", F.lit(0).alias("m"))
+    return (
+        every.unionByName(counted)
+        .groupBy(*id_cols)
+        .agg(F.max("seq_len").alias("seq_len"), F.max("n_minima").alias("n_minima"), F.sum("m").alias("matches"))
     )
 
 

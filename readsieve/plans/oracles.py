@@ -240,6 +240,13 @@ SELECT id AS doc_id, count(*) AS n_windows, count(*) FILTER (NOT contains(w, 'n'
     "sketch_rows": f"""{_documents(_K7)},
 {_sketch_cte(SIZE)}
 SELECT id AS doc_id, (max(rn) OVER (PARTITION BY id) - rn)::BIGINT AS rank, h::BIGINT AS hash FROM sk""",
+    "minima_updates": f"""{_documents(_K7)},
+{_sketch_cte(SIZE)},
+held AS (SELECT id, list(h::BIGINT ORDER BY h DESC) AS m, (id % 16384) * 256 + 7 AS v FROM sk GROUP BY id),
+after AS (SELECT *, list_sort(list_distinct(list_append(m, v))) AS a FROM held)
+SELECT id AS doc_id, m[1] AS largest, m[2] AS second, len(m) = 1 AS single, list_contains(m, v) AS known,
+  (len(m) - list_contains(m, v)::INT)::BIGINT AS left, least(len(a), {SIZE})::BIGINT AS n_after,
+  list_sum(a[1:{SIZE}])::BIGINT AS total_after FROM after""",
     "sketch_by_source": f"""{_documents(_K7, ", source")},
 pairs AS (SELECT DISTINCT source, h FROM d_emit JOIN d_seqs USING (id)),
 sk AS (SELECT source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS rn FROM pairs

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.functions import files, jsons
+from readsieve.functions import files, jsons, minima
 from readsieve.functions.bases import TEXT, reverse_complement, to_bases
 from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
 from readsieve.functions.kmers import kmer_rows, valid_windows
@@ -137,6 +137,22 @@ def sketch_by_source(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def minima_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sketch after a look at, a removal of and an offer of one hash."""
+    held, offer = F.col("minima"), tag(F.col("doc_id") % 16384, 7)
+    total = F.aggregate(minima.admit(held, offer, SIZE), F.lit(0).cast("long"), lambda acc, h: acc + h)
+    return _sketches(spark, sf, 7, True).select(
+        "doc_id",
+        minima.peek(held).alias("largest"),
+        minima.peek(minima.pop(held)).alias("second"),
+        minima.is_empty(minima.pop(held)).alias("single"),
+        minima.contains(held, offer).alias("known"),
+        F.size(minima.remove(held, offer)).cast("long").alias("left"),
+        F.size(minima.admit(held, offer, SIZE)).cast("long").alias("n_after"),
+        total.alias("total_after"),
+    )
+
+
 def whitelist_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return sketch.distinct_hashes(_benchmark(spark, sf), _spec(7), seq_col="text")
 
@@ -407,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "sketch_summary_k15": sketch_summary(15, True),
     "sketch_summary_even_k": sketch_summary(8, True),
     "sketch_rows": sketch_rows,
+    "minima_updates": minima_updates,
     "sketch_by_source": sketch_by_source,
     "whitelist_hashes": whitelist_hashes,
     "bloom_sizing": bloom_sizing,

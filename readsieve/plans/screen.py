@@ -12,7 +12,15 @@ from readsieve.operators import bloom
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import score
 from readsieve.operators.emission import KmerSpec
-from readsieve.operators.membership import BROADCAST_VALUES, Probe, bloom_probe, exact_probe, joined_hits, probe_hits
+from readsieve.operators.membership import (
+    BROADCAST_VALUES,
+    Probe,
+    bloom_probe,
+    domain_fits,
+    exact_probe,
+    joined_hits,
+    probe_hits,
+)
 from readsieve.operators.sketch import SKETCH_SIZE, distinct_hashes, sketch
 from readsieve.session import cut
 
@@ -44,17 +52,20 @@ class Whitelist:
 def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") -> Whitelist:
     """Hash the whitelist, and turn it into a probe when its size allows.
 
-    A whitelist too large for a probe is written out once, for the joins.
+    For small k there are too few k-mers to exceed the limit; otherwise the
+    hashes are written out and counted before any are gathered.
     """
     bases = Observation()
     total = F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases")
     hashes = distinct_hashes(whitelist.select(seq_col).observe(bases, total), spec.kmers, seq_col=seq_col)
     if spec.filter is not None:
         probe = bloom_probe(hashes, spec.kmers, spec.filter)
+        hashes = hashes if probe is not None else cut(hashes, "whitelist")
+    elif domain_fits(spec.kmers, spec.broadcast_values):
+        probe = exact_probe(hashes, spec.kmers)
     else:
-        probe = exact_probe(hashes, spec.kmers, spec.broadcast_values)
-    if probe is None:
         hashes = cut(hashes, "whitelist")
+        probe = exact_probe(hashes, spec.kmers) if hashes.count() <= spec.broadcast_values else None
     # counted by whichever run above read the whitelist
     ref_length = bases.get["bases"] if spec.ref_length is None else spec.ref_length
     if probe is not None:

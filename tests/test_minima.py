@@ -1,0 +1,36 @@
+import random
+
+from pyspark.sql import functions as F
+
+from readsieve.functions import minima
+
+
+def test_heap_order(spark):
+    row = spark.range(1).select(F.array().cast("array<long>").alias("m"))
+    for value in (1234, 1, 42):
+        row = row.select(minima.push(F.col("m"), F.lit(value).cast("long")).alias("m"))
+    popped = []
+    for _ in range(3):
+        popped.append(row.select(minima.peek(F.col("m"))).first()[0])
+        row = row.select(minima.pop(F.col("m")).alias("m"))
+    assert popped == [1234, 42, 1]
+    last = row.select(minima.is_empty(F.col("m")), minima.peek(F.col("m")), minima.pop(F.col("m"))).first()
+    assert tuple(last) == (True, None, [])
+
+
+def test_set_operations(spark):
+    row = spark.range(1).select(F.array(*[F.lit(v) for v in (9, 5, 3)]).cast("array<long>").alias("m"))
+    five = F.lit(5).cast("long")
+    got = row.select(
+        minima.contains(F.col("m"), five), minima.remove(F.col("m"), five), minima.contains(minima.remove(F.col("m"), five), five)
+    )
+    assert tuple(got.first()) == (True, [9, 3], False)
+
+
+def test_admission_is_bottom_s(spark):
+    rnd = random.Random(4)
+    offers = [[rnd.randrange(40) for _ in range(30)] for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(offers)), "i long, offers array<long>")
+    folded = F.aggregate("offers", F.array().cast("array<long>"), lambda acc, v: minima.admit(acc, v, 6))
+    for r in rows.select("offers", folded.alias("m")).collect():
+        assert r.m == sorted(sorted(set(r.offers))[:6], reverse=True)
