@@ -209,6 +209,7 @@ _ARROW = {
     "status": pa.string(),
 }
 _SPARK = {"record_offset": "long"}
+_BYTE_FIELDS = range(FIELDS.index("name"), FIELDS.index("qual") + 1)
 
 
 def _text(value: bytes | None) -> str | None:
@@ -217,21 +218,28 @@ def _text(value: bytes | None) -> str | None:
 
 
 def _batches(found: Iterator[tuple[str, tuple]], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size, with only the columns asked for."""
+    at = [FIELDS.index(c) for c in columns]
     schema = pa.schema([(c, _ARROW[c]) for c in columns])
-    rows: list[dict] = []
+    rows: list[tuple] = []
     held = 0
-    for file, (offset, name, comment, seq, qual, status) in found:
-        row = {"file": file, "record_offset": offset, "status": status}
-        for column, value in (("name", name), ("comment", comment), ("seq", seq), ("qual", qual)):
-            if column in columns:
-                row[column] = _text(value)
-        rows.append(row)
-        held += len(seq)
+
+    def packed() -> pa.RecordBatch:
+        by_field = list(zip(*rows))
+        values = []
+        for i in at:
+            field = by_field[i]
+            values.append(pa.array([_text(v) for v in field] if i in _BYTE_FIELDS else field, schema.types[len(values)]))
+        return pa.RecordBatch.from_arrays(values, schema=schema)
+
+    for file, record in found:
+        rows.append((file, *record))
+        held += len(record[3])
         if held >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            yield packed()
             rows, held = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield packed()
 
 
 def _ddl(columns: Sequence[str]) -> str:
