@@ -74,14 +74,15 @@ def run(spark: SparkSession, config: Config, *, out: str, include_existing: bool
         include_existing=include_existing,
         drain=drain,
     )
-    asked_to_stop = []
+    asked_to_stop, reported = [], -1
     before = signal.signal(signal.SIGTERM, lambda *_: asked_to_stop.append(True))
     try:
         while query.isActive and not asked_to_stop:
             query.awaitTermination(1)
             progress = query.lastProgress
-            if progress and progress["numInputRows"]:
-                logs.live("batch %d: %d files", progress["batchId"], progress["numInputRows"])
+            if progress and progress["batchId"] > reported:
+                reported = progress["batchId"]
+                logs.live("batch %d: %d files", reported, progress["numInputRows"])
     finally:
         query.stop()
         signal.signal(signal.SIGTERM, before)

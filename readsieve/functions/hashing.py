@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the k-mer hash, per step: factor, what is taken off, right fold.
+MIX = ((2**21 - 1, 1, 24), (265, 0, 14), (21, 0, 28), (2**31 + 1, 0, 0))
+
 # Fixed values of MurmurHash2 (32 bit) and the filter's first seed.
 MURMUR_M = 0x5BD1E995
 MURMUR_R = 24
@@ -63,12 +66,15 @@ def hash64(code: Column, k: int) -> Column:
                 total = part if total is None else keep(total + part)
         return total
 
-    def fold(c: Column, n: int) -> Column:
-        return c.bitwiseXOR(F.shiftright(c, n))
-
-    first = keep(keep(F.bitwise_not(code)) + keep(F.shiftleft(code, 21)))
-    x = fold(times(fold(first, 24), 265), 14)
-    return times(fold(times(x, 21), 28), (1 << 31) + 1)
+    # x * (2^n - 1) - 1 is the sum of the complement and x * 2^n
+    n = MIX[0][0].bit_length()
+    x = keep(keep(F.bitwise_not(code)) + keep(F.shiftleft(code, n)))
+    x = x.bitwiseXOR(F.shiftright(x, MIX[0][2]))
+    for factor, _, shift in MIX[1:]:
+        x = times(x, factor)
+        if shift:
+            x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x
 
 
 def tag(hashed: Column, k: int) -> Column:
@@ -79,16 +85,18 @@ def tag(hashed: Column, k: int) -> Column:
 
 
 def hash64_array(code: np.ndarray, k: int) -> np.ndarray:
-    """``hash64`` over an unsigned array; exact in 32 bits while 2k <= 32."""
+    """``hash64`` over an unsigned array; exact in 32 bits while 2k <= 32.
+
+    Products may wrap: what is lost lies above the 2k bits that are kept.
+    """
     t = code.dtype.type
     mask = t((1 << (2 * k)) - 1)
-    x = (~code + (code << t(21))) & mask
-    x ^= x >> t(24)
-    x = (x + (x << t(3)) + (x << t(8))) & mask
-    x ^= x >> t(14)
-    x = (x + (x << t(2)) + (x << t(4))) & mask
-    x ^= x >> t(28)
-    return (x + (x << t(31))) & mask
+    x = code
+    for factor, less, shift in MIX:
+        x = (x * t(factor) - t(less)) & mask
+        if shift:
+            x ^= x >> t(shift)
+    return x
 
 
 # ---------------------------------------------------------------- MurmurHash2

@@ -80,8 +80,8 @@ def string_codes(column: pa.Array, spec: KmerSpec) -> tuple[np.ndarray, np.ndarr
     raw = np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     codes = code_table(spec.alphabet)[raw]
-    inner = codes == CONTINUATION
-    if inner.any():
+    if raw.max() >= 0x80:
+        inner = codes == CONTINUATION
         dropped = np.concatenate(([0], np.cumsum(inner)))
         codes = codes[~inner]
         offsets = offsets - dropped[offsets]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from readsieve.operators import bloom
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
-from readsieve.operators.sketch import SKETCH_SIZE, check_size, id_fields, per_row_minima, project
+from readsieve.operators.sketch import SKETCH_SIZE, bounded, check_size, id_fields, per_row_minima, project
 
 # Most hashes (8 bytes each) that are sent to every task.
 BROADCAST_VALUES = 4_000_000
@@ -101,7 +101,7 @@ def probe_hits(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, filled = sent.value
         local = Probe(values, filled, params)
-        for batch in batches:
+        for batch in bounded(batches):
             keep, lengths, counts, value = per_row_minima(batch, spec, size)
             held = np.concatenate(([0], np.cumsum(local.holds(value, spec))))
             ends = np.cumsum(counts)

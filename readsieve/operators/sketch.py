@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,8 @@ from readsieve.operators.emission import UNSIGNED_K, KmerSpec, batch_minima, bot
 SKETCH_SIZE = 128
 # The dedupe table of compat mode holds fewer than this many minima.
 COMPAT_SIZE_LIMIT = 256
+# Sequence bytes handled at a time; a longer row comes alone.
+SLICE_BYTES = 8 << 20
 
 
 def check_size(spec: KmerSpec, size: int) -> None:
@@ -31,6 +34,17 @@ def id_fields(reads: DataFrame, id_cols: Sequence[str]) -> list[T.StructField]:
     return [reads.schema[c] for c in id_cols]
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``SLICE_BYTES`` of sequence (the last column)."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+        for start, end in zip(np.append(0, edges), np.append(edges, batch.num_rows)):
+            yield batch.slice(int(start), int(end - start))
+
+
 def per_row_minima(batch: pa.RecordBatch, spec: KmerSpec, size: int | None):
     """Rows that emit anything, their lengths, and their values in CSR form."""
     lengths, row, value = batch_minima(batch.column(batch.num_columns - 1), spec, size)
@@ -59,7 +73,7 @@ def sketch(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             keep, lengths, counts, value = per_row_minima(batch, spec, size)
             ends = np.cumsum(counts)
             # reverse each row's ascending run
@@ -82,7 +96,7 @@ def emitted(reads: DataFrame, spec: KmerSpec, *, id_cols: Sequence[str], seq_col
     schema = T.StructType(id_fields(reads, id_cols) + [T.StructField("hash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             keep, _, counts, value = per_row_minima(batch, spec, None)
             taken = pa.array(np.repeat(keep, counts))
             columns = [batch.column(i).take(taken) for i in range(n_ids)]
@@ -101,7 +115,7 @@ def base_counts(
     spec = KmerSpec(1, alphabet=alphabet)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             codes, offsets = string_codes(batch.column(n_ids), spec)
             counts = np.empty((len(names), batch.num_rows), dtype=np.int64)
             for code in range(len(names)):
@@ -122,7 +136,7 @@ def distinct_hashes(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq
     schema = T.StructType([T.StructField("hash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             _, row, value = batch_minima(batch.column(0), spec, None)
             _, value = bottom_values(np.zeros_like(row), value, None, spec.value_bits)
             yield pa.RecordBatch.from_arrays([pa.array(spec.tagged(value))], names=["hash"])

@@ -262,6 +262,21 @@ def parse(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, _ddl(columns))
 
 
+def parse_opened(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
+    """Records of files given as rows ``path``, each streamed through by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    for record in _range_records(path, 0, 0, ANY):
+                        yield path, record
+
+        yield from _batches(found(), columns)
+
+    return files.select("path").mapInArrow(run, _ddl(columns))
+
+
 def parse_large(
     files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame | None:

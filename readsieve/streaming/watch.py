@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from readsieve.functions.files import is_read_file
 from readsieve.plans.screen import ScreenSpec, Whitelist, screen
-from readsieve.sources.fastx import FILE_SCHEMA, parse
+from readsieve.sources.fastx import CONTENT_BYTES, FILE_SCHEMA, parse, parse_opened
 
 READ_GLOB = "*.{fastq,fq}"
 _RECORD_COLUMNS = ("file", "record_offset", "name", "seq", "status")
@@ -31,7 +31,10 @@ def new_files(
     glob: str = READ_GLOB,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Stream of files that appear in the directory; later edits are ignored."""
+    """Stream of files that appear in the directory; later edits are ignored.
+
+    Of the file source's columns only those used later are read.
+    """
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -40,7 +43,7 @@ def new_files(
         files = files.where(is_read_file(F.col("path")))
     if not include_existing:
         files = files.where(F.col("modificationTime") >= F.lit(started_at(spark, checkpoint)))
-    return files.select("path", "content")
+    return files
 
 
 def watch(
@@ -55,10 +58,12 @@ def watch(
     glob: str = READ_GLOB,
     max_files: int | None = None,
     drain: bool = False,
+    content_bytes: int = CONTENT_BYTES,
 ) -> StreamingQuery:
     """Start the stream; results are appended to ``out`` as parquet.
 
-    Every step is narrow and keeps no state. The file source's log and the
+    Every step is narrow and keeps no state. Files above ``content_bytes`` are
+    opened by the tasks instead of arriving as one value. The file source's log and the
     file sink's log make each file count exactly once across restarts. The
     whitelist must have a probe, since a stream cannot read its sketches twice.
     With ``drain`` the query stops when the files present are done.
@@ -68,7 +73,9 @@ def watch(
     files = new_files(
         spark, directory, checkpoint=checkpoint, include_existing=include_existing, glob=glob, max_files=max_files
     )
-    reads = parse(files, _RECORD_COLUMNS).where(F.col("status") == "ok")
+    small = parse(files.where(F.col("length") <= content_bytes), _RECORD_COLUMNS)
+    large = parse_opened(files.where(F.col("length") > content_bytes), _RECORD_COLUMNS)
+    reads = small.unionByName(large).where(F.col("status") == "ok")
     results = screen(reads, prepared, spec, id_cols=["file", "record_offset", "name"])
     writer = results.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", out).option("checkpointLocation", checkpoint)

@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from readsieve.functions.bases import DNA
 from readsieve.functions.kmers import kmers, runs, valid_windows
+from readsieve.operators import sketch as sketches_module
 from readsieve.operators.emission import KmerSpec
 from readsieve.operators.sketch import base_counts, distinct_hashes, emitted, merge, minima_rows, sketch
 from tests import model
@@ -102,3 +104,12 @@ def test_column_kmers(spark):
 def test_base_counts(spark, reads):
     got = {r.id: (r.n_a, r.n_c, r.n_g, r.n_t, r.n_n) for r in base_counts(reads, DNA, id_cols=["id"]).collect()}
     assert got == {i: tuple(s.count(b) for b in "acgtn") for i, s in random_reads(60)}
+
+
+def test_slices_change_nothing(spark, reads, monkeypatch):
+    wanted = {tuple(r) for r in emitted(reads, KmerSpec(7), id_cols=["id"]).collect()}
+    monkeypatch.setattr(sketches_module, "SLICE_BYTES", 100)
+    assert {tuple(r) for r in emitted(reads, KmerSpec(7), id_cols=["id"]).collect()} == wanted
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 70, "", "c" * 250, "g", "t" * 99])], names=["seq"])
+    parts = [b.column(0).to_pylist() for b in sketches_module.bounded(iter([batch]))]
+    assert [x for p in parts for x in p] == batch.column(0).to_pylist() and len(parts) > 2

@@ -68,9 +68,17 @@ def test_damaged_file_keeps_its_good_reads(spark, prepared, folders):
     assert drain(spark, prepared, folders, include_existing=True, max_files=1) == ["good"]
 
 
-def test_stream_reads_content_only(spark, folders):
+def test_large_files_are_opened_by_the_tasks(spark, prepared, folders):
+    source = folders[0]
+    (source / "small.fastq").write_text(fastq("small", REFERENCES[0][:60]))
+    (source / "large.fastq").write_text("".join(fastq(f"r{i}", REFERENCES[0][i : i + 60]) for i in range(20)))
+    names = drain(spark, prepared, folders, include_existing=True, content_bytes=500)
+    assert names == sorted(["small", *(f"r{i}" for i in range(20))])
+
+
+def test_source_is_a_stream_of_files(spark, folders):
     files = new_files(spark, str(folders[0]), checkpoint=folders[2], include_existing=True)
-    assert files.isStreaming and files.columns == ["path", "content"]
+    assert files.isStreaming and files.columns == ["path", "modificationTime", "length", "content"]
 
 
 def test_needs_a_probe(spark, prepared, folders):
