@@ -39,13 +39,22 @@ def code_table(alphabet: str) -> np.ndarray:
     return table
 
 
-def to_bases(col: Column, alphabet: str = TEXT) -> Column:
-    """The sequence spelled in lower-case ``acgt``, one ``n`` per ambiguous character."""
+def spell(col: Column, alphabet: str) -> Column:
+    """Base characters as lower-case ``acgt``; all others stay as they are."""
     if alphabet == TEXT:
-        spelled = F.translate(col, _LETTERS + _LETTERS.upper(), _CYCLE * 2)
-    else:
-        spelled = F.translate(col, "ACGTUu", "acgttt")
-    return F.regexp_replace(spelled, "[^acgt]", "n")
+        return F.translate(col, _LETTERS + _LETTERS.upper(), _CYCLE * 2)
+    return F.translate(col, "ACGTUu", "acgttt")
+
+
+def to_bases(col: Column, alphabet: str = TEXT) -> Column:
+    """The sequence in lower-case ``acgt``, one ``n`` per ambiguous character."""
+    return F.regexp_replace(spell(col, alphabet), "[^acgt]", "n")
+
+
+def runs(col: Column, alphabet: str, shortest: int = 1) -> Column:
+    """Stretches of at least ``shortest`` bases between ambiguous characters, as they are."""
+    base = "[A-Za-z]" if alphabet == TEXT else "[ACGTUacgtu]"
+    return F.regexp_extract_all(col, F.lit(f"{base}{{{shortest},}}+"), 0)
 
 
 def reverse_complement(bases: Column) -> Column:

@@ -203,7 +203,10 @@ def _with_value(value: Column, parts: list, new: Column | None) -> Column:
             return F.to_variant_object(others)
         inner = _with_value(F.element_at(held, head), rest, new)
         changed = F.map_concat(others, F.create_map(F.lit(head), inner))
-        return F.to_variant_object(changed if new is not None else F.when(F.map_contains_key(held, head), changed).otherwise(held))
+        if new is None:
+            # nothing to remove below a key that is not there
+            changed = F.when(F.map_contains_key(held, head), changed).otherwise(held)
+        return F.to_variant_object(changed)
     held = F.coalesce(F.try_variant_get(value, "$", _ARRAY), F.array().cast(_ARRAY))
     if head is None:
         if new is None:
@@ -243,7 +246,16 @@ def set_path(text: Column, path: str, value: Column | None) -> Column:
 # ---------------------------------------------------------------------- print
 
 # Characters with an escape of their own, and how it is spelled.
-_SPECIALS = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\t", "\\t"), ("\n", "\\n"), ("\v", "\\v"), ("\f", "\\f"), ("\r", "\\r"))
+_SPECIALS = (
+    ("\\", "\\\\"),
+    ('"', '\\"'),
+    ("\b", "\\b"),
+    ("\t", "\\t"),
+    ("\n", "\\n"),
+    ("\v", "\\v"),
+    ("\f", "\\f"),
+    ("\r", "\\r"),
+)
 _CONTROLS = [*range(0x00, 0x08), *range(0x0E, 0x20), 0x7F]
 
 

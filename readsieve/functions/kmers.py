@@ -1,36 +1,28 @@
-"""K-mers as Catalyst expressions, for plans that want them as rows."""
+"""K-mers as built-in expressions, for plans that want them as rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readsieve.functions.bases import runs, spell
 
-def runs(bases: Column) -> Column:
-    """The unbroken stretches of a base string (lower-case ``acgt``)."""
-    return F.split(bases, "n+")
 
-
-def valid_windows(bases: Column, k: int) -> Column:
+def valid_windows(seq: Column, k: int, alphabet: str) -> Column:
     """Number of k-windows without an ambiguous character."""
-    sizes = F.transform(runs(bases), lambda r: F.greatest(F.length(r) - F.lit(k - 1), F.lit(0)).cast("long"))
+    sizes = F.transform(runs(seq, alphabet, k), lambda r: (F.length(r) - F.lit(k - 1)).cast("long"))
     return F.aggregate(sizes, F.lit(0).cast("long"), lambda acc, n: acc + n)
 
 
-def kmers(run: Column, k: int) -> Column:
-    """All k-mers of one run, in order.
+def kmer_rows(seqs: DataFrame, k: int, alphabet: str, *, seq_col: str = "seq") -> DataFrame:
+    """One row (``kmer``, lower-case) per complete window of a sequence column.
 
-    Cut from the bytes rather than the characters: a byte slice is found at
-    once, where ``substr`` counts its way from the start of the string.
+    Only runs of k or more bases are spelled out. Windows are cut from the bytes
+    rather than the characters: a byte slice is found at once, where a character
+    slice counts its way from the start of the string.
     """
-    raw = run.cast("binary")
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(run) - F.lit(k - 1)), lambda i: F.substring(raw, i, F.lit(k)).cast("string")
-    )
-    return F.when(F.length(run) >= k, cut).otherwise(F.array().cast("array<string>"))
-
-
-def kmer_rows(seqs: DataFrame, k: int, *, seq_col: str = "seq") -> DataFrame:
-    """One row (``kmer``) per complete window of a base-string column."""
-    pieces = seqs.select(F.explode(runs(F.col(seq_col))).alias("run")).where(F.length("run") >= k)
-    return pieces.select(F.explode(kmers(F.col("run"), k)).alias("kmer"))
+    pieces = seqs.select(F.explode(runs(F.col(seq_col), alphabet, k)).alias("run"))
+    raw = pieces.select(spell(F.col("run"), alphabet).cast("binary").alias("raw"))
+    starts = F.sequence(F.lit(1), F.length("raw") - F.lit(k - 1))
+    windows = raw.select("raw", F.explode(starts).alias("at"))
+    return windows.select(F.substring("raw", F.col("at"), F.lit(k)).cast("string").alias("kmer"))

@@ -36,11 +36,12 @@ UNSIGNED_K = 28
 
 @dataclass(frozen=True)
 class KmerSpec:
-    """K-mer size, emission mode and alphabet."""
+    """K-mer size, emission mode and alphabet; without ``hashed`` the codes themselves."""
 
     k: int = 7
     compat: bool = True
     alphabet: str = DNA
+    hashed: bool = True
 
     def __post_init__(self):
         if not 1 <= self.k <= MAX_K:
@@ -49,7 +50,7 @@ class KmerSpec:
 
     @property
     def value_bits(self) -> int:
-        return 64 if self.k >= UNSIGNED_K else 2 * self.k + 1
+        return 64 if self.hashed and self.k >= UNSIGNED_K else 2 * self.k + 1
 
     def tagged(self, values: np.ndarray) -> np.ndarray:
         """Values -> tagged hashes as signed 64-bit integers."""
@@ -157,6 +158,8 @@ def canonical_windows(codes: np.ndarray, k: int) -> np.ndarray:
 
 def _hash_values(canonical: np.ndarray, spec: KmerSpec) -> np.ndarray:
     wide = canonical.astype(np.uint32 if spec.k <= 15 else np.uint64)
+    if not spec.hashed:
+        return wide + wide.dtype.type(1)
     hashed = hash64_array(wide, spec.k)
     if spec.k >= UNSIGNED_K:
         return (hashed << np.uint64(8)) | np.uint64(spec.k)
@@ -196,53 +199,92 @@ def _emissions_windows(codes, offsets, spec):
 # ---------------------------------------------------- even k in compat mode
 
 
+@dataclass
+class _Carry:
+    """What one piece of a long row hands to the next."""
+
+    fw: np.ndarray  # digits of the last k - 1 bases; absent ones are zero in both strands
+    rc: np.ndarray
+    seen: int = 0
+    run: int = 0
+    latest: np.uint64 = np.uint64(0)
+    settled: bool = False
+
+
+def _start(k: int) -> _Carry:
+    absent = np.zeros(k - 1, dtype=_window_type(k))
+    return _Carry(absent, absent)
+
+
 def _emissions_even(codes, offsets, spec):
-    """One row after the other: a run's length depends on the palindromes in it."""
-    k, dtype = spec.k, _window_type(spec.k)
-    for row in range(len(offsets) - 1):
-        start, end = int(offsets[row]), int(offsets[row + 1])
-        if end - start <= k:
+    """A run's length depends on the palindromes in it, so pieces of a row are chained."""
+    k = spec.k
+    filled = np.flatnonzero(np.diff(offsets))
+    edges = np.append(offsets[filled], offsets[-1])
+    for rows, bounds, _ in _pieces(edges, 1):
+        row, start = rows[0], bounds[0]
+        if edges[row + 1] - edges[row] <= BLOCK_BASES:
+            local, value = _even_block(codes[start : bounds[-1]], bounds - start, spec, _start(k))
+            yield filled[rows[local]], value
             continue
-        # Carried from block to block: the last k - 1 bases seen (absent ones
-        # count as zero in both strands), the run length and the latest hash.
-        fw_tail = np.zeros(k - 1, dtype=dtype)
-        rc_tail = np.zeros(k - 1, dtype=dtype)
-        run, latest, settled = 0, np.uint64(0), False
-        for at in range(start, end, BLOCK_BASES):
-            block = codes[at : min(at + BLOCK_BASES, end)]
-            is_base = block < AMBIGUOUS
-            digits = block[is_base].astype(dtype)
-            fw_digits = np.concatenate((fw_tail, digits))
-            rc_digits = np.concatenate((rc_tail, digits ^ dtype(3)))
-            fw_tail, rc_tail = fw_digits[len(digits) :], rc_digits[len(digits) :]
-            emitting = np.arange(at - start, at - start + len(block)) >= k
-            counts = np.zeros(len(block), dtype=bool)
-            if len(digits):
-                fw, rc = packed_windows(fw_digits, rc_digits, k)
-                counts[is_base] = fw != rc
-                emitting[is_base] &= fw != rc
-            counted = np.cumsum(counts)
-            # the count at the latest ambiguous character before each position
-            reset = np.maximum.accumulate(np.where(is_base, -1, counted))
-            runs = np.where(reset < 0, counted + run, counted - np.maximum(reset, 0))
-            fresh = counts & (runs >= k)
-            run = int(runs[-1])
-            updates = np.flatnonzero(fresh)
-            value = np.empty(0, dtype=np.uint64)
-            if len(updates):
-                chosen = fresh[is_base]
-                value = _hash_values(np.minimum(fw[chosen], rc[chosen]), spec).astype(np.uint64)
-            picked = value[emitting[updates]]
-            if not settled and emitting.any():
-                # the first emission repeats the latest hash when it has no own
-                first = int(np.argmax(emitting))
-                if not fresh[first]:
-                    earlier = np.searchsorted(updates, first)
-                    picked = np.append(picked, value[earlier - 1] if earlier else latest)
-                settled = True
-            if len(value):
-                latest = value[-1]
-            yield np.full(len(picked), row), picked
+        if start == edges[row]:
+            carry = _start(k)
+        _, value = _even_block(codes[start : bounds[-1]], bounds - start, spec, carry)
+        yield np.full(len(value), filled[row]), value
+
+
+def _even_block(block, bounds, spec, carry):
+    """``(row, value)`` of whole rows, or of the next piece of the row in ``carry``."""
+    k, dtype = spec.k, _window_type(spec.k)
+    n, starts, lengths = len(bounds) - 1, bounds[:-1], np.diff(bounds)
+    local = np.repeat(np.arange(n), lengths)
+    is_base = block < AMBIGUOUS
+    digits = block[is_base].astype(dtype)
+    # the bases of each row behind k - 1 digits from before it
+    at = np.arange(len(digits)) + local[is_base] * (k - 1)
+    fw_digits = np.zeros(len(digits) + n * (k - 1), dtype=dtype)
+    rc_digits = fw_digits.copy()
+    fw_digits[at + k - 1], rc_digits[at + k - 1] = digits, digits ^ dtype(3)
+    fw_digits[: k - 1], rc_digits[: k - 1] = carry.fw, carry.rc
+    counts = np.zeros(len(block), dtype=bool)
+    fw = rc = digits
+    if len(digits):
+        fw, rc = (packed[at] for packed in packed_windows(fw_digits, rc_digits, k))
+        counts[is_base] = fw != rc
+    emitting = (np.arange(len(block)) - np.repeat(starts, lengths) + carry.seen >= k) & (counts | ~is_base)
+
+    # bases counted since the row's start or its latest ambiguous character
+    counted = np.cumsum(counts)
+    before = np.repeat(counted[starts] - counts[starts], lengths)
+    reset = np.maximum.accumulate(np.where(is_base, 0, counted))
+    runs = counted - np.maximum(reset, before)
+    if carry.run:
+        runs[np.logical_and.accumulate(is_base)] += carry.run
+    fresh = counts & (runs >= k)
+    updates = np.flatnonzero(fresh)
+    chosen = fresh[is_base]
+    value = _hash_values(np.minimum(fw[chosen], rc[chosen]), spec).astype(np.uint64)
+    out = emitting[updates]
+    row, picked = local[updates[out]], value[out]
+
+    emits = np.flatnonzero(emitting)
+    if not carry.settled and len(emits):
+        # a row's first emission repeats the latest hash when it has none of its own
+        first = emits[np.minimum(np.searchsorted(emits, starts), len(emits) - 1)]
+        stale = np.flatnonzero((first >= starts) & (first < bounds[1:]) & ~fresh[first])
+        earlier = np.searchsorted(updates, first[stale]) - 1
+        known = earlier >= 0
+        known[known] = updates[earlier[known]] >= starts[stale[known]]
+        repeated = np.full(len(stale), carry.latest)
+        repeated[known] = value[earlier[known]]
+        row, picked = np.concatenate((row, stale)), np.concatenate((picked, repeated))
+
+    carry.fw, carry.rc = fw_digits[len(digits) :][: k - 1], rc_digits[len(digits) :][: k - 1]
+    carry.seen += len(block)
+    carry.run = int(runs[-1])
+    carry.latest = value[-1] if len(value) else carry.latest
+    carry.settled = carry.settled or len(emits) > 0
+    return row, picked
 
 
 # --------------------------------------------------------- per-row reductions

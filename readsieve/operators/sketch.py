@@ -117,33 +117,43 @@ def base_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             codes, offsets = string_codes(batch.column(n_ids), spec)
-            counts = np.empty((len(names), batch.num_rows), dtype=np.int64)
-            for code in range(len(names)):
-                before = np.concatenate(([0], np.cumsum(codes == code)))[offsets]
-                counts[code] = np.diff(before)
-            columns = [batch.column(i) for i in range(n_ids)] + [pa.array(c) for c in counts]
+            counts = np.zeros((batch.num_rows, len(names)), dtype=np.int64)
+            for row, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+                counts[row] = np.bincount(codes[start:end], minlength=len(names))
+            columns = [batch.column(i) for i in range(n_ids)] + [pa.array(c) for c in counts.T]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
-def distinct_hashes(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq") -> DataFrame:
-    """Union of the hashes all sequences emit (column ``hash``).
+def _distinct(sequences: DataFrame, spec: KmerSpec, seq_col: str, name: str, finish) -> DataFrame:
+    """Distinct values of all sequences.
 
-    Each Arrow batch is reduced to its own distinct hashes before the shuffle,
+    Each Arrow batch is reduced to its own distinct values before the shuffle,
     and ``distinct`` combines once more on the map side.
     """
-    schema = T.StructType([T.StructField("hash", T.LongType())])
+    schema = T.StructType([T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             _, row, value = batch_minima(batch.column(0), spec, None)
             _, value = bottom_values(np.zeros_like(row), value, None, spec.value_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(spec.tagged(value))], names=["hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(finish(value))], names=[name])
 
     return project(sequences, [], seq_col).mapInArrow(run, schema).distinct()
 
 
+def distinct_hashes(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq") -> DataFrame:
+    """Union of the hashes all sequences emit (column ``hash``)."""
+    return _distinct(sequences, spec, seq_col, "hash", spec.tagged)
+
+
+def canonical_codes(sequences: DataFrame, k: int, alphabet: str, *, seq_col: str = "seq") -> DataFrame:
+    """Union of the canonical packed k-mers of all complete windows (column ``canonical``)."""
+    spec = KmerSpec(k, False, alphabet, hashed=False)
+    return _distinct(sequences, spec, seq_col, "canonical", lambda value: value.view(np.int64) - 1)
+
+
 def minima_rows(sketches: DataFrame, *, id_cols: Sequence[str]) -> DataFrame:
     """One row per minimum, ``rank`` 0 for the largest."""
     return sketches.select(*id_cols, F.posexplode("minima").alias("rank", "hash"))

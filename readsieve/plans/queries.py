@@ -21,9 +21,9 @@ from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare, screen
-from readsieve.session import cut, fresh_path
+from readsieve.session import fresh_path
 from readsieve.sources.fastx import FOUR_LINE, parse, read_fastx, render_fastq
-from readsieve.sources.tables import sequences, table
+from readsieve.sources.tables import columns_of, table
 from readsieve.streaming.watch import watch
 
 SIZE = 128
@@ -41,7 +41,7 @@ def _spec(k: int, compat: bool = True) -> KmerSpec:
 
 
 def _documents(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    return sequences(spark, sf, "documents", "text", *extra, key="doc_id")
+    return columns_of(spark, sf, "documents", "doc_id", "text", *extra)
 
 
 def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return sequences(spark, sf, "events", *columns, key="event_id")
+    return columns_of(spark, sf, "events", "event_id", *columns)
 
 
 # ------------------------------------------------------------ bases and k-mers
@@ -70,24 +70,26 @@ def kmer_windows(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select(
         "doc_id",
         kmer_count(F.length("text"), 7).cast("long").alias("n_windows"),
-        valid_windows(to_bases(F.col("text")), 7).alias("n_valid"),
+        valid_windows(F.col("text"), 7, TEXT).alias("n_valid"),
     )
 
 
-def canonical_codes(k: int) -> Query:
-    """Distinct canonical k-mers of all documents, combined on the map side."""
+def canonical_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct canonical k-mers of all documents, as built-in expressions throughout.
 
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        bases = _documents(spark, sf).select(to_bases(F.col("text")).alias("seq"))
-        distinct = kmer_rows(bases, k).select(canonical_kmer(F.col("kmer")).alias("kmer")).distinct()
-        return distinct.select(kmer_code(F.col("kmer")).alias("canonical"))
-
-    return run
+    K-mers are made distinct before they are turned round, which leaves few to turn.
+    """
+    found = kmer_rows(_documents(spark, sf), 7, TEXT, seq_col="text").distinct()
+    distinct = found.select(canonical_kmer(F.col("kmer")).alias("kmer")).distinct()
+    return distinct.select(kmer_code(F.col("kmer")).alias("canonical"))
 
 
 def hashed_kmers(k: int) -> Query:
+    """The same from the Arrow tasks, with the hash worked out on the distinct codes."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return canonical_codes(k)(spark, sf).select("canonical", tag(hash64(F.col("canonical"), k), k).alias("hash"))
+        codes = sketch.canonical_codes(_documents(spark, sf), k, TEXT, seq_col="text")
+        return codes.select("canonical", tag(hash64(F.col("canonical"), k), k).alias("hash"))
 
     return run
 
@@ -411,7 +413,7 @@ QUERIES: dict[str, Query] = {
     "base_composition": base_composition,
     "reverse_complements": reverse_complements,
     "kmer_windows": kmer_windows,
-    "canonical_kmers": canonical_codes(7),
+    "canonical_kmers": canonical_kmers,
     "hash64_k5": hashed_kmers(5),
     "hash64_k7": hashed_kmers(7),
     "hash64_k15": hashed_kmers(15),

@@ -32,13 +32,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the session has cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the session has cores.
 
     A large table has many splits and passes through without a shuffle; a small
-    file that arrives as one split would otherwise be sketched by one task.
+    file that arrives as one split would otherwise be sketched by one task. Rows
+    are dealt in turn, so that no key can make one part larger than the others.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(2 * cores, key)
+    return scan.repartition(2 * cores)

@@ -11,6 +11,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, folder: str, name: str, *columns: str, key: str) -> DataFrame:
-    """Chosen columns of a table that holds sequences, spread over the cores."""
-    return spread(table(spark, folder, name).select(key, *columns), key)
+def columns_of(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Chosen columns of a table, spread over the cores."""
+    return spread(table(spark, folder, name).select(*columns))

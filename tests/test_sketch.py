@@ -4,11 +4,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from readsieve.functions.bases import DNA
-from readsieve.functions.kmers import kmers, runs, valid_windows
+from readsieve.functions.bases import DNA, runs
+from readsieve.functions.hashing import canonical_kmer, kmer_code
+from readsieve.functions.kmers import kmer_rows, valid_windows
 from readsieve.operators import sketch as sketches_module
 from readsieve.operators.emission import KmerSpec
-from readsieve.operators.sketch import base_counts, distinct_hashes, emitted, merge, minima_rows, sketch
+from readsieve.operators.sketch import base_counts, canonical_codes, distinct_hashes, emitted, merge, minima_rows, sketch
 from tests import model
 
 
@@ -66,6 +67,13 @@ def test_emitted_and_distinct(reads):
     assert sorted(r.hash for r in union) == sorted({h for _, h in wanted})
 
 
+@pytest.mark.parametrize("k", [4, 7, 15, 31])
+def test_canonical_codes_both_ways(reads, k):
+    arrow = {r.canonical for r in canonical_codes(reads, k, DNA).collect()}
+    columns = kmer_rows(reads, k, DNA).select(kmer_code(canonical_kmer(F.col("kmer"))).alias("c")).distinct()
+    assert arrow == {r.c for r in columns.collect()} and arrow
+
+
 def test_merge_equals_sketch_of_the_union(spark, reads):
     grouped = reads.withColumn("g", F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 3))
     sketches = sketch(grouped, KmerSpec(7), 16, id_cols=["id", "g"])
@@ -95,10 +103,15 @@ def test_unsigned_hashes(spark):
 
 
 def test_column_kmers(spark):
-    rows = spark.createDataFrame([("acgtnnacg",), ("",), ("nn",), ("ac",)], "s string")
-    got = rows.select("s", F.transform(runs(F.col("s")), lambda r: kmers(r, 3)).alias("k"), valid_windows(F.col("s"), 3).alias("n"))
-    found = {r.s: ([k for run in r.k for k in run], r.n) for r in got.collect()}
-    assert found == {"acgtnnacg": (["acg", "cgt", "acg"], 3), "": ([], 0), "nn": ([], 0), "ac": ([], 0)}
+    rows = spark.createDataFrame([("acgTUnacg",), ("",), ("nn",), ("ac",)], "seq string")
+    assert sorted(r.kmer for r in kmer_rows(rows, 3, DNA).collect()) == ["acg", "acg", "cgt", "gtt"]
+    assert {r.seq: r.n for r in rows.select("seq", valid_windows(F.col("seq"), 3, DNA).alias("n")).collect()} == {
+        "acgTUnacg": 4,
+        "": 0,
+        "nn": 0,
+        "ac": 0,
+    }
+    assert [r.r for r in rows.select(runs(F.col("seq"), DNA, 3).alias("r")).collect()] == [["acgTU", "acg"], [], [], []]
 
 
 def test_base_counts(spark, reads):
