@@ -97,15 +97,27 @@ def gather(words: DataFrame, params: BloomParams) -> np.ndarray:
     return filled.view(np.uint8)[: params.bytes]
 
 
+def fill_array(tagged: np.ndarray, params: BloomParams, k: int) -> np.ndarray:
+    """The filter's bytes from keys at hand."""
+    bits = np.zeros(params.bits, dtype=bool)
+    a, b = _key_arrays(tagged, k)
+    for i in range(params.hashes):
+        bits[(a + np.uint32(i) * b) % np.uint32(params.bits)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _key_arrays(tagged: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = tagged.view(np.uint64)
+    a = murmur2_array(keys, key_length(k), BLOOM_SEED)
+    return a, murmur2_array(keys, key_length(k), a)
+
+
 def check_array(tagged: np.ndarray, filled: np.ndarray, params: BloomParams, k: int) -> np.ndarray:
     """Which keys the filter holds (NumPy form, used inside the tasks)."""
     held = np.zeros(len(tagged), dtype=bool)
-    length = key_length(k)
     for at in range(0, len(tagged), _PROBE_CHUNK):
-        keys = tagged[at : at + _PROBE_CHUNK].view(np.uint64)
-        a = murmur2_array(keys, length, BLOOM_SEED)
-        b = murmur2_array(keys, length, a)
-        alive = np.arange(len(keys))
+        a, b = _key_arrays(tagged[at : at + _PROBE_CHUNK], k)
+        alive = np.arange(len(a))
         for i in range(params.hashes):
             p = (a[alive] + np.uint32(i) * b[alive]) % np.uint32(params.bits)
             alive = alive[(filled[p >> np.uint32(3)] >> (p & np.uint32(7)).astype(np.uint8)) & 1 == 1]

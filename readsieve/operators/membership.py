@@ -58,16 +58,20 @@ def domain_fits(spec: KmerSpec, limit: int) -> bool:
     return (4**spec.k + palindromes) // 2 + 1 <= limit
 
 
+def probe_of(tagged: np.ndarray, spec: KmerSpec, params: BloomParams | None) -> Probe:
+    """Distinct hashes at hand as a probe: a filled filter if it has ``params``."""
+    if params is None:
+        return Probe(values=np.sort(spec.values(tagged)))
+    return Probe(filled=bloom.fill_array(tagged, params, spec.k), params=params)
+
+
 def exact_probe(hashes: DataFrame, spec: KmerSpec) -> Probe:
     """Distinct ``hashes``, of a number already checked, as a sorted array."""
-    held = hashes.toPandas()["hash"].to_numpy(dtype=np.int64)
-    return Probe(values=np.sort(spec.values(held)))
+    return probe_of(hashes.toPandas()["hash"].to_numpy(dtype=np.int64), spec, None)
 
 
-def bloom_probe(hashes: DataFrame, spec: KmerSpec, params: BloomParams) -> Probe | None:
-    """The ``hashes`` as a filled filter, or None when it is too large to gather."""
-    if params.bytes > bloom.BROADCAST_BYTES:
-        return None
+def bloom_probe(hashes: DataFrame, spec: KmerSpec, params: BloomParams) -> Probe:
+    """Any number of ``hashes`` as a filled filter of checked size."""
     return Probe(filled=bloom.gather(bloom.bit_words(hashes, params, spec.k), params), params=params)
 
 

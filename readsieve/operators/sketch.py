@@ -148,6 +148,26 @@ def distinct_hashes(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq
     return _distinct(sequences, spec, seq_col, "hash", spec.tagged)
 
 
+def hashes_and_length(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "seq") -> DataFrame:
+    """The same union with the summed length of the sequences, from one pass.
+
+    Rows ``hash, bases``: the row without a hash holds the length in ``bases``.
+    """
+    schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("bases", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            lengths, row, value = batch_minima(batch.column(0), spec, None)
+            _, value = bottom_values(np.zeros_like(row), value, None, spec.value_bits)
+            hashes = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(spec.tagged(value))])
+            bases = np.zeros(len(hashes), dtype=np.int64)
+            bases[0] = lengths.sum()
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(bases)], names=schema.names)
+
+    pieces = project(sequences, [], seq_col).mapInArrow(run, schema)
+    return pieces.groupBy("hash").agg(F.sum("bases").alias("bases"))
+
+
 def canonical_codes(sequences: DataFrame, k: int, alphabet: str, *, seq_col: str = "seq") -> DataFrame:
     """Union of the canonical packed k-mers of all complete windows (column ``canonical``)."""
     spec = KmerSpec(k, False, alphabet, hashed=False)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readsieve.operators import bloom
@@ -20,8 +21,9 @@ from readsieve.operators.membership import (
     exact_probe,
     joined_hits,
     probe_hits,
+    probe_of,
 )
-from readsieve.operators.sketch import SKETCH_SIZE, distinct_hashes, sketch
+from readsieve.operators.sketch import SKETCH_SIZE, hashes_and_length, sketch
 from readsieve.session import cut
 
 
@@ -41,40 +43,45 @@ class ScreenSpec:
 
 @dataclass(frozen=True)
 class Whitelist:
-    """A prepared whitelist: its hashes, its length, and a probe if one fits."""
+    """A prepared whitelist: a probe if one fits, else its written hashes; its length."""
 
-    hashes: DataFrame
+    hashes: DataFrame | None
     ref_length: int
     probe: Probe | None
     holds_zero: bool
 
 
 def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") -> Whitelist:
-    """Hash the whitelist, and turn it into a probe when its size allows.
+    """Hash the whitelist in one pass, and turn it into a probe when its size allows.
 
-    For small k there are too few k-mers to exceed the limit; otherwise the
-    hashes are written out and counted before any are gathered.
+    For small k there are too few k-mers to exceed the limit, so the hashes are
+    gathered at once. Otherwise they are written out, and gathered only if they
+    were counted and found few, or as a Bloom filter of checked size.
     """
-    bases = Observation()
-    total = F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases")
-    hashes = distinct_hashes(whitelist.select(seq_col).observe(bases, total), spec.kmers, seq_col=seq_col)
-    if spec.filter is not None:
-        probe = bloom_probe(hashes, spec.kmers, spec.filter)
-        hashes = hashes if probe is not None else cut(hashes, "whitelist")
-    elif domain_fits(spec.kmers, spec.broadcast_values):
-        probe = exact_probe(hashes, spec.kmers)
+    kmers, params = spec.kmers, spec.filter
+    small_filter = params is None or params.bytes <= bloom.BROADCAST_BYTES
+    found = hashes_and_length(whitelist, kmers, seq_col=seq_col)
+    if small_filter and domain_fits(kmers, spec.broadcast_values):
+        rows = found.toArrow()
+        length = pc.sum(rows["bases"]).as_py()
+        probe = probe_of(rows["hash"].drop_null().to_numpy(), kmers, params)
+        hashes = None
     else:
-        hashes = cut(hashes, "whitelist")
-        probe = exact_probe(hashes, spec.kmers) if hashes.count() <= spec.broadcast_values else None
-    # counted by whichever run above read the whitelist
-    ref_length = bases.get["bases"] if spec.ref_length is None else spec.ref_length
+        found = cut(found, "whitelist")
+        length = found.where("hash IS NULL").agg(F.sum("bases")).first()[0]
+        hashes = found.where("hash IS NOT NULL").select("hash")
+        probe = None
+        if params is not None and small_filter:
+            probe = bloom_probe(hashes, kmers, params)
+        elif params is None and hashes.count() <= spec.broadcast_values:
+            probe = exact_probe(hashes, kmers)
+    ref_length = int(length or 0) if spec.ref_length is None else spec.ref_length
     if probe is not None:
-        return Whitelist(hashes, ref_length, probe, probe.holds_zero(spec.kmers))
-    if spec.filter is None:
+        return Whitelist(hashes, ref_length, probe, probe.holds_zero(kmers))
+    if params is None:
         return Whitelist(hashes, ref_length, None, bool(hashes.where("hash = 0").take(1)))
     zero = hashes.sparkSession.range(1).select(F.lit(0).cast("long").alias("hash"))
-    words = bloom.bit_words(hashes, spec.filter, spec.kmers.k)
-    zero_held = bloom.members(zero, words, spec.filter, spec.kmers.k)
+    zero_held = bloom.members(zero, bloom.bit_words(hashes, params, kmers.k), params, kmers.k)
     return Whitelist(hashes, ref_length, None, bool(zero_held.take(1)))
 
 

@@ -68,6 +68,7 @@ def test_filled_filter(spark, k):
     words = bloom.bit_words(spark.createDataFrame([(h,) for h in held], "hash long"), params, k)
     filled = bloom.gather(words, params)
     assert len(filled) == params.bytes
+    assert (filled == bloom.fill_array(np.array(held, dtype=np.int64), params, k)).all()
 
     bits = set()
     length = min(k, 8)

@@ -126,13 +126,28 @@ def test_false_positive_correction_is_not_clamped(spark):
     assert score(row, k=K, size=SIZE, fp_rate=0.25, ref_length=1000).first().intersections == -3
 
 
-def test_empty_whitelist(tables):
+@pytest.mark.parametrize("limit", [membership.BROADCAST_VALUES, 0])
+@pytest.mark.parametrize("params", [None, BloomParams.of(1000, 0.01)])
+def test_empty_whitelist(tables, limit, params):
     reads, white, _ = tables
-    spec = ScreenSpec(KmerSpec(K), SIZE, ref_length=100)
-    found = screen(reads, prepare(white.where("false"), spec), spec, id_cols=["id"])
+    spec = ScreenSpec(KmerSpec(K), SIZE, filter=params, broadcast_values=limit)
+    for empty in (white.where("false"), white.where("ref > 99")):
+        prepared = prepare(empty, spec)
+        assert (prepared.ref_length, prepared.holds_zero) == (0, False)
+    found = screen(reads, prepared, spec, id_cols=["id"])
     assert found.agg(F.sum("intersections")).first()[0] == 0
 
 
+@pytest.mark.parametrize("params", [None, BloomParams.of(1000, 0.01)])
+def test_large_k_is_counted_before_it_is_gathered(tables, params):
+    reads, white, _ = tables
+    spec = ScreenSpec(KmerSpec(15), SIZE, filter=params, broadcast_values=2000)
+    prepared = prepare(white, spec)
+    assert prepared.probe is not None and prepared.ref_length == 900
+    whole = screen(white, prepared, spec, id_cols=["ref"]).collect()
+    assert {r.containment for r in whole} == {1.0}
+
+
 def test_probing_is_narrow(tables):
     reads, white, _ = tables
     spec = ScreenSpec(KmerSpec(K), SIZE)
