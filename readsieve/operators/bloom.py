@@ -16,7 +16,7 @@ LN2_SQUARED = 0.480453013918201
 LN2 = 0.693147180559945
 MIN_ENTRIES = 1000
 
-# A filter above this many bytes is never gathered on the driver.
+# A filter above this many bytes is not gathered on the driver.
 BROADCAST_BYTES = 32 << 20
 _PROBE_CHUNK = 1 << 16
 
@@ -87,9 +87,9 @@ def bit_words(hashes: DataFrame, params: BloomParams, k: int) -> DataFrame:
     return at.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def gather(words: DataFrame, params: BloomParams) -> np.ndarray:
-    """The filter's bytes on the driver; refused above ``BROADCAST_BYTES``."""
-    if params.bytes > BROADCAST_BYTES:
+def gather(words: DataFrame, params: BloomParams, limit: int = BROADCAST_BYTES) -> np.ndarray:
+    """The filter's bytes on the driver; refused above ``limit`` bytes."""
+    if params.bytes > limit:
         raise ValueError(f"a filter of {params.bytes} bytes is too large to gather")
     rows = words.toPandas()
     filled = np.zeros(-(-params.bytes // 4), dtype="<u4")

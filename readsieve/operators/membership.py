@@ -70,9 +70,9 @@ def exact_probe(hashes: DataFrame, spec: KmerSpec) -> Probe:
     return probe_of(hashes.toPandas()["hash"].to_numpy(dtype=np.int64), spec, None)
 
 
-def bloom_probe(hashes: DataFrame, spec: KmerSpec, params: BloomParams) -> Probe:
+def bloom_probe(hashes: DataFrame, spec: KmerSpec, params: BloomParams, limit: int = bloom.BROADCAST_BYTES) -> Probe:
     """Any number of ``hashes`` as a filled filter of checked size."""
-    return Probe(filled=bloom.gather(bloom.bit_words(hashes, params, spec.k), params), params=params)
+    return Probe(filled=bloom.gather(bloom.bit_words(hashes, params, spec.k), params, limit), params=params)
 
 
 def probe_hits(

@@ -207,9 +207,11 @@ SCREENS = {
     "containment_compat": ScreenSpec(_spec(7, True), SIZE),
     "containment_fixed_reference": ScreenSpec(_spec(7, True), SIZE, ref_length=FIXED_REF_LENGTH),
     "containment_joined": ScreenSpec(_spec(7, True), SIZE, broadcast_values=0),
+    "containment_k15": ScreenSpec(_spec(15, True), SIZE),
     "containment_k5": ScreenSpec(_spec(5, True), 64),
     "bloom_containment": ScreenSpec(_spec(7, False), SIZE, filter=FILTER, fp_rate=0.001),
     "bloom_containment_compat": ScreenSpec(_spec(7, True), SIZE, filter=FILTER, fp_rate=0.02),
+    "bloom_containment_joined": ScreenSpec(_spec(7, True), SIZE, filter=SMALL_FILTER, fp_rate=0.05, broadcast_bytes=0),
     "bloom_containment_small": ScreenSpec(_spec(7, True), SIZE, filter=SMALL_FILTER, fp_rate=0.05),
 }
 

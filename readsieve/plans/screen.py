@@ -38,7 +38,9 @@ class ScreenSpec:
     filter: BloomParams | None = None
     # None: the summed length of the whitelist sequences
     ref_length: int | None = None
+    # most hashes, and largest filter, that are sent to every task
     broadcast_values: int = BROADCAST_VALUES
+    broadcast_bytes: int = bloom.BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") ->
     were counted and found few, or as a Bloom filter of checked size.
     """
     kmers, params = spec.kmers, spec.filter
-    small_filter = params is None or params.bytes <= bloom.BROADCAST_BYTES
+    small_filter = params is None or params.bytes <= spec.broadcast_bytes
     found = hashes_and_length(whitelist, kmers, seq_col=seq_col)
     if small_filter and domain_fits(kmers, spec.broadcast_values):
         rows = found.toArrow()
@@ -72,7 +74,7 @@ def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") ->
         hashes = found.where("hash IS NOT NULL").select("hash")
         probe = None
         if params is not None and small_filter:
-            probe = bloom_probe(hashes, kmers, params)
+            probe = bloom_probe(hashes, kmers, params, spec.broadcast_bytes)
         elif params is None and hashes.count() <= spec.broadcast_values:
             probe = exact_probe(hashes, kmers)
     ref_length = int(length or 0) if spec.ref_length is None else spec.ref_length

@@ -100,7 +100,6 @@ def test_empty_filter(spark):
     assert not bloom.check_array(np.array([0, 5], dtype=np.int64), filled, params, 7).any()
 
 
-def test_large_filters_are_not_gathered(spark, monkeypatch):
-    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 100)
+def test_large_filters_are_not_gathered(spark):
     with pytest.raises(ValueError):
-        bloom.gather(spark.createDataFrame([], "word long, bits long"), BloomParams.of(1000, 0.01))
+        bloom.gather(spark.createDataFrame([], "word long, bits long"), BloomParams.of(1000, 0.01), limit=100)

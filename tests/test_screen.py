@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from readsieve.operators import bloom, membership
+from readsieve.operators import membership
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import score
 from readsieve.operators.emission import KmerSpec
@@ -85,12 +85,11 @@ def test_exact(tables, compat, limit, padded, monkeypatch):
 
 
 @pytest.mark.parametrize("large", [False, True])
-def test_bloom(tables, large, monkeypatch):
+def test_bloom(tables, large):
     """A filter small enough to be wrong now and then, gathered or joined."""
-    if large:
-        monkeypatch.setattr(bloom, "BROADCAST_BYTES", 10)
     params = BloomParams.of(1000, 0.6)
-    spec = ScreenSpec(KmerSpec(K, True), SIZE, filter=params, ref_length=18246)
+    limit = {"broadcast_bytes": 10} if large else {}
+    spec = ScreenSpec(KmerSpec(K, True), SIZE, filter=params, ref_length=18246, **limit)
 
     def positions(h):
         data = h.to_bytes(8, "little")[:K]
