@@ -7,7 +7,7 @@ posterior probability of "good" then replaces the demand that all rules pass.
 
 A vote pattern is one of 3^rules, so the counts of patterns are all that the
 estimation needs: one pass over the texts, one aggregation, and a table of at most
-729 rows on the driver whatever the size of the corpus.
+3^7 rows on the driver whatever the size of the corpus.
 
 Null and empty texts have no words and fail the base test. Repeated rows are judged
 alike. An empty table gives an empty result. Extra columns are not read.
@@ -98,8 +98,9 @@ def votes() -> dict[str, Column]:
     words, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
     return {
         "symbols": _vote(10 * F.col("n_symbols") > words, 50 * F.col("n_symbols") <= words),
+        "symbol_density": _vote(50 * F.col("n_symbols") > chars, 200 * F.col("n_symbols") <= chars),
         "repeats": _vote(100 * F.col("n_repeat_words") > 30 * words, 100 * F.col("n_repeat_words") <= 10 * words),
-        "dup_lines": _vote(100 * F.col("n_dup_lines") > 30 * lines, 100 * F.col("n_dup_lines") <= 10 * lines),
+        "dup_lines": _vote(100 * F.col("n_dup_lines") > 60 * lines, 100 * F.col("n_dup_lines") <= 10 * lines),
         "word_length": _vote((2 * chars < 5 * words) | (chars > 12 * words), (chars >= 3 * words) & (chars <= 9 * words)),
         "length": _vote(words < 50, words >= 80),
         "shouting": _vote(
@@ -135,11 +136,12 @@ def posterior(model: LabelModel, patterns: np.ndarray) -> np.ndarray:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> LabelModel:
     """Estimate the model from the patterns (rows of -1, 0, 1) and how often each occurs.
 
-    Every rule is taken to be right more often than not to begin with, which tells the
-    two classes apart; one imagined right and wrong vote keeps the estimates inside (0, 1).
+    To begin with, a good document is taken to pass most rules and a bad one to break a
+    good part of them, since a rule looks for one fault among several; that tells the two
+    classes apart. A few imagined votes keep the estimates inside (0, 1).
     """
     n_rules = patterns.shape[1]
-    model = LabelModel(0.8, [0.8] * n_rules, [0.7] * n_rules)
+    model = LabelModel(0.9, [0.95] * n_rules, [0.4] * n_rules)
     if not counts.sum():
         return model
     for n in range(1, rounds + 1):
@@ -148,11 +150,11 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance:
         new = LabelModel(
             float(np.clip((good.sum() + 1) / (counts.sum() + 2), 1e-6, 1 - 1e-6)),
             [
-                float((good[patterns[:, j] == 1].sum() + 8) / (good[patterns[:, j] >= 0].sum() + 10))
+                float((good[patterns[:, j] == 1].sum() + 9.5) / (good[patterns[:, j] >= 0].sum() + 10))
                 for j in range(n_rules)
             ],
             [
-                float((bad[patterns[:, j] == 0].sum() + 7) / (bad[patterns[:, j] >= 0].sum() + 10))
+                float((bad[patterns[:, j] == 0].sum() + 4) / (bad[patterns[:, j] >= 0].sum() + 10))
                 for j in range(n_rules)
             ],
             n,
