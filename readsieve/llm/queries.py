@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import bpe, lines, rules, simhash
+from readsieve.llm import bpe, langid, lines, mixing, ordinal, rules, secrets, simhash, warc
 from readsieve.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,10 +15,24 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.read_ranks(spark, public_tokenizers.path(VOCABULARY))
     return bpe.encode_digests(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
@@ -33,9 +47,23 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_digests(table(spark, sf, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find(table(spark, sf, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return ordinal.score(docs, ordinal.train(docs, table(spark, sf, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_secrets": op9_secrets,
+    "op10_quality_classifier": op10_quality_classifier,
 }
