@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readsieve.llm import bpe, langid, lines, mixing, ordinal, rules, secrets, simhash, warc
+from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, rules, secrets, simhash, warc
 from readsieve.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op1_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), every=20, k=20)
+
+
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -58,6 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
