@@ -48,8 +48,10 @@ EDGES = "id long, nbr long, score double"
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of the vectors that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, embedding) of the vectors that take part, as floats if they are floats, else as doubles."""
+    v = F.col("embedding")
+    if rows.schema["embedding"].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     fit = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(~bad & some)
@@ -88,7 +90,7 @@ class Tree:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64)
 
 
 def _blocks(nodes: DataFrame, trees: list[Tree], parts: int) -> DataFrame:
@@ -104,7 +106,8 @@ def _blocks(nodes: DataFrame, trees: list[Tree], parts: int) -> DataFrame:
                         [pa.array(blocks), ids, batch.column(1)], names=["block", "id", "embedding"]
                     )
 
-    dealt = nodes.select("id", "embedding").mapInArrow(task, "block long, id long, embedding array<double>")
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    dealt = nodes.select("id", "embedding").mapInArrow(task, f"block long, id long, embedding {kind}")
     return dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("id"), F.lit(parts)))
 
 
@@ -250,7 +253,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, degree: int, sample: int, turn:
     worst = graph.groupBy("id").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
     reach = F.when(F.col("n") < degree, F.lit(float("-inf"))).otherwise(F.col("worst"))
     known = nodes.join(worst, "id", "left").select(
-        F.col("id").alias("u"), F.coalesce(reach, F.lit(float("-inf"))).alias("worst"), F.col("embedding").cast("array<float>")
+        F.col("id").alias("u"), F.coalesce(reach, F.lit(float("-inf"))).alias("worst"), "embedding"
     )
     met = links.join(known, "u").select("v", "u", "new", "worst", "embedding")
     found = met.repartition("v").sortWithinPartitions("v").mapInArrow(_local_join, EDGES)
@@ -335,7 +338,7 @@ def nearest(rows: DataFrame, every: int, k: int) -> DataFrame:
     found = search(graph, nodes, asked_nodes)
     # A query's own class counts too, for the other rows with the same vector.
     own = asked_nodes.join(nodes, "id").select(
-        "id", F.col("id").alias("nbr"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("score")
+        "id", F.col("id").alias("nbr"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("score")
     )
     beam = found.unionByName(own)
     # More than k + 1 members of a class are never needed; the smallest ids come first.
