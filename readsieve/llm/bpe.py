@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,8 +203,10 @@ def encode_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast((ranks, unreachable))
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        bpe = Bpe(shared.value[0], pattern, shared.value[1])
-        return texts.map(lambda t: bpe.encode(t or ""))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks, unreachable = shared.value
+        bpe = Bpe(ranks, pattern, unreachable)
+        for texts in batches:
+            yield texts.map(lambda t: bpe.encode(t or ""))
 
     return docs.select("doc_id", ids("text").alias("ids"))

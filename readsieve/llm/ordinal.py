@@ -21,10 +21,11 @@ words are kept, with null scores. Repeated rows are scored alike.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,8 +250,9 @@ def select(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5)
     judging = _judge(model, threshold)
 
     @F.pandas_udf("boolean")
-    def kept(texts):
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = judging()
-        return texts.map(lambda t: judge(t)[2])
+        for texts in batches:
+            yield texts.map(lambda t: judge(t)[2])
 
     return docs.where(kept("text"))

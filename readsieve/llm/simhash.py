@@ -270,3 +270,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = cut(named.join(least, "root").select("fp", "component_id"), "classes")
     return printed.join(of_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that a group has beside its smallest doc_id.
+
+    The rows of a doc_id stay or go together; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs)
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    spare = found.groupBy(F.col("doc_id").alias("__spare")).agg(first.alias("first")).where("not first")
+    return docs.join(cut(spare.select("__spare"), "spare"), F.col("doc_id") == F.col("__spare"), "left_anti")
