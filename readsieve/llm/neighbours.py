@@ -36,11 +36,11 @@ from readsieve.session import cut
 LEAF = 1_000
 TREES = 6
 TREE_SAMPLE = 20_000
-DEGREE = 40
-SAMPLE = 18
-ROUNDS = 5
-LEAST_CHANGE = 0.02
-EXPANDED = 24
+DEGREE = 48
+SAMPLE = 20
+ROUNDS = 12
+LEAST_CHANGE = 0.05
+EXPANDED = 32
 SEARCH_ROUNDS = 3
 BEAM = 100
 
