@@ -151,7 +151,8 @@ class _Forest:
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None] ^ b[None, :])
+    """Differing bits of every pair; unsigned, as signed numbers would lose their top bit."""
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :])
 
 
 def _links_at(fps: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int]]:
