@@ -74,6 +74,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             return
         run = np.concatenate(found)
         run = run[np.lexsort((run["doc"], run["lo"], run["hi"]))]
+        run = run[np.append(True, run[1:] != run[:-1])] if len(run) else run  # rows that repeat a doc_id
         new = np.ones(len(run), bool)
         new[1:] = (run["hi"][1:] != run["hi"][:-1]) | (run["lo"][1:] != run["lo"][:-1])
         for at in range(0, len(run), ROWS_OUT):
@@ -121,7 +122,7 @@ class LineStore:
         """Take in the lines of one batch (h, doc_id); return the (h, doc_id) to be dropped."""
         from pyspark.sql import Window
 
-        rows = batch.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h")))
+        rows = batch.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h"))).dropDuplicates(["h", "doc_id"])
         seen = F.lit(False)
         for i, table in enumerate(t for level in self.levels for t in level):
             rows = rows.join(self._run(table).withColumn(f"in{i}", F.lit(True)), "h", "left")
