@@ -166,9 +166,9 @@ def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x:
                 wanted += r * x
                 if before != (ids[i], x):  # rows alike get the same
-                    # The number of copies that comes nearest, next to the rate's own value.
+                    # The number of copies that comes nearest to the rates of all so far.
                     best = math.floor((wanted - given) / x + 0.5)
-                    before, last = (ids[i], x), min(max(best, math.floor(r)), math.ceil(r))
+                    before, last = (ids[i], x), min(max(best, 0), int(CAP))
                 copies[i] = last
                 given += x * last
         names = [n for n in named if n not in ("__segment", "rate")]
