@@ -6,7 +6,8 @@ vector to search; the answers name its members afterwards.
 **Graph.** Every node keeps its ``degree`` nearest nodes found so far, by inner product.
 The first neighbours come from blocks of about ``LEAF`` nodes that random hyperplane
 trees cut (trees are grown on a bounded sample of ``TREE_SAMPLE`` vectors; a block that
-is larger on the whole data is dealt out by hash). Then rounds of NN-descent join each
+is larger on the whole data is dealt out by hash). There are two trees at least: blocks
+of one tree have no link between them that a descent could follow. Then rounds of NN-descent join each
 node's neighbours, forward and reverse, with the vectors and compare the neighbours of a
 node with each other, at least one of the two being new: neighbours of neighbours. A
 round samples ``sample`` links of each kind for a node, which bounds its join, hubs

@@ -5,8 +5,9 @@ into grades: P(grade <= k) = sigmoid(threshold[k] - score). The expected grade a
 probability of the top grade select documents.
 
 Grades come from the labels: 0 for poor quality, 1 for good quality that is toxic,
-2 for good and clean. Features are hashes of words (letters in lower case, outer
-punctuation off) and of word shapes in coarse shares, each present or absent.
+2 for good and clean. Features are hashes of words (in lower case, outer punctuation
+off), of their first 4, 5 and 6 characters, and of word shapes in coarse shares, each
+present or absent.
 
 The model is fitted on a bounded sample: the ``sample`` labelled documents with the
 smallest hash of their doc_id (documented bound, 4,000 by default). An L1 penalty makes
@@ -36,8 +37,11 @@ from readsieve.llm.texts import per_row, words_of
 SAMPLE = 4_000
 BITS = 30
 LEAST_DOCS = 3
+RELAXED = 0.005
+THRESHOLD = 0.8  # of the probability of the top grade
 WORDS_KEPT = 300_000
 LONG_WORD = 64
+BEGINNINGS = (4, 5, 6)
 
 _EDGES = b".,;:!?\"'()[]{}|&#*$%<>"
 _SYMBOLS = frozenset(b"#*$%&|<>")
@@ -64,11 +68,18 @@ def _share(part: int, whole: int) -> int:
     return (part > 0) + (50 * part > whole) + (10 * part > whole) + (10 * part > 3 * whole)
 
 
+def _word_buckets(word: bytes) -> tuple[int, ...]:
+    """Buckets of a word without outer punctuation and of its beginnings, which endings don't change."""
+    bare = word.strip(_EDGES).decode(errors="replace").lower()
+    found = {_bucket(bare.encode())} | {_bucket(f"\0begins {bare[:n]}".encode()) for n in BEGINNINGS if len(bare) > n}
+    return tuple(found)
+
+
 class _Words(dict):
-    """(bucket, shape) of words seen before; emptied when full."""
+    """(buckets, shape) of words seen before; emptied when full."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        kind = _bucket(word.strip(_EDGES).lower()), _shape(word)
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], int]:
+        kind = _word_buckets(word), _shape(word)
         if len(word) <= LONG_WORD:
             if len(self) >= WORDS_KEPT:
                 self.clear()
@@ -86,8 +97,8 @@ def buckets_of(text: str | None, memo: _Words) -> set[int]:
     shapes = [0] * 5
     found = set()
     for word, n in counts.items():
-        bucket, shape = memo[word]
-        found.add(bucket)
+        buckets, shape = memo[word]
+        found.update(buckets)
         shapes[shape] += n
     total = sum(shapes)
     for shape, n in enumerate(shapes[1:], 1):
@@ -117,12 +128,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 2e-4, rounds: int = 400, rate: float = 0.3
+    rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1.5, rounds: int = 400, rate: float = 0.3
 ) -> OrdinalModel:
     """Proximal gradient steps, scaled for each coordinate, on the mean log loss.
 
-    ``rows`` hold the buckets of each document. Buckets in under ``LEAST_DOCS`` documents
-    of the sample cannot be told from noise and are left out.
+    ``rows`` hold the buckets of each document. The L1 penalty of a bucket grows as the
+    square root of the number of its documents, as chance does, so that ``l1`` says how far
+    beyond chance a bucket has to be for a weight. A second half of the rounds fits the
+    chosen weights with little of the penalty, which would else keep them small. Buckets in under ``LEAST_DOCS`` documents
+    of the sample are left out.
     """
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -132,6 +146,7 @@ def fit(
     row = np.repeat(np.arange(len(rows)), lengths)[use[column]]
     column = place[column[use[column]]]
     names = names[use]
+    penalty = l1 * np.sqrt(found[use]) / max(len(rows), 1)
 
     n = len(rows)
     shares = (np.bincount(grades, minlength=n_grades) + 1) / (n + n_grades)
@@ -141,7 +156,13 @@ def fit(
     w, past_w = np.zeros(len(names)), np.full(len(names), 1e-8)
     cuts = np.concatenate(([first], gaps))
     past_cuts = np.full(len(cuts), 1e-8)
-    for _ in range(rounds):
+    kept = np.ones(len(names), bool)
+    for turn in range(2 * rounds):
+        if turn == rounds:  # the penalty has chosen; now the chosen weights get their size
+            kept = w != 0
+            penalty = RELAXED * penalty
+            past_w[:], past_cuts[:] = 1e-8, 1e-8
+            row, column = row[kept[column]], column[kept[column]]
         thresholds = np.cumsum(np.concatenate(([cuts[0]], np.exp(cuts[1:]))))
         edges = np.concatenate(([-np.inf], thresholds, [np.inf]))
         score = np.bincount(row, weights=w[column], minlength=n)
@@ -162,11 +183,11 @@ def fit(
         past_cuts += of_cuts**2
         step = rate / np.sqrt(past_w)
         w = w - step * of_w
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.where(kept, np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0), 0)
         cuts = cuts - 0.1 * of_cuts / np.sqrt(past_cuts)
     thresholds = np.cumsum(np.concatenate(([cuts[0]], np.exp(cuts[1:]))))
-    kept = np.flatnonzero(w)
-    return OrdinalModel(dict(zip(names[kept].tolist(), w[kept].tolist())), thresholds.tolist())
+    found = np.flatnonzero(w)
+    return OrdinalModel(dict(zip(names[found].tolist(), w[found].tolist())), thresholds.tolist())
 
 
 # --------------------------------------------------------------------- Spark
@@ -234,7 +255,7 @@ SCORE_SCHEMA = StructType(
 )
 
 
-def score(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """Expected grade, probability of the top grade and verdict for every document."""
     judging = _judge(model, threshold)
 
@@ -245,7 +266,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -
     return per_row(docs, ["doc_id", "text"], SCORE_SCHEMA, make)
 
 
-def select(docs: DataFrame, model: OrdinalModel | None, threshold: float = 0.5) -> DataFrame:
+def select(docs: DataFrame, model: OrdinalModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with all their columns."""
     judging = _judge(model, threshold)
 

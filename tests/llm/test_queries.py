@@ -1,0 +1,179 @@
+"""The operators as queries over the smallest tables, those without SQL against brute force."""
+
+import hashlib
+import os
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import tiktoken
+
+import __spark_entry__ as entry_points
+import corpus_pipeline
+from readsieve.llm import bpe
+from readsieve.llm.oracles import ORACLES
+from readsieve.llm.queries import QUERIES
+from tests.llm import test_lines, test_mixing, test_neighbours, test_rules, test_simhash
+
+SF = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def docs(duck):
+    return duck.execute("SELECT doc_id, text, source, lang FROM documents ORDER BY doc_id").fetchall()
+
+
+def rows(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted((tuple(None if pd.isna(v) else v for v in r) for r in frame.itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    got, wanted = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(wanted.columns) and len(got)
+    assert rows(got) == rows(wanted)
+
+
+def test_every_operator_is_registered():
+    names = set(entry_points.queries())
+    assert set(QUERIES) | {"pipeline"} <= names
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+
+
+def test_language(spark, docs):
+    found = {r["doc_id"]: r for r in QUERIES["op1_language"](spark, SF).collect()}
+    assert len(found) == len(docs)
+    right = [found[i]["lang_pred"] == lang for i, _, _, lang in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean(right) > 0.95
+
+
+def test_nearest(spark, duck):
+    vectors = duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    found = test_neighbours.answers(QUERIES["op2_neighbours"](spark, SF))
+    expected = test_neighbours.brute(vectors, 20, 20)
+    assert found.keys() == expected.keys()
+    hits = [len({r[1] for r in found[q]} & {i for i, _ in expected[q]}) / len(expected[q]) for q in expected]
+    assert np.mean(hits) >= 0.9
+
+
+def test_mixing_targets(spark, docs):
+    found = QUERIES["op3_mixing"](spark, SF).collect()
+    assert len(found) == len(docs)
+    goals = test_mixing.brute_targets([(s, test_mixing.size_of(t)) for _, t, s, _ in docs])
+    source = {i: s for i, _, s, _ in docs}
+    taken = dict.fromkeys(goals, 0)
+    for r in found:
+        whole, target = goals[source[r["doc_id"]]]
+        assert (r["source_size"], r["taken"] <= 2 * r["size"]) == (whole, True)
+        assert r["target"] == pytest.approx(target)
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert all(taken[s] == pytest.approx(t, rel=0.03) for s, (_, t) in goals.items())
+
+
+def test_rule_counts(spark, docs):
+    found = {r["doc_id"]: r for r in QUERIES["op4_quality_rules"](spark, SF).collect()}
+    for i, text, _, _ in docs:
+        words, chars, symbols, dup, again = test_rules.brute(text) if len(text) < 5000 else (None,) * 5
+        if words is not None:
+            r = found[i]
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+                *(words, chars, symbols, dup, again),
+            )
+    assert len(found) == len(docs)
+
+
+def test_ids(spark, docs):
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found = {r["doc_id"]: r for r in QUERIES["op6_bpe"](spark, SF).collect()}
+    for i, text, _, _ in docs:
+        ids = known.encode_ordinary(text)
+        assert found[i]["n_tokens"] == len(ids)
+        assert found[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_near_duplicates(spark, docs):
+    found = {r["doc_id"]: r for r in QUERIES["op7_simhash"](spark, SF).collect()}
+    fps = [test_simhash.brute_fingerprint(t) for _, t, _, _ in docs]
+    for (i, *_), fp, root in zip(docs, fps, test_simhash.brute_components(fps)):
+        assert (found[i]["fingerprint"], found[i]["component_id"]) == (f"{fp:016x}", docs[root][0])
+
+
+def test_quality(spark, duck):
+    found = {r["doc_id"]: r for r in QUERIES["op10_quality_classifier"](spark, SF).collect()}
+    labels = duck.execute("SELECT doc_id, quality, toxic FROM labels").fetchall()
+    right = [found[i]["kept"] == (q == 1 and t == 0) for i, q, t in labels if i in found]
+    assert np.mean(right) > 0.97
+
+
+def test_pipeline_stages(spark, duck, docs, tmp_path):
+    """Each stage on what the one before it kept."""
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "mix", "encode"]
+    assert corpus_pipeline.ORACLE_SQL is None
+    before = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = before.columns, {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, SF).write.parquet(f"{tmp_path}/{k}")
+        before = spark.read.parquet(f"{tmp_path}/{k}")
+        kept[name] = before.collect()
+        if name != "encode":
+            assert before.columns == columns
+
+    texts = {i: t for i, t, _, _ in docs}
+    assert 0 < len(kept["quality"]) < len(docs)
+    assert all(r["text"] == texts[r["doc_id"]] for r in kept["quality"])
+    bad = {i for i, q, t in duck.execute("SELECT * FROM labels").fetchall() if not q or t}
+    assert sum(r["doc_id"] in bad for r in kept["quality"]) < 0.03 * len(bad)
+
+    brute = {r[0]: r for r in test_lines.brute([(r["doc_id"], r["text"]) for r in kept["quality"]])}
+    assert len(kept["line_dedup"]) == len(kept["quality"])
+    for r in kept["line_dedup"]:
+        assert hashlib.sha256(r["text"].encode()).hexdigest() == brute[r["doc_id"]][3]
+        assert r["n_chars"] == len(r["text"])
+
+    lined = sorted(kept["line_dedup"], key=lambda r: r["doc_id"])
+    roots = test_simhash.brute_components([test_simhash.brute_fingerprint(r["text"]) for r in lined])
+    assert {r["doc_id"] for r in kept["near_duplicates"]} == {lined[i]["doc_id"] for i in set(roots)}
+
+    goals = test_mixing.brute_targets([(r["source"], test_mixing.size_of(r["text"])) for r in kept["near_duplicates"]])
+    taken = dict.fromkeys(goals, 0)
+    for r in kept["mix"]:
+        taken[r["source"]] += test_mixing.size_of(r["text"])
+    assert all(taken[s] == pytest.approx(t, rel=0.05, abs=50) for s, (_, t) in goals.items())
+
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = sorted((r["doc_id"], len(known.encode_ordinary(r["text"]))) for r in kept["mix"])
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in kept["encode"]) == expected
+
+
+def test_run_gives_the_same(spark):
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert found.count() > 0
+
+
+def test_empty_and_odd_tables_pass_through(spark, tmp_path):
+    from tests.llm.fixtures import LABELS, TEXTS, documents
+
+    spark.createDataFrame([(1, 1, 0), (12, 0, 0), (99, 1, 1)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    for rows_in in ([], TEXTS):
+        docs = documents(spark, rows_in)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.count() >= 0
