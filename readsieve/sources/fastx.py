@@ -4,7 +4,11 @@ Spark lists the files and cuts the work; a task turns bytes into records with
 the small line reader below. Columns: ``file``, ``record_offset`` (byte offset
 of the record's header in the unpacked file), ``name``, ``comment``, ``seq``,
 ``qual`` (NULL for FASTA) and ``status`` (``ok``, ``empty`` or ``truncated``).
-A record with damaged quality ends its file; the records before it stand.
+
+Without a declared layout a record with damaged quality ends its file, and the
+records before it stand. With one, a record is what its own lines say, so a damaged
+record leaves the others alone. Either way the rows are the same for any file size
+and wherever a file is cut.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 from typing import BinaryIO
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -41,7 +44,7 @@ FILE_SCHEMA = T.StructType(
     ]
 )
 
-# Layouts a large plain file may be declared to have, which allow splitting it.
+# Layouts a file may be declared to have, which allow splitting it.
 ANY = "any"
 FASTA = "fasta"
 FOUR_LINE = "four_line"
@@ -108,32 +111,26 @@ def _starts_record(lines: _Lines, line: bytes, layout: str) -> bool:
     return len(ahead) == 2 and ahead[1][1][:1] == b"+"
 
 
-def records(lines: _Lines, stop: int | None = None, layout: str = ANY) -> Iterator[tuple]:
-    """``(offset, name, comment, seq, qual, status)`` of each record.
-
-    With ``stop`` the reading ends at the first header at or after that offset
-    which the reader of a later range is sure to recognise.
-    """
+def records(lines: _Lines) -> Iterator[tuple]:
+    """``(offset, name, comment, seq, qual, status)`` of each record of a whole file."""
     header = None
     while True:
         if header is None:
             for at, line in lines:
                 mark = _HEADER.search(line)
                 if mark:
-                    header = at + mark.start(), line[mark.start() :], mark.start() == 0
+                    header = at + mark.start(), line[mark.start() :]
                     break
             else:
                 return
-        offset, line, at_line_start = header
-        if stop is not None and offset >= stop and at_line_start and _starts_record(lines, line, layout):
-            return
+        offset, line = header
         if len(line) == 1:
             return
         name, comment = _split_header(line[1:])
         header, plus, seq = None, None, bytearray()
         for at, line in lines:
             if line[:1] in (b">", b"@"):
-                header = at, line, True
+                header = at, line
                 break
             if line[:1] == b"+":
                 plus = line
@@ -155,20 +152,80 @@ def records(lines: _Lines, stop: int | None = None, layout: str = ANY) -> Iterat
             return
 
 
-def _sync(lines: _Lines, layout: str) -> bool:
-    """Move on to the first line that surely starts a record."""
+def _fasta_records(lines: _Lines, stop: int | None) -> Iterator[tuple]:
+    """Records whose ``>`` lines begin before ``stop``; every other line is sequence."""
+    header, seq = None, bytearray()
     for at, line in lines:
-        if _starts_record(lines, line, layout):
-            lines.put_back([(at, line)])
-            return True
-    return False
+        if line[:1] != b">":
+            if header is not None and line != b"\n":
+                _extend(seq, line)
+            continue
+        if header is not None:
+            yield *header, bytes(seq), None, "ok" if seq else "empty"
+        if stop is not None and at >= stop:
+            return
+        header, seq = (at, *_split_header(line[1:])), bytearray()
+    if header is not None:
+        yield *header, bytes(seq), None, "ok" if seq else "empty"
+
+
+def _four_line_records(lines: _Lines, stop: int | None, first: bool) -> Iterator[tuple]:
+    """Records whose sure header lines begin before ``stop``.
+
+    A record has the two lines after its header and then a quality line, as far as these
+    are no sure headers themselves. A header with at most one line left in the file is a
+    record without quality; it belongs to the reader of the record before it, or to the
+    one that is ``first`` in the file.
+    """
+    left: deque[tuple[int, bytes]] | None = deque(maxlen=2) if first else None
+    for at, line in lines:
+        if not _starts_record(lines, line, FOUR_LINE):
+            if left is not None:
+                left.append((at, line))
+            continue
+        if stop is not None and at >= stop:
+            return
+        seq, qual = bytearray(), bytearray()
+        ahead = next(lines)
+        if _starts_record(lines, ahead[1], FOUR_LINE):
+            lines.put_back([ahead])
+            yield at, *_split_header(line[1:]), b"", b"", "truncated"
+            left = deque(maxlen=2)
+            continue
+        _extend(seq, ahead[1])
+        _, plus = next(lines)
+        after = next(lines, None)
+        if after is not None and _starts_record(lines, after[1], FOUR_LINE):
+            lines.put_back([after])
+        elif after is not None:
+            _extend(qual, after[1])
+        damaged = not plus.endswith(b"\n") or len(qual) != len(seq)
+        status = "truncated" if damaged else "ok" if seq else "empty"
+        yield at, *_split_header(line[1:]), bytes(seq), bytes(qual), status
+        left = deque(maxlen=2)
+    while left and left[0][1][:1] != b"@":
+        left.popleft()
+    if left and len(left[0][1]) > 1:
+        seq = bytearray()
+        for _, line in list(left)[1:]:
+            _extend(seq, line)
+        yield left[0][0], *_split_header(left[0][1][1:]), bytes(seq), None, "ok" if seq else "empty"
+
+
+def laid_out_records(lines: _Lines, layout: str, stop: int | None = None, first: bool = True) -> Iterator[tuple]:
+    """The same of a file, or of a byte range of it, that has a declared layout."""
+    if layout == ANY:
+        return records(lines)
+    return _fasta_records(lines, stop) if layout == FASTA else _four_line_records(lines, stop, first)
 
 
 def _open(uri: str) -> BinaryIO:
     """The file behind a URI as Spark writes it."""
-    parts = urlsplit(uri)
-    if parts.scheme in ("", "file"):
-        return open(parts.path, "rb", buffering=_READ_BUFFER)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return open(uri, "rb", buffering=_READ_BUFFER)
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb", buffering=_READ_BUFFER)
     filesystem, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
     return io.BufferedReader(filesystem.open_input_file(path), _READ_BUFFER)
 
@@ -188,15 +245,13 @@ def _range_records(uri: str, start: int, stop: int, layout: str) -> Iterator[tup
         if layout == ANY or packed:
             # the whole file belongs to the range that starts it
             if start == 0:
-                yield from records(_Lines(_unpacked(stream)))
-            return
-        if start == 0:
-            yield from records(_Lines(stream), stop, layout)
+                yield from laid_out_records(_Lines(_unpacked(stream)), layout)
             return
-        stream.seek(start - 1)
-        lines = _Lines(stream, start - 1 + len(stream.readline()))
-        if _sync(lines, layout):
-            yield from records(lines, stop, layout)
+        at = 0
+        if start:
+            stream.seek(start - 1)
+            at = start - 1 + len(stream.readline())
+        yield from laid_out_records(_Lines(stream, at), layout, stop, start == 0)
 
 
 _ARROW = {
@@ -246,7 +301,7 @@ def _ddl(columns: Sequence[str]) -> str:
     return ", ".join(f"{c} {_SPARK.get(c, 'string')}" for c in columns)
 
 
-def parse(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
+def parse(files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY) -> DataFrame:
     """Records of files given as rows ``path, content`` (batch or streaming)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +309,7 @@ def parse(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
             for batch in batches:
                 for path, content in zip(batch.column(0), batch.column(1)):
                     stream = _unpacked(io.BytesIO(content.as_py()))
-                    for record in records(_Lines(stream)):
+                    for record in laid_out_records(_Lines(stream), layout):
                         yield path.as_py(), record
 
         yield from _batches(found(), columns)
@@ -262,21 +317,6 @@ def parse(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, _ddl(columns))
 
 
-def parse_opened(files: DataFrame, columns: Sequence[str] = FIELDS) -> DataFrame:
-    """Records of files given as rows ``path``, each streamed through by one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            for batch in batches:
-                for path in batch.column(0).to_pylist():
-                    for record in _range_records(path, 0, 0, ANY):
-                        yield path, record
-
-        yield from _batches(found(), columns)
-
-    return files.select("path").mapInArrow(run, _ddl(columns))
-
-
 def parse_large(
     files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame | None:
@@ -326,7 +366,7 @@ def read_fastx(
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
-    small = parse(files.where(F.col("length") <= content_bytes), columns)
+    small = parse(files.where(F.col("length") <= content_bytes), columns, layout)
     large = parse_large(
         files.where(F.col("length") > content_bytes).select("path", "length"), columns, layout, split_bytes
     )

@@ -3,6 +3,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from readsieve.sources import fastx
 from readsieve.sources.fastx import ANY, FASTA, FOUR_LINE, read_fastx
@@ -75,7 +76,7 @@ def test_files(spark, tmp_path):
     assert {r.name: r.qual for r in rows}["f"] is None
     packed = read_fastx(spark, str(tmp_path / "d.fastq.gz")).collect()
     assert [(r.name, r.seq, r.qual) for r in packed] == [("r", "ACGT", "IIII")]
-    streamed = read_fastx(spark, str(tmp_path / "d.fastq.gz"), content_bytes=0, layout=FOUR_LINE).collect()
+    streamed = read_fastx(spark, str(tmp_path / "d.fastq.gz"), content_bytes=0).collect()
     assert streamed == packed
 
 
@@ -123,6 +124,59 @@ def test_ranges_cover_a_file_once(tmp_path, split, layout, tail):
     assert sorted(parts, key=lambda r: r[0]) == whole
 
 
+def damaged(rnd, n):
+    """Four-line records of which some lost lines or a part of one."""
+    lines = four_line(rnd, n).splitlines(keepends=True)
+    out = []
+    for i in range(0, len(lines), 4):
+        record = lines[i : i + 4]
+        fault = rnd.randrange(8)
+        if fault < 4:
+            del record[fault]
+        elif fault == 4:
+            record[3] = record[3][1:]
+        elif fault == 5:
+            record[1] = b"\n"
+        out += record
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_damaged_records_mean_the_same_at_any_size(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    data = damaged(rnd, 60) + rnd.choice([b"", b"@last\nAC\n", b"@last", b"@last\nACG\n+\nI"])
+    path = tmp_path / "x.fastq"
+    path.write_bytes(data)
+    (tmp_path / "y.fastq.gz").write_bytes(gzip.compress(data))
+    whole = list(fastx.laid_out_records(fastx._Lines(io.BytesIO(data)), FOUR_LINE))
+    assert {"ok", "truncated"} <= {r[5] for r in whole}
+    for split in (1, 13, 200, 10**9):
+        parts = []
+        for start in range(0, len(data), split):
+            parts += fastx._range_records(f"file:{path}", start, start + split, FOUR_LINE)
+        assert sorted(parts, key=lambda r: r[0]) == whole
+    if seed < 2:
+        wanted = sorted((r[0], r[1].decode(), r[5]) for r in whole)
+        for content, split in ((1 << 20, 1 << 20), (0, 1 << 20), (0, 300)):
+            found = read_fastx(spark, str(tmp_path), layout=FOUR_LINE, content_bytes=content, split_bytes=split)
+            for name in ("x.fastq", "y.fastq.gz"):
+                rows = found.where(F.col("file").endswith(name)).collect()
+                assert sorted((r.record_offset, r.name, r.status) for r in rows) == wanted
+
+
+def test_a_damaged_record_leaves_the_next_one_alone():
+    data = b"@a\nACGT\n+\n@b\nACG\n+\nIII\n@c\nAC\n+\nI\n@d\nA\n+\nI\n"
+    found = [(r[1], r[4], r[5]) for r in fastx.laid_out_records(fastx._Lines(io.BytesIO(data)), FOUR_LINE)]
+    assert found == [(b"a", b"", "truncated"), (b"b", b"III", "ok"), (b"c", b"I", "truncated"), (b"d", b"I", "ok")]
+
+
+def test_names_with_odd_characters_are_opened(tmp_path):
+    path = tmp_path / "a b?c#d%20.fastq"
+    path.write_bytes(CASES["basic"][0])
+    for uri in (str(path), f"file:{path}", f"file://{path}"):
+        assert list(fastx._range_records(uri, 0, 1 << 20, ANY))
+
+
 @pytest.mark.parametrize("layout", [FOUR_LINE, ANY])
 def test_large_files(spark, tmp_path, layout):
     data = four_line(random.Random(9), 300)
