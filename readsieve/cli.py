@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 from readsieve import __version__, logs
 from readsieve.config import CONFIG_LOCATION, WATCH_DIRECTORY, Config, load_or_create, save
 from readsieve.plans.screen import prepare
-from readsieve.sources.fastx import FASTA, read_fastx
-from readsieve.streaming.watch import watch
+from readsieve.sources.fastx import ANY, FASTA, FOUR_LINE, read_fastx
+from readsieve.streaming.watch import MAX_FILES, watch
 
 STALE = -2
 
@@ -35,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     add("--out", default="./readsieve-results", metavar="DIR", help="result table (default: %(default)s)")
     add("--includeExisting", action="store_true", help="also screen files that are already there")
     add("--drain", action="store_true", help="stop once the files present are screened")
+    add("--layout", default=ANY, choices=[ANY, FOUR_LINE], help="layout of the read files; four_line lets large ones be cut")
+    add("--maxFiles", type=int, default=MAX_FILES, metavar="N", help="most files in a batch (default: %(default)s)")
     add("-v", "--version", action="version", version=__version__)
     return p
 
@@ -58,7 +60,23 @@ def stop(config: Config, path: str) -> None:
     save(config, path)
 
 
-def run(spark: SparkSession, config: Config, *, out: str, include_existing: bool = False, drain: bool = False) -> None:
+def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
+    """Is there such a file or folder in the file system that the path belongs to?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(at) and (not folder or system.getFileStatus(at).isDirectory())
+
+
+def run(
+    spark: SparkSession,
+    config: Config,
+    *,
+    out: str,
+    include_existing: bool = False,
+    drain: bool = False,
+    layout: str = ANY,
+    max_files: int = MAX_FILES,
+) -> None:
     """Load the white list and watch until SIGTERM (or, with ``drain``, until done)."""
     spec = config.screen_spec()
     white_list = read_fastx(spark, config.white_list, columns=("seq", "status"), layout=FASTA).where("status = 'ok'")
@@ -73,6 +91,8 @@ def run(spark: SparkSession, config: Config, *, out: str, include_existing: bool
         checkpoint=f"{out.rstrip('/')}-checkpoint",
         include_existing=include_existing,
         drain=drain,
+        layout=layout,
+        max_files=max_files,
     )
     asked_to_stop, reported = [], -1
     before = signal.signal(signal.SIGTERM, lambda *_: asked_to_stop.append(True))
@@ -112,6 +132,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(pid)
         return 0
 
+    own = spark is None
+
+    def there(at: str, local, folder: bool = False) -> bool:
+        """Plain paths are looked up here; those of other file systems need a session."""
+        nonlocal spark
+        if "://" not in at:
+            return local(at)
+        spark = spark or SparkSession.builder.appName("readsieve").getOrCreate()
+        return exists(spark, at, folder)
+
     log_file = args.setLog if args.setLog else None
     if args.setLog == "" or (config.current_log_file is None and log_file is None):
         log_file = logs.default_file()
@@ -126,12 +156,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         stop(config, path)
         restart = not args.stop
     if args.setWatchDir is not None:
-        if not os.path.isdir(args.setWatchDir):
+        if not there(args.setWatchDir, os.path.isdir, folder=True):
             log.error("specified directory does not exist: %s", args.setWatchDir)
             return 1
         config.watch_directory = args.setWatchDir
     if args.setWhiteList is not None:
-        if not os.path.exists(args.setWhiteList):
+        if not there(args.setWhiteList, os.path.exists):
             log.error("can't access white list file: %s", args.setWhiteList)
             return 1
         config.white_list = args.setWhiteList
@@ -148,10 +178,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 1
         config.pid = os.getpid()
         save(config, path)
-        own = spark is None
         try:
             spark = spark or SparkSession.builder.appName("readsieve").getOrCreate()
-            run(spark, config, out=args.out, include_existing=args.includeExisting, drain=args.drain)
+            run(
+                spark,
+                config,
+                out=args.out,
+                include_existing=args.includeExisting,
+                drain=args.drain,
+                layout=args.layout,
+                max_files=args.maxFiles,
+            )
         finally:
             latest = load_or_create(path)
             if latest.pid == os.getpid():

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from readsieve.functions.files import is_read_file
-from readsieve.plans.screen import ScreenSpec, Whitelist, screen
-from readsieve.sources.fastx import CONTENT_BYTES, FILE_SCHEMA, parse, parse_opened
+from readsieve.plans.screen import ScreenSpec, Whitelist, quarantine, screen
+from readsieve.sources.fastx import ANY, CONTENT_BYTES, FILE_SCHEMA, SPLIT_BYTES, parse, parse_large
 
 READ_GLOB = "*.{fastq,fq}"
+# Files of a batch unless told otherwise, so that a backlog is worked off in steps.
+MAX_FILES = 1000
+# The file source forgets, and then ignores, files much older than the newest; none is too old here.
+_ANY_AGE = "36500d"
 _RECORD_COLUMNS = ("file", "record_offset", "name", "seq", "status")
+_ID_COLUMNS = ["file", "record_offset", "name"]
 
 
-def started_at(spark: SparkSession, checkpoint: str):
-    """When this watch first started; kept beside the checkpoint across restarts."""
-    path = f"{checkpoint.rstrip('/')}-started"
-    now = spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1)
-    now.write.mode("ignore").parquet(path)
-    return spark.read.schema("at timestamp").parquet(path).first()["at"]
+def present_at_start(spark: SparkSession, directory: str, checkpoint: str) -> DataFrame:
+    """Paths (column ``known``) of the files that were there when this watch first started.
+
+    Kept beside the checkpoint across restarts. Names, not times, tell a new file, so a
+    file moved into place is new however old it is.
+    """
+    path = f"{checkpoint.rstrip('/')}-present"
+    found = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(directory).select(F.col("path").alias("known"))
+    found.write.mode("ignore").parquet(path)
+    return spark.read.schema("known string").parquet(path)
 
 
 def new_files(
@@ -29,23 +38,33 @@ def new_files(
     checkpoint: str,
     include_existing: bool = False,
     glob: str = READ_GLOB,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
 ) -> DataFrame:
     """Stream of files that appear in the directory; later edits are ignored.
 
     Of the file source's columns only those used later are read.
     """
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob)
+    reader = reader.option("maxFileAge", _ANY_AGE)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.load(directory)
     if glob == READ_GLOB:
         files = files.where(is_read_file(F.col("path")))
     if not include_existing:
-        files = files.where(F.col("modificationTime") >= F.lit(started_at(spark, checkpoint)))
+        known = present_at_start(spark, directory, checkpoint)
+        files = files.join(known, files["path"] == known["known"], "left_anti")
     return files
 
 
+def read_batch(files: DataFrame, layout: str, content_bytes: int, split_bytes: int) -> DataFrame:
+    """Records of the files of one batch: small ones by value, large ones opened by the tasks."""
+    small = parse(files.where(F.col("length") <= content_bytes), _RECORD_COLUMNS, layout)
+    listed = files.where(F.col("length") > content_bytes).select("path", "length")
+    large = parse_large(listed, _RECORD_COLUMNS, layout, split_bytes)
+    return small if large is None else small.unionByName(large)
+
+
 def watch(
     spark: SparkSession,
     directory: str,
@@ -56,27 +75,32 @@ def watch(
     checkpoint: str,
     include_existing: bool = False,
     glob: str = READ_GLOB,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
     drain: bool = False,
+    layout: str = ANY,
     content_bytes: int = CONTENT_BYTES,
+    split_bytes: int = SPLIT_BYTES,
 ) -> StreamingQuery:
-    """Start the stream; results are appended to ``out`` as parquet.
+    """Start the stream: results go to ``out``, reads without a result to ``out-quarantine``.
 
-    Every step is narrow and keeps no state. Files above ``content_bytes`` are
-    opened by the tasks instead of arriving as one value. The file source's log and the
-    file sink's log make each file count exactly once across restarts. The
-    whitelist must have a probe, since a stream cannot read its sketches twice.
+    Both are parquet, a folder ``batch=N`` for each batch. The file source's log makes
+    each file part of one batch, and a batch that is repeated after a restart replaces
+    its folders, so each file counts exactly once. A batch is an ordinary screening
+    run: any whitelist will do, and large files are cut if their ``layout`` is declared.
     With ``drain`` the query stops when the files present are done.
     """
-    if prepared.probe is None:
-        raise ValueError("watching needs a whitelist small enough to broadcast, or a Bloom filter")
     files = new_files(
         spark, directory, checkpoint=checkpoint, include_existing=include_existing, glob=glob, max_files=max_files
     )
-    small = parse(files.where(F.col("length") <= content_bytes), _RECORD_COLUMNS)
-    large = parse_opened(files.where(F.col("length") > content_bytes), _RECORD_COLUMNS)
-    reads = small.unionByName(large).where(F.col("status") == "ok")
-    results = screen(reads, prepared, spec, id_cols=["file", "record_offset", "name"])
-    writer = results.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", out).option("checkpointLocation", checkpoint)
+    base = out.rstrip("/")
+
+    def run(batch: DataFrame, number: int) -> None:
+        reads = read_batch(batch, layout, content_bytes, split_bytes)
+        usable = reads.where(F.col("status") == "ok")
+        results = screen(usable, prepared, spec, id_cols=_ID_COLUMNS)
+        results.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        left_out = quarantine(reads, spec, id_cols=_ID_COLUMNS, status_col="status")
+        left_out.write.mode("overwrite").parquet(f"{base}-quarantine/batch={number}")
+
+    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if drain else writer.start()

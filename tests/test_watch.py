@@ -81,8 +81,43 @@ def test_source_is_a_stream_of_files(spark, folders):
     assert files.isStreaming and files.columns == ["path", "modificationTime", "length", "content"]
 
 
-def test_needs_a_probe(spark, prepared, folders):
-    from dataclasses import replace
+def test_a_file_moved_into_place_is_new_however_old(spark, prepared, folders):
+    source = folders[0]
+    (source / "old.fastq").write_text(fastq("old", REFERENCES[0][:60]))
+    assert drain(spark, prepared, folders) == []
+    for name, age in (("hour", 3600), ("month", 30 * 86400)):
+        outside = source.parent / f"{name}.fastq"
+        outside.write_text(fastq(name, REFERENCES[0][:60]))
+        os.utime(outside, (time.time() - age, time.time() - age))
+        outside.rename(source / f"{name}.fastq")
+        (source / f"{name}2.fastq").write_text(fastq(f"{name}2", REFERENCES[1][:60]))
+        drain(spark, prepared, folders)
+    assert drain(spark, prepared, folders) == ["hour", "hour2", "month", "month2"]
+
+
+def test_whitelist_without_a_probe(spark, folders):
+    white = spark.createDataFrame(list(enumerate(REFERENCES)), "ref long, seq string")
+    spec = ScreenSpec(KmerSpec(15), 16, broadcast_values=0)
+    large = prepare(white, spec)
+    assert large.probe is None
+    source, out, log = folders
+    (source / "a.fastq").write_text(fastq("a", REFERENCES[0][:60]) + fastq("b", "ACGT" * 20))
+    watch(spark, str(source), large, spec, out=out, checkpoint=log, drain=True, include_existing=True).awaitTermination()
+    found = {r.name: r.containment for r in spark.read.parquet(out).collect()}
+    assert found["a"] == 1.0 and found["b"] < 1.0
+
+
+def test_reads_without_a_result_are_kept_apart(spark, prepared, folders):
+    source = folders[0]
+    good, short = fastq("good", REFERENCES[0][:60]), fastq("short", "ACGT")
+    (source / "x.fastq").write_text(good + short + "@bad\nACGTACGTACGT\n+\nII\n" + fastq("next", REFERENCES[0][:60]))
+    assert drain(spark, prepared, folders, include_existing=True, layout="four_line") == ["good", "next"]
+    rows = spark.read.parquet(folders[1] + "-quarantine").collect()
+    assert sorted((r.name, r.status) for r in rows) == [("bad", "truncated"), ("short", "short")]
+
 
-    with pytest.raises(ValueError):
-        watch(spark, str(folders[0]), replace(prepared, probe=None), SPEC, out=folders[1], checkpoint=folders[2])
+def test_large_files_are_cut_by_layout(spark, prepared, folders):
+    source = folders[0]
+    (source / "large.fastq").write_text("".join(fastq(f"r{i:02}", REFERENCES[0][i : i + 60]) for i in range(30)))
+    names = drain(spark, prepared, folders, include_existing=True, layout="four_line", content_bytes=0, split_bytes=400)
+    assert names == [f"r{i:02}" for i in range(30)]
