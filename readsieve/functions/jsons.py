@@ -106,8 +106,9 @@ def array_element(text: Column, path: str, index: int) -> Column:
 
 
 def entries(text: Column, path: str = "") -> Column:
-    """Array of ``(key, value)`` of the object at a path, in sorted key order."""
-    held = F.map_entries(F.try_variant_get(F.try_parse_json(text), _variant_path(path), "map<string,variant>"))
+    """Array of ``(key, value)`` of the object at a path, in the order of the text."""
+    found = text if path == "" else F.get_json_object(text, _variant_path(path))
+    held = F.map_entries(F.from_json(found, "map<string,variant>"))
     return F.transform(held, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
 
 
@@ -155,28 +156,39 @@ def _type(text: Column) -> Column:
     )
 
 
-def walk(text: Column, max_depth: int = 8) -> Column:
+def _most_levels(text: Column) -> Column:
+    """No fewer than the levels of nesting: openings minus closings, at their highest.
+
+    Brackets inside strings are taken out first.
+    """
+    bare = F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"', "")
+    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    return F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda acc, d: F.struct((acc["now"] + d).alias("now"), F.greatest(acc["most"], acc["now"] + d).alias("most")),
+        lambda acc: acc["most"],
+    )
+
+
+def walk(text: Column) -> Column:
     """Array of ``(path, name, type, value)`` for the value and all inside it.
 
-    Goes level by level; text nested deeper than ``max_depth`` raises an error
-    rather than losing its inner values.
+    Goes level by level, to the depth of the row's own text.
     """
     top = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.try_parse_json(text))).cast(_NODES)
 
     def listed(levels: Column) -> Column:
-        deeper = F.exists(
-            F.element_at(levels, -1), lambda n: _type(n["text"]).isin("object", "array") & ~n["text"].isin("{}", "[]")
-        )
-        error = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast(f"array<{_NODES}>")
         return F.transform(
-            F.flatten(F.when(deeper, error).otherwise(levels)),
+            F.flatten(levels),
             lambda n: F.struct(
                 n["path"].alias("path"), n["name"].alias("name"), _type(n["text"]).alias("type"), n["text"].alias("value")
             ),
         )
 
     found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.sequence(F.lit(1), F.greatest(_most_levels(text), F.lit(1))),
         F.array(top).cast(f"array<{_NODES}>"),
         lambda levels, _: F.array_append(levels, F.flatten(F.transform(F.element_at(levels, -1), _children))),
         listed,

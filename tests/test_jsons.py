@@ -83,8 +83,9 @@ def test_walk(one):
     }
     assert one(jsons.walk(F.col("j")), "[1") is None
     assert [tuple(n) for n in one(jsons.walk(F.col("j")), "[]")] == [("", None, "array", "[]")]
-    with pytest.raises(Exception, match="nested deeper"):
-        one(jsons.walk(F.col("j"), 2), text)
+    deep = "[" * 40 + '"]]]["' + "]" * 40
+    nodes = one(jsons.walk(F.col("j")), deep)
+    assert len(nodes) == 41 and nodes[-1]["path"] == "[0]" * 40 and nodes[-1]["value"] == '"]]]["'
 
 
 @pytest.mark.parametrize(
