@@ -15,6 +15,7 @@ from readsieve.functions.hashing import BLOOM_SEED, key_length, murmur2, murmur2
 LN2_SQUARED = 0.480453013918201
 LN2 = 0.693147180559945
 MIN_ENTRIES = 1000
+MAX_BITS = 1 << 32
 
 # A filter above this many bytes is not gathered on the driver.
 BROADCAST_BYTES = 32 << 20
@@ -38,6 +39,8 @@ class BloomParams:
             raise ValueError(f"a filter needs >= {MIN_ENTRIES} entries and 0 < error < 1")
         bpe = -(math.log(error) / LN2_SQUARED)
         bits = int(entries * bpe)
+        if bits > MAX_BITS:
+            raise ValueError(f"positions are 32-bit numbers; {bits} bits are too many")
         return cls(entries, error, bpe, bits, -(-bits // 8), math.ceil(LN2 * bpe))
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,11 @@ from readsieve.operators.sketch import SKETCH_SIZE, bounded, check_size, id_fiel
 
 # Most hashes (8 bytes each) that are sent to every task.
 BROADCAST_VALUES = 4_000_000
-# A hash found in more than 1/HOT_SHARE of all minima is joined by broadcast;
-# there can be no more than HOT_SHARE of them.
-HOT_SHARE = 1000
-TRACKED_PER_HOT = 10
+# A hash that would fill a good part of a join task is matched by broadcast: one with more
+# than 1/share of all minima, the share following the number of shuffle partitions.
+LEAST_SHARE = 1000
+SHARE_PER_PARTITION = 4
+MOST_TRACKED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -121,40 +123,69 @@ def probe_hits(
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
-def hot_hashes(minima: DataFrame, total: int) -> list[int]:
-    """Hashes that make up more than 1/HOT_SHARE of all minima: at most HOT_SHARE.
+def sketch_hits(sketches: DataFrame, spec: KmerSpec, probe: Probe, *, id_cols: Sequence[str]) -> DataFrame:
+    """The same columns from sketches at hand, probed where they lie."""
+    n_ids = len(id_cols)
+    schema = T.StructType(
+        id_fields(sketches, id_cols)
+        + [
+            T.StructField("seq_len", T.LongType()),
+            T.StructField("n_minima", T.IntegerType()),
+            T.StructField("matches", T.LongType()),
+        ]
+    )
+    sent = sketches.sparkSession.sparkContext.broadcast((probe.values, probe.filled))
+    params = probe.params
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, filled = sent.value
+        local = Probe(values, filled, params)
+        for batch in batches:
+            lists = batch.column(n_ids + 2)
+            ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy()))
+            held = np.append(0, np.cumsum(local.holds(spec.values(lists.flatten().to_numpy()), spec)))
+            columns = [batch.column(i) for i in range(n_ids + 2)] + [pa.array(held[ends[1:]] - held[ends[:-1]])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return sketches.select(*id_cols, "seq_len", "n_minima", "minima").mapInArrow(run, schema)
+
+
+def hot_share(spark: SparkSession) -> int:
+    return max(LEAST_SHARE, SHARE_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_hashes(minima: DataFrame, total: int, share: int) -> list[int]:
+    """Hashes that make up more than 1/share of all minima: fewer than ``share``.
 
     One pass with a frequency sketch per task and no shuffle of the hashes. It
     only decides which join a hash goes through, never what is counted.
     """
-    top = minima.select(F.expr(f"approx_top_k(hash, {HOT_SHARE}, {TRACKED_PER_HOT * HOT_SHARE})").alias("top"))
-    frequent = top.select(F.explode("top").alias("t")).where(F.col("t.count") * HOT_SHARE > total)
+    tracked = min(10 * share, MOST_TRACKED)
+    top = minima.select(F.expr(f"approx_top_k(hash, {min(share, tracked)}, {tracked})").alias("top"))
+    frequent = top.select(F.explode("top").alias("t")).where(F.col("t.count") * share > total)
     return [r[0] for r in frequent.select("t.item").collect()]
 
 
-def joined_hits(sketches: DataFrame, whitelist: DataFrame, *, id_cols: Sequence[str]) -> DataFrame:
+def joined_hits(sketches: DataFrame, whitelist: DataFrame, *, id_cols: Sequence[str], row: str) -> DataFrame:
     """The same columns from sketches and a whitelist of distinct hashes, by joins.
 
-    Both are read more than once; write them out first (``session.cut``). A hash
-    that many sequences share (copies, the sentinel) would pile up in one join
-    task, so frequent hashes are matched by a broadcast of at most HOT_SHARE
-    rows, the others by a shuffled semi-join.
+    ``row`` numbers the sketches, so that sequences with the same ids stay apart.
+    Both inputs are read more than once; write them out first (``session.cut``). A
+    hash that many sequences share (copies, the sentinel) would pile up in one join
+    task, so frequent hashes are matched by a broadcast of a checked number of rows,
+    the others by a shuffled semi-join.
     """
     spark = sketches.sparkSession
-    minima = sketches.select(*id_cols, F.explode("minima").alias("hash"))
+    minima = sketches.select(row, F.explode("minima").alias("hash"))
     total = sketches.agg(F.sum("n_minima")).first()[0] or 0
-    frequent = F.broadcast(_hash_frame(spark, hot_hashes(minima, total)))
+    frequent = F.broadcast(_hash_frame(spark, hot_hashes(minima, total, hot_share(spark))))
     held = F.broadcast(_hash_frame(spark, [r[0] for r in whitelist.join(frequent, "hash", "left_semi").collect()]))
     cold = minima.join(frequent, "hash", "left_anti").join(whitelist.hint("shuffle_merge"), "hash", "left_semi")
     found = cold.unionByName(minima.join(held, "hash", "left_semi"))
-    nothing = {"seq_len": F.lit(None).cast("long"), "n_minima": F.lit(None).cast("int")}
-    counted = found.select(*id_cols, *[c.alias(n) for n, c in nothing.items()], F.lit(1).alias("m"))
-    # every sequence brings a row of its own, so that those without a match stay
-    every = sketches.select(*id_cols, "seq_len", "n_minima", F.lit(0).alias("m"))
-    return (
-        every.unionByName(counted)
-        .groupBy(*id_cols)
-        .agg(F.max("seq_len").alias("seq_len"), F.max("n_minima").alias("n_minima"), F.sum("m").alias("matches"))
+    matches = found.groupBy(row).agg(F.count(F.lit(1)).alias("matches"))
+    # sequences without a match stay
+    return sketches.join(matches, row, "left").select(
+        *id_cols, "seq_len", "n_minima", F.coalesce("matches", F.lit(0)).alias("matches")
     )
 
 

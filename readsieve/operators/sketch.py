@@ -11,13 +11,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readsieve.operators.emission import UNSIGNED_K, KmerSpec, batch_minima, bottom_values, string_codes
+from readsieve.operators.emission import (
+    UNSIGNED_K,
+    KmerSpec,
+    batch_minima,
+    bottom_values,
+    emissions,
+    string_codes,
+)
 
 SKETCH_SIZE = 128
 # The dedupe table of compat mode holds fewer than this many minima.
 COMPAT_SIZE_LIMIT = 256
 # Sequence bytes handled at a time; a longer row comes alone.
 SLICE_BYTES = 8 << 20
+# Values held at a time where those of all rows are wanted together.
+VALUES_AT_ONCE = 4 << 20
 
 
 def check_size(spec: KmerSpec, size: int) -> None:
@@ -117,28 +126,47 @@ def base_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             codes, offsets = string_codes(batch.column(n_ids), spec)
-            counts = np.zeros((batch.num_rows, len(names)), dtype=np.int64)
-            for row, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
-                counts[row] = np.bincount(codes[start:end], minlength=len(names))
+            cell = np.repeat(np.arange(batch.num_rows) * len(names), np.diff(offsets)) + codes
+            counts = np.bincount(cell, minlength=batch.num_rows * len(names)).reshape(-1, len(names))
             columns = [batch.column(i) for i in range(n_ids)] + [pa.array(c) for c in counts.T]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
+def _values(codes: np.ndarray, offsets: np.ndarray, spec: KmerSpec) -> Iterator[np.ndarray]:
+    """Values of all rows in parts of bounded size, distinct within a part."""
+
+    def distinct(values: np.ndarray) -> np.ndarray:
+        return bottom_values(np.zeros(len(values), np.int64), values, None, spec.value_bits)[1]
+
+    kept: list[np.ndarray] = []
+    held = 0
+    for _, values in emissions(codes, offsets, spec):
+        kept.append(distinct(values))
+        held += len(kept[-1])
+        if held >= VALUES_AT_ONCE:
+            kept = [distinct(np.concatenate(kept))]
+            held = len(kept[0])
+            if 2 * held >= VALUES_AT_ONCE:
+                yield kept.pop()
+                held = 0
+    if kept:
+        yield distinct(np.concatenate(kept))
+
+
 def _distinct(sequences: DataFrame, spec: KmerSpec, seq_col: str, name: str, finish) -> DataFrame:
     """Distinct values of all sequences.
 
-    Each Arrow batch is reduced to its own distinct values before the shuffle,
-    and ``distinct`` combines once more on the map side.
+    Tasks reduce what they read to parts of distinct values, whatever the length
+    of a row, and ``distinct`` combines once more on the map side.
     """
     schema = T.StructType([T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            _, row, value = batch_minima(batch.column(0), spec, None)
-            _, value = bottom_values(np.zeros_like(row), value, None, spec.value_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(finish(value))], names=[name])
+            for value in _values(*string_codes(batch.column(0), spec), spec):
+                yield pa.RecordBatch.from_arrays([pa.array(finish(value))], names=[name])
 
     return project(sequences, [], seq_col).mapInArrow(run, schema).distinct()
 
@@ -157,12 +185,12 @@ def hashes_and_length(sequences: DataFrame, spec: KmerSpec, *, seq_col: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            lengths, row, value = batch_minima(batch.column(0), spec, None)
-            _, value = bottom_values(np.zeros_like(row), value, None, spec.value_bits)
-            hashes = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(spec.tagged(value))])
-            bases = np.zeros(len(hashes), dtype=np.int64)
-            bases[0] = lengths.sum()
-            yield pa.RecordBatch.from_arrays([hashes, pa.array(bases)], names=schema.names)
+            codes, offsets = string_codes(batch.column(0), spec)
+            length = [pa.array([None], pa.int64()), pa.array([int(offsets[-1])])]
+            yield pa.RecordBatch.from_arrays(length, names=schema.names)
+            for value in _values(codes, offsets, spec):
+                columns = [pa.array(spec.tagged(value)), pa.array(np.zeros(len(value), np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     pieces = project(sequences, [], seq_col).mapInArrow(run, schema)
     return pieces.groupBy("hash").agg(F.sum("bases").alias("bases"))
@@ -179,15 +207,50 @@ def minima_rows(sketches: DataFrame, *, id_cols: Sequence[str]) -> DataFrame:
     return sketches.select(*id_cols, F.posexplode("minima").alias("rank", "hash"))
 
 
+def _task_sketches(sketches: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """The s smallest of each group within each task; a group may come more than once."""
+    schema = T.StructType(id_fields(sketches, keys) + [T.StructField("minima", T.ArrayType(T.LongType()))])
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def packed(types) -> pa.RecordBatch:
+            columns = [pa.array([key[i] for key in held], types[i]) for i in range(n_keys)]
+            ends = np.cumsum([0, *map(len, held.values())])
+            flat = np.concatenate(list(held.values())).view(np.int64)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat)))
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        types = None
+        for batch in batches:
+            types = batch.schema.types
+            groups: dict[tuple, list[np.ndarray]] = {}
+            names = zip(*(batch.column(i).to_pylist() for i in range(n_keys))) if n_keys else [()] * batch.num_rows
+            lists = batch.column(n_keys)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            ends = np.cumsum(np.append(0, pc.list_value_length(lists).fill_null(0).to_numpy()))
+            for key, start, end in zip(names, ends[:-1], ends[1:]):
+                groups.setdefault(key, []).append(flat[start:end])
+            for key, parts in groups.items():
+                before = [held[key]] if key in held else []
+                held[key] = np.unique(np.concatenate(before + parts))[:size]
+            if len(held) * size > VALUES_AT_ONCE:
+                yield packed(types)
+                held.clear()
+        if held:
+            yield packed(types)
+
+    return sketches.select(*keys, "minima").mapInArrow(run, schema)
+
+
 def merge(sketches: DataFrame, spec: KmerSpec, size: int = SKETCH_SIZE, *, keys: Sequence[str]) -> DataFrame:
     """Sketch of each group: the s smallest of its sequences' minima.
 
-    The pairs (group, hash) are made distinct with a map-side combine and spread
-    over all tasks even if one group holds most rows. The ranking then keeps s
-    rows per group and task before its shuffle, so that a group's last step
-    sees tasks x s rows however large the group is.
+    A task keeps s rows for each of its groups before anything is shuffled, so the
+    last step of a group sees at most tasks x s rows however many sequences it has.
     """
-    pairs = sketches.select(*keys, F.explode("minima").alias("hash")).distinct()
+    pairs = _task_sketches(sketches, size, keys).select(*keys, F.explode("minima").alias("hash")).distinct()
     order = F.col("hash") if spec.k < UNSIGNED_K else F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     smallest = ranked.where(F.col("rank") <= size)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
-from readsieve.plans.queries import FILTER, SCREENS, SIZE, SMALL_FILTER
+from readsieve.plans.queries import FILTER, SCREENS, SIZE, SMALL_FILTER, WATCH_SPEC
 from readsieve.plans.screen import ScreenSpec
 
+# The text alphabet, and factor and seed of the filter's hash.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CYCLE = ("acgt" * 7)[:26]
 _WORD = 0xFFFFFFFF
@@ -69,6 +70,8 @@ def _windows(prefix: str, k: int, where: str) -> str:
 def _emit_ctes(prefix: str, spec: KmerSpec) -> str:
     """``{prefix}_emit (id, h)`` from ``{prefix}_seqs``."""
     k, p = spec.k, prefix
+    if k % 2 == 0 and spec.compat:
+        return _even_ctes(p, k)
     longer = f"n > {k}" if spec.compat else f"n >= {k}"
     parts = [_windows(p, k, longer)]
     if spec.compat:
@@ -89,6 +92,31 @@ def _emit_ctes(prefix: str, spec: KmerSpec) -> str:
     return ",\n".join(parts)
 
 
+def _even_ctes(prefix: str, k: int) -> str:
+    """The same for even k in compat mode.
+
+    The k-mer at a position is made of the last k bases, absent ones zero in both
+    strands; one that is its own reverse complement does not count. A run is the number
+    that count since the latest other character, and from k on it gives a hash. From
+    position k on, all but the palindromes emit the latest hash, or 0.
+    """
+    p = prefix
+    turned = "translate(reverse(w), 'acgt', 'tgca')"
+    return f"""{p}_char AS (SELECT id, unnest(string_split(s, '')) AS ch, unnest(range(0, n)) AS i FROM {p}_seqs WHERE n > 0),
+{p}_base AS (SELECT id, i, string_agg(ch, '') OVER (PARTITION BY id ORDER BY i ROWS {k - 1} PRECEDING) AS w
+  FROM {p}_char WHERE ch <> 'n'),
+{p}_at AS (SELECT id, i, ch, w, coalesce(lpad(w, {k}, 'a') <> rpad({turned}, {k}, 'a'), false) AS counts,
+    sum((ch = 'n')::INT) OVER (PARTITION BY id ORDER BY i) AS part
+  FROM {p}_char LEFT JOIN {p}_base USING (id, i)),
+{p}_run AS (SELECT *, counts AND sum(counts::INT) OVER (PARTITION BY id, part ORDER BY i) >= {k} AS fresh FROM {p}_at),
+{p}_fresh AS (SELECT DISTINCT w FROM {p}_run WHERE fresh),
+{_hash_ctes(p, f"{p}_fresh", k)},
+{p}_last AS (SELECT id, i, counts OR ch = 'n' AS emits,
+    last_value(CASE WHEN fresh THEN h END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i) AS latest
+  FROM {p}_run LEFT JOIN {p}_hash USING (w)),
+{p}_emit AS (SELECT DISTINCT id, coalesce(latest, 0) AS h FROM {p}_last WHERE emits AND i >= {k})"""
+
+
 def _documents(spec: KmerSpec, extra: str = "") -> str:
     return "WITH " + _seqs("d", "documents", "doc_id", extra) + ",\n" + _emit_ctes("d", spec)
 
@@ -193,6 +221,14 @@ SELECT sk.id AS doc_id, any_value(n) AS seq_len, count(*) AS n_minima, max(h)::B
 FROM sk JOIN d_seqs USING (id) GROUP BY sk.id"""
 
 
+def _by_source(k: int) -> str:
+    return f"""{_documents(KmerSpec(k, True, "text"), ", source")},
+pairs AS (SELECT DISTINCT source, h FROM d_emit JOIN d_seqs USING (id)),
+sk AS (SELECT source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS rn FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY h) <= {SIZE})
+SELECT source, (max(rn) OVER (PARTITION BY source) - rn)::BIGINT AS rank, h::BIGINT AS hash FROM sk"""
+
+
 _K7 = KmerSpec(7, True, "text")
 _EVENT_JSON = (
     """'{"id": ' || event_id || ', "type": "' || event_type || '", "user": [' || user_id || ', "0x' || """
@@ -213,7 +249,7 @@ def _escaped(column: str) -> str:
     return sql
 
 
-_DOC_RECORDS = f"SELECT 'd' || doc_id AS name, source, {BASES} AS s FROM documents"
+_DOC_RECORDS = f"SELECT doc_id, 'd' || doc_id AS name, source, {BASES} AS s FROM documents"
 _FASTQ_ROWS = (
     "SELECT name, source AS comment, length(s) AS seq_len, md5(s) AS seq_md5, length(s) AS qual_len, 'ok' AS status "
     f"FROM ({_DOC_RECORDS})"
@@ -237,21 +273,12 @@ SELECT id AS doc_id, count(*) AS n_windows, count(*) FILTER (NOT contains(w, 'n'
     "sketch_summary": _summary(7, True),
     "sketch_summary_plain": _summary(7, False),
     "sketch_summary_k15": _summary(15, True),
+    "sketch_summary_even_k": _summary(8, True),
     "sketch_rows": f"""{_documents(_K7)},
 {_sketch_cte(SIZE)}
 SELECT id AS doc_id, (max(rn) OVER (PARTITION BY id) - rn)::BIGINT AS rank, h::BIGINT AS hash FROM sk""",
-    "minima_updates": f"""{_documents(_K7)},
-{_sketch_cte(SIZE)},
-held AS (SELECT id, list(h::BIGINT ORDER BY h DESC) AS m, (id % 16384) * 256 + 7 AS v FROM sk GROUP BY id),
-after AS (SELECT *, list_sort(list_distinct(list_append(m, v))) AS a FROM held)
-SELECT id AS doc_id, m[1] AS largest, m[2] AS second, len(m) = 1 AS single, list_contains(m, v) AS known,
-  (len(m) - list_contains(m, v)::INT)::BIGINT AS left, least(len(a), {SIZE})::BIGINT AS n_after,
-  list_sum(a[1:{SIZE}])::BIGINT AS total_after FROM after""",
-    "sketch_by_source": f"""{_documents(_K7, ", source")},
-pairs AS (SELECT DISTINCT source, h FROM d_emit JOIN d_seqs USING (id)),
-sk AS (SELECT source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS rn FROM pairs
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY h) <= {SIZE})
-SELECT source, (max(rn) OVER (PARTITION BY source) - rn)::BIGINT AS rank, h::BIGINT AS hash FROM sk""",
+    "sketch_by_source": _by_source(7),
+    "sketch_by_source_k15": _by_source(15),
     "whitelist_hashes": f"WITH {_benchmark(_K7)}\nSELECT DISTINCT h::BIGINT AS hash FROM b_emit",
     "bloom_sizing": """WITH cap AS (SELECT source, sum(length(text))::BIGINT AS entries FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN entries >= 1000 THEN -(ln(0.001::DOUBLE) / 0.480453013918201::DOUBLE) END AS bpe FROM cap),
@@ -265,10 +292,17 @@ SELECT position // 32 AS word, bit_or((1::BIGINT << (position % 32)::INT)) AS bi
 FROM ({_positions("b_emit", FILTER)}) GROUP BY 1""",
     "bloom_members": f"{_documents(_K7)},\n{_benchmark(_K7)},\n{_member_ctes('d_emit', SMALL_FILTER)}\nSELECT h AS hash FROM wl",
     **{name: _screen(spec) for name, spec in SCREENS.items()},
+    "quarantined_reads": """SELECT doc_id, length(text) AS seq_len,
+CASE WHEN length(text) <= 7 THEN 'short' ELSE 'no_kmers' END AS status
+FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]{7}')""",
     "fastx_records": f"""{_FASTQ_ROWS} UNION ALL
 SELECT name, '', length(s), md5(s), NULL, 'ok' FROM ({_DOC_RECORDS})""",
+    "fastx_damaged": f"""SELECT name, source AS comment, length(s) AS seq_len, md5(s) AS seq_md5,
+CASE doc_id % 3 WHEN 0 THEN length(s) WHEN 1 THEN length(s) - 1 ELSE 0 END AS qual_len,
+CASE doc_id % 3 WHEN 0 THEN 'ok' ELSE 'truncated' END AS status FROM ({_DOC_RECORDS})
+UNION ALL SELECT name || 'b', source, 4, md5('acgt'), 4, 'ok' FROM ({_DOC_RECORDS})""",
     "fastx_files": _FASTQ_ROWS,
-    "watched_files": _screen(SCREENS["bloom_containment_compat"], "'d' || id AS name").replace(" - 2)::BIGINT", " - 0)::BIGINT"),
+    "watched_files": _screen(WATCH_SPEC, "'d' || id AS name"),
     "file_extensions": """SELECT page_id, ext AS extension, ext IN ('fastq', 'fq') AS is_read_file FROM (
 SELECT page_id, CASE WHEN length(url) - length(string_split(url, '.')[-1]) > 1 THEN string_split(url, '.')[-1] ELSE '' END
 AS ext FROM pages)""",
@@ -296,7 +330,7 @@ SELECT event_id, unnest([
 '{{"k":' || {_K} || ',"t":"' || event_type || '"}}' AS added, '{{"k":' || {_K} || ',"a":{{"b":[1]}}}}' AS nested,
 '{{"k":' || {_K} || ',"l":[1,2]}}' AS appended, '{{}}' AS deleted, '{{"k":' || {_K} || ',"l":[1,3]}}' AS removed
 FROM events""",
-    "json_entries": f"""SELECT event_id, unnest(['id', 'type', 'user', 'props']) AS key,
+    "json_entries": f"""SELECT event_id, unnest([0, 1, 2, 3])::BIGINT AS ord, unnest(['id', 'type', 'user', 'props']) AS key,
 unnest([event_id::VARCHAR, '"' || event_type || '"', {_USER}, {_PROPS}]) AS value FROM events""",
     "json_elements": """SELECT event_id, unnest([0, 1, 2])::BIGINT AS idx, unnest([user_id::VARCHAR,
 '"0x' || lower(to_hex(user_id)) || '"', '{"odd":' || (user_id % 2 = 1) || '}']) AS value FROM events""",

@@ -8,11 +8,12 @@ parquet tables and returns a DataFrame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.functions import files, jsons, minima
+from readsieve.functions import files, jsons
 from readsieve.functions.bases import TEXT, reverse_complement, to_bases
 from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
 from readsieve.functions.kmers import kmer_rows, valid_windows
@@ -20,7 +21,7 @@ from readsieve.operators import bloom, sketch
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
-from readsieve.plans.screen import ScreenSpec, prepare, screen
+from readsieve.plans.screen import ScreenSpec, prepare, quarantine, screen
 from readsieve.session import fresh_path
 from readsieve.sources.fastx import FOUR_LINE, parse, read_fastx, render_fastq
 from readsieve.sources.tables import columns_of, table
@@ -132,27 +133,14 @@ def sketch_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), "hash")
 
 
-def sketch_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    merged = sketch.merge(_sketches(spark, sf, 7, True, "source"), _spec(7), SIZE, keys=["source"])
-    return merged.select("source", F.posexplode("minima").alias("rank", "hash")).withColumn(
-        "rank", F.col("rank").cast("long")
-    )
-
+def sketch_by_source(k: int) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        merged = sketch.merge(_sketches(spark, sf, k, True, "source"), _spec(k), SIZE, keys=["source"])
+        return merged.select("source", F.posexplode("minima").alias("rank", "hash")).withColumn(
+            "rank", F.col("rank").cast("long")
+        )
 
-def minima_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Each sketch after a look at, a removal of and an offer of one hash."""
-    held, offer = F.col("minima"), tag(F.col("doc_id") % 16384, 7)
-    total = F.aggregate(minima.admit(held, offer, SIZE), F.lit(0).cast("long"), lambda acc, h: acc + h)
-    return _sketches(spark, sf, 7, True).select(
-        "doc_id",
-        minima.peek(held).alias("largest"),
-        minima.peek(minima.pop(held)).alias("second"),
-        minima.is_empty(minima.pop(held)).alias("single"),
-        minima.contains(held, offer).alias("known"),
-        F.size(minima.remove(held, offer)).cast("long").alias("left"),
-        F.size(minima.admit(held, offer, SIZE)).cast("long").alias("n_after"),
-        total.alias("total_after"),
-    )
+    return run
 
 
 def whitelist_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,6 +190,11 @@ def screening(spec: ScreenSpec) -> Query:
     return run
 
 
+def quarantined_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that ``containment`` has no row for, and why."""
+    return quarantine(_documents(spark, sf), SCREENS["containment"], id_cols=["doc_id"], seq_col="text")
+
+
 SCREENS = {
     "containment": ScreenSpec(_spec(7, False), SIZE),
     "containment_compat": ScreenSpec(_spec(7, True), SIZE),
@@ -246,6 +239,18 @@ def fastx_records(spark: SparkSession, sf: str) -> DataFrame:
     return _record_columns(parse(contents))
 
 
+def fastx_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as records whose quality is whole, one character short, or missing; a good record follows."""
+    seq, name, comment = F.col("seq"), F.col("name"), F.col("comment")
+    kind = F.col("doc_id") % 3
+    qual = F.repeat(F.lit("I"), F.length(seq).cast("int"))
+    line = F.when(kind == 0, F.concat(qual, F.lit("\n"))).when(kind == 1, F.concat(F.substring(qual, 2, 1 << 30), F.lit("\n")))
+    damaged = F.concat(F.lit("@"), name, F.lit(" "), comment, F.lit("\n"), seq, F.lit("\n+\n"), F.coalesce(line, F.lit("")))
+    both = F.concat(damaged, render_fastq(F.concat(name, F.lit("b")), comment, F.lit("acgt")))
+    contents = _as_fastq(spark, sf).select(name.alias("path"), F.encode(both, "UTF-8").alias("content"))
+    return _record_columns(parse(contents, layout=FOUR_LINE))
+
+
 def _write_fastq(spark: SparkSession, sf: str) -> str:
     folder = fresh_path(spark, "fastq")
     record = render_fastq(F.col("name"), F.col("comment"), F.col("seq"))
@@ -260,10 +265,14 @@ def fastx_files(spark: SparkSession, sf: str) -> DataFrame:
     return _record_columns(found)
 
 
+# The same for the documents' text and, with it turned to bases, for the files.
+WATCH_SPEC = ScreenSpec(_spec(7), SIZE, filter=FILTER, fp_rate=0.001)
+
+
 def watched_files(spark: SparkSession, sf: str) -> DataFrame:
     """The same files screened by the directory watch as a stream."""
     folder = _write_fastq(spark, sf)
-    spec = ScreenSpec(KmerSpec(7, True), SIZE, filter=FILTER, fp_rate=0.001)
+    spec = replace(WATCH_SPEC, kmers=KmerSpec(7, True))
     whitelist = _benchmark(spark, sf).select("item_id", to_bases(F.col("text")).alias("seq"))
     out = fresh_path(spark, "watched")
     query = watch(
@@ -280,7 +289,7 @@ def watched_files(spark: SparkSession, sf: str) -> DataFrame:
     query.awaitTermination()
     return (
         spark.read.parquet(out)
-        .drop("file", "record_offset")
+        .drop("file", "record_offset", "batch")
         .withColumn("n_minima", F.col("n_minima").cast("long"))
     )
 
@@ -353,7 +362,7 @@ def json_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_walk(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _event_json(spark, sf).select("event_id", F.explode(jsons.walk(F.col("json"), 3)).alias("n"))
+    nodes = _event_json(spark, sf).select("event_id", F.explode(jsons.walk(F.col("json"))).alias("n"))
     return nodes.select("event_id", "n.path", "n.name", "n.type", F.md5("n.value").alias("value_md5"))
 
 
@@ -371,8 +380,8 @@ def json_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_entries(spark: SparkSession, sf: str) -> DataFrame:
-    found = _event_json(spark, sf).select("event_id", F.explode(jsons.entries(F.col("json"))).alias("e"))
-    return found.select("event_id", "e.key", "e.value")
+    found = _event_json(spark, sf).select("event_id", F.posexplode(jsons.entries(F.col("json"))).alias("ord", "e"))
+    return found.select("event_id", F.col("ord").cast("long").alias("ord"), "e.key", "e.value")
 
 
 def json_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,8 +436,8 @@ QUERIES: dict[str, Query] = {
     "sketch_summary_k15": sketch_summary(15, True),
     "sketch_summary_even_k": sketch_summary(8, True),
     "sketch_rows": sketch_rows,
-    "minima_updates": minima_updates,
-    "sketch_by_source": sketch_by_source,
+    "sketch_by_source": sketch_by_source(7),
+    "sketch_by_source_k15": sketch_by_source(15),
     "whitelist_hashes": whitelist_hashes,
     "bloom_sizing": bloom_sizing,
     "murmur_keys": murmur_keys,
@@ -436,7 +445,9 @@ QUERIES: dict[str, Query] = {
     "bloom_words": bloom_words,
     "bloom_members": bloom_members,
     **{name: screening(spec) for name, spec in SCREENS.items()},
+    "quarantined_reads": quarantined_reads,
     "fastx_records": fastx_records,
+    "fastx_damaged": fastx_damaged,
     "fastx_files": fastx_files,
     "watched_files": watched_files,
     "file_extensions": file_extensions,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readsieve.operators import bloom
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import score
-from readsieve.operators.emission import KmerSpec
+from readsieve.operators.emission import KmerSpec, batch_minima
 from readsieve.operators.membership import (
     BROADCAST_VALUES,
     Probe,
@@ -22,10 +25,13 @@ from readsieve.operators.membership import (
     joined_hits,
     probe_hits,
     probe_of,
+    sketch_hits,
 )
-from readsieve.operators.sketch import SKETCH_SIZE, hashes_and_length, sketch
+from readsieve.operators.sketch import SKETCH_SIZE, bounded, hashes_and_length, id_fields, sketch
 from readsieve.session import cut
 
+ROW = "sketch_row"
+
 
 @dataclass(frozen=True)
 class ScreenSpec:
@@ -90,16 +96,26 @@ def prepare(whitelist: DataFrame, spec: ScreenSpec, *, seq_col: str = "seq") ->
 def hits(
     reads: DataFrame, prepared: Whitelist, spec: ScreenSpec, *, id_cols: Sequence[str], seq_col: str = "seq"
 ) -> DataFrame:
-    """Matches per read: one narrow stage if the whitelist has a probe, joins if not."""
+    """Matches per read: one narrow stage if the whitelist has a probe.
+
+    If not, only the hashes that the reads really have matter: those of them that are
+    in the whitelist become a probe if they are few enough, and are joined if not.
+    """
     if prepared.probe is not None:
         return probe_hits(reads, spec.kmers, spec.size, probe=prepared.probe, id_cols=id_cols, seq_col=seq_col)
-    sketches = cut(sketch(reads, spec.kmers, spec.size, id_cols=id_cols, seq_col=seq_col), "sketches")
-    found = prepared.hashes
+    numbered = sketch(reads, spec.kmers, spec.size, id_cols=id_cols, seq_col=seq_col).withColumn(
+        ROW, F.monotonically_increasing_id()
+    )
+    sketches = cut(numbered, "sketches")
+    asked = sketches.select(F.explode("minima").alias("hash")).distinct()
     if spec.filter is not None:
         words = bloom.bit_words(prepared.hashes, spec.filter, spec.kmers.k)
-        asked = sketches.select(F.explode("minima").alias("hash")).distinct()
         found = cut(bloom.members(asked, words, spec.filter, spec.kmers.k), "members")
-    return joined_hits(sketches, found, id_cols=id_cols)
+    else:
+        found = cut(asked.join(prepared.hashes, "hash", "left_semi"), "members")
+    if found.count() <= spec.broadcast_values:
+        return sketch_hits(sketches, spec.kmers, exact_probe(found, spec.kmers), id_cols=id_cols)
+    return joined_hits(sketches, found, id_cols=id_cols, row=ROW)
 
 
 def screen(
@@ -127,8 +143,41 @@ def screen(
     )
 
 
-def quarantine(reads: DataFrame, k: int) -> DataFrame:
-    """Records that cannot be sketched: damaged ones, and those no longer than k."""
-    short = F.length("seq") <= k
-    status = F.when((F.col("status") == "ok") & short, F.lit("short")).otherwise(F.col("status"))
-    return reads.withColumn("status", status).where(F.col("status") != "ok")
+def quarantine(
+    reads: DataFrame,
+    spec: ScreenSpec,
+    *,
+    id_cols: Sequence[str],
+    seq_col: str = "seq",
+    status_col: str | None = None,
+) -> DataFrame:
+    """``seq_len, status`` of every read for which ``screen`` has no row.
+
+    With ``status_col`` those are the reads whose status is not ``ok`` and, of the
+    others, those that emit nothing: ``null`` ones, ``short`` ones (no longer than k)
+    and those without a usable k-mer (``no_kmers``). ``screen`` of the reads that are
+    ``ok`` and this hold each read once between them.
+    """
+    status = F.lit("ok") if status_col is None else F.coalesce(F.col(status_col), F.lit("unknown"))
+    null = F.col(seq_col).isNull()
+    given = F.when((status == "ok") & null, F.lit("null")).otherwise(status)
+    asked = reads.select(*id_cols, given.alias("status"), F.coalesce(seq_col, F.lit("")).alias("seq"))
+    n_ids, kmers = len(id_cols), spec.kmers
+    schema = T.StructType(
+        id_fields(reads, id_cols) + [T.StructField("seq_len", T.LongType()), T.StructField("status", T.StringType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            lengths, row, _ = batch_minima(batch.column(n_ids + 1), kmers, 1)
+            silent = np.bincount(row, minlength=batch.num_rows) == 0
+            status = batch.column(n_ids)
+            fine = pc.equal(status, "ok").to_numpy(zero_copy_only=False)
+            reason = np.where(lengths <= kmers.k, "short", "no_kmers")
+            told = pc.if_else(pa.array(fine), pa.array(reason), status)
+            kept = pa.array(np.flatnonzero(silent | ~fine))
+            columns = [batch.column(i).take(kept) for i in range(n_ids)]
+            columns += [pa.array(lengths).take(kept), told.take(kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return asked.mapInArrow(run, schema)

@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it.
 
-    Only where the session names none (a local test) one is made and set.
+    Only a session that is all on this machine and names none gets one made; on a
+    cluster a folder of one machine would not be seen by the others.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = tempfile.mkdtemp(prefix="readsieve-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -32,14 +36,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A scan of more bytes than this is left as it is split.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the session has cores.
+    """Deal out the rows of a small scan that has few splits for the session's cores.
 
-    A large table has many splits and passes through without a shuffle; a small
-    file that arrives as one split would otherwise be sketched by one task. Rows
-    are dealt in turn, so that no key can make one part larger than the others.
+    A small file that arrives as one split would otherwise be worked on by one task.
+    Rows are dealt in turn, so that no key can make one part larger than the others.
+    A large table passes through without a shuffle, whatever its number of splits.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
         return scan
-    return scan.repartition(2 * cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

@@ -73,7 +73,7 @@ def whitelist_set(white, compat):
 @pytest.mark.parametrize("limit", [membership.BROADCAST_VALUES, 0])
 @pytest.mark.parametrize("padded", [True, False])
 def test_exact(tables, compat, limit, padded, monkeypatch):
-    monkeypatch.setattr(membership, "HOT_SHARE", 40)
+    monkeypatch.setattr(membership, "LEAST_SHARE", 40)
     spec = ScreenSpec(KmerSpec(K, compat), SIZE, broadcast_values=limit, fp_rate=0.07)
     _, white, sentinel = tables
     chosen = sentinel if padded else white
@@ -157,11 +157,46 @@ def test_probing_is_narrow(tables):
 
 def test_quarantine(spark):
     rows = spark.createDataFrame(
-        [("a", "acgtacgtac", "ok"), ("b", "acgt", "ok"), ("c", "", "empty"), ("d", "acgtacgtacg", "truncated")],
+        [
+            ("a", "acgtacgtac", "ok"),
+            ("b", "acgt", "ok"),
+            ("c", "", "empty"),
+            ("d", "acgtacgtacg", "truncated"),
+            ("e", None, "ok"),
+            ("f", None, None),
+        ],
         "name string, seq string, status string",
     )
-    assert {(r.name, r.status) for r in quarantine(rows, 7).collect()} == {
-        ("b", "short"),
-        ("c", "empty"),
-        ("d", "truncated"),
+    found = quarantine(rows, ScreenSpec(KmerSpec(7)), id_cols=["name"], status_col="status")
+    assert {(r.name, r.seq_len, r.status) for r in found.collect()} == {
+        ("b", 4, "short"),
+        ("c", 0, "empty"),
+        ("d", 11, "truncated"),
+        ("e", 0, "null"),
+        ("f", 0, "unknown"),
     }
+
+
+@pytest.mark.parametrize("kmers", [KmerSpec(7), KmerSpec(7, False), KmerSpec(4), KmerSpec(4, False)])
+def test_each_read_is_screened_or_in_quarantine(spark, kmers):
+    seqs = [None, "", "acgt", "acgtacg", "acgtacgtacgtacgt", "nnnnnnnnnnnnn", "ATATATATATATAT", "acgtnacgtnacgtn", "acg" * 30]
+    reads = spark.createDataFrame([(i % 3, s) for i, s in enumerate(seqs * 2)], "id long, seq string")
+    spec = ScreenSpec(kmers, SIZE)
+    prepared = prepare(spark.createDataFrame([("acgtacgtacgt",)], "seq string"), spec)
+    screened = [r.id for r in screen(reads, prepared, spec, id_cols=["id"]).collect()]
+    left_out = [r.id for r in quarantine(reads, spec, id_cols=["id"]).collect()]
+    assert sorted(screened + left_out) == sorted(i % 3 for i in range(2 * len(seqs)))
+    assert len(left_out) >= 4
+
+
+@pytest.mark.parametrize("params", [None, BloomParams.of(1000, 0.01)])
+def test_reads_with_the_same_id_stay_apart(tables, params):
+    """One row per read on every route, whatever the ids."""
+    reads, white, _ = tables
+    same = reads.withColumn("id", F.lit("x"))
+    found = []
+    for values, size in ((membership.BROADCAST_VALUES, 1 << 20), (membership.BROADCAST_VALUES, 0), (0, 0)):
+        spec = ScreenSpec(KmerSpec(K), SIZE, filter=params, broadcast_values=values, broadcast_bytes=size)
+        rows = screen(same, prepare(white, spec), spec, id_cols=["id"]).collect()
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
