@@ -5,8 +5,8 @@ vector to search; the answers name its members afterwards.
 
 **Graph.** Every node keeps its ``degree`` nearest nodes found so far, by inner product.
 The first neighbours come from blocks of about ``LEAF`` nodes that random hyperplane
-trees cut (trees are grown on a bounded sample of ``TREE_SAMPLE`` vectors; a block that
-is larger on the whole data is dealt out by hash). There are two trees at least: blocks
+trees cut (trees are grown on a bounded sample of ``TREE_SAMPLE`` vectors; a part that is
+too large, as where many vectors are almost alike, is dealt out by hash). There are two trees at least: blocks
 of one tree have no link between them that a descent could follow. Then rounds of NN-descent join each
 node's neighbours, forward and reverse, with the vectors and compare the neighbours of a
 node with each other, at least one of the two being new: neighbours of neighbours. A
@@ -44,6 +44,7 @@ LEAST_CHANGE = 0.05
 EXPANDED = 32
 SEARCH_ROUNDS = 3
 BEAM = 100
+MOST_MET = 4096  # far above the links that a node is sampled
 
 EDGES = "id long, nbr long, score double"
 
@@ -68,9 +69,9 @@ def _of_one_length(rows: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Hyperplanes that halve a sample again and again until ``leaf`` of all rows are left in a part."""
+    """Hyperplanes that halve a sample ``depth`` times, and the number of blocks that each part needs."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, n: int):
         rng = np.random.default_rng(seed)
         self.depth = depth
         self.planes = rng.normal(size=(depth, sample.shape[1]))
@@ -81,6 +82,9 @@ class Tree:
             for part in np.unique(parts):
                 self.cuts[level, part] = np.median(along[parts == part])
             parts = 2 * parts + (along > self.cuts[level, parts])
+        # Vectors too much alike, or too many for the depth, leave large parts.
+        share = np.bincount(parts, minlength=1 << depth) / max(len(sample), 1)
+        self.blocks = np.maximum(1, np.ceil(share * n / (2 * LEAF))).astype(np.int64)
 
     def leaf(self, vectors: np.ndarray) -> np.ndarray:
         parts = np.zeros(len(vectors), np.int64)
@@ -94,22 +98,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def _blocks(nodes: DataFrame, trees: list[Tree], parts: int) -> DataFrame:
-    """(block, id, embedding): every node once for each tree."""
+def _blocks(nodes: DataFrame, trees: list[Tree]) -> DataFrame:
+    """(block, id, embedding): every node once for each tree; large parts are dealt out by hash."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids, vectors = batch.column(0), _matrix(batch.column(1))
+                dealt = (ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 for i, tree in enumerate(trees):
-                    blocks = (tree.leaf(vectors) * len(trees) + i) * parts
+                    leaf = tree.leaf(vectors)
+                    block = ((leaf * len(trees) + i) << 31) + dealt % tree.blocks[leaf]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(blocks), ids, batch.column(1)], names=["block", "id", "embedding"]
+                        [pa.array(block), ids, batch.column(1)], names=["block", "id", "embedding"]
                     )
 
     kind = nodes.schema["embedding"].dataType.simpleString()
-    dealt = nodes.select("id", "embedding").mapInArrow(task, f"block long, id long, embedding {kind}")
-    return dealt.withColumn("block", F.col("block") + F.pmod(F.xxhash64("id"), F.lit(parts)))
+    return nodes.select("id", "embedding").mapInArrow(task, f"block long, id long, embedding {kind}")
 
 
 def _best(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
@@ -130,9 +135,10 @@ def _edges(ids: np.ndarray, nbrs: np.ndarray, scores: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nbrs), pa.array(scores)], names=["id", "nbr", "score"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the same first column together, from batches sorted by it."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the same first column together, from batches sorted by it, ``most`` at a time."""
     held: list[pa.RecordBatch] = []
+    n_held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -141,8 +147,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if held and held[0].column(0)[0].as_py() != keys[start]:
                 yield pa.concat_batches(held)
-                held = []
-            held.append(batch.slice(start, end - start))
+                held, n_held = [], 0
+            while start < end:
+                size = min(end - start, most - n_held)
+                held.append(batch.slice(start, size))
+                start, n_held = start + size, n_held + size
+                if n_held == most:
+                    yield pa.concat_batches(held)
+                    held, n_held = [], 0
     if held:
         yield pa.concat_batches(held)
 
@@ -151,7 +163,7 @@ def _in_block(most: int):
     """Each node's best within its block."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in _groups(batches, 8 * LEAF):
             ids, vectors = group.column(1).to_numpy(), _matrix(group.column(2))
             n = len(ids)
             if n < 2:
@@ -201,7 +213,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(ids[keep], nbrs[keep], scores[keep])
             held, n_held = [], 0
 
-    for group in _groups(batches):
+    for group in _groups(batches, MOST_MET):
         u = group.column(1).to_numpy()
         new = group.column(2).to_numpy(zero_copy_only=False)
         worst = group.column(3).to_numpy(zero_copy_only=False)
@@ -231,12 +243,12 @@ def build_graph(
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
     # A tree splits its sample down to 8 rows; what is larger on all rows is dealt out by hash.
     grown = min(depth, int(np.log2(TREE_SAMPLE / 8)))
-    rows = nodes.orderBy(F.xxhash64("id"), "id").limit(TREE_SAMPLE).collect() if depth else []
-    vectors = np.array([r["embedding"] for r in rows]) if rows else np.zeros((1, 1))
-    planted = [Tree(vectors, grown, seed) for seed in range(trees if depth else 1)]
-    if not depth:
-        planted[0].planes = np.zeros((0, 1))
-    blocks = _blocks(nodes, planted, 1 << (depth - grown)).repartition("block").sortWithinPartitions("block")
+    rows = nodes.orderBy(F.xxhash64("id"), "id").limit(TREE_SAMPLE if depth else 1).collect()
+    if not rows:
+        return cut(nodes.selectExpr("id", "id AS nbr", "0.0D AS score", "true AS new").where("false"), "graph")
+    vectors = np.array([r["embedding"] for r in rows])
+    planted = [Tree(vectors, grown, seed, n) for seed in range(trees if depth else 1)]
+    blocks = _blocks(nodes, planted).repartition("block").sortWithinPartitions("block")
     first = blocks.mapInArrow(_in_block(degree), EDGES).withColumn("new", F.lit(True))
     graph = cut(_nearest(first, degree), "graph")
     for turn in range(rounds if depth else 0):
