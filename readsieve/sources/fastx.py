@@ -22,10 +22,12 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readsieve.session import cut
+
 # Files up to this size arrive as one value; larger ones are opened by the task.
 CONTENT_BYTES = 256 << 20
 SPLIT_BYTES = 128 << 20
@@ -317,28 +319,102 @@ def parse(files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY)
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, _ddl(columns))
 
 
+def _range_shape(uri: str, start: int, stop: int) -> tuple[bool, bool, int, int]:
+    """What the lines of a byte range say about the file's layout.
+
+    Could it be FASTA (no line of a FASTQ record); are its records whole four-line ones
+    without a gap; the offset of the first of them; and where the last of them ends (-1
+    for both if none begins here).
+    """
+    with _open(uri) as stream:
+        if stream.read(2) == b"\x1f\x8b":
+            return False, False, -1, -1
+        at = 0
+        stream.seek(max(start - 1, 0))
+        if start:
+            at = start - 1 + len(stream.readline())
+        lines = _Lines(stream, at)
+        fasta, four_line, first, end = True, True, -1, -1
+        entry = next(lines, None)
+        while entry is not None and entry[0] < stop and (fasta or four_line):
+            at, line = entry
+            fasta = fasta and line[:1] not in (b"@", b"+") and (at > 0 or line[:1] == b">")
+            if four_line and _starts_record(lines, line, FOUR_LINE):
+                four_line = at == end or (first < 0 and (start > 0 or at == 0))
+                first = at if first < 0 else first
+                seq, qual = bytearray(), bytearray()
+                _extend(seq, next(lines)[1])
+                next(lines)
+                last = next(lines, (0, b""))
+                _extend(qual, last[1])
+                four_line = four_line and len(seq) == len(qual) and len(last[1]) > 0
+                end, fasta = last[0] + len(last[1]), False
+            elif first >= 0 or start == 0:
+                four_line = False
+            entry = next(lines, None)
+        return fasta, four_line, first, end
+
+
+def layouts(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``path, layout`` of plain files given as rows ``path, length``.
+
+    One pass over the ranges of all files. A file is ``four_line`` if the records of its
+    ranges meet without a gap from its first byte to its last, ``fasta`` if it starts with
+    a ``>`` line and has no line of a FASTQ record; read by that layout it has the same
+    records as read in one go. Any other file is ``any``.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    ranges = files.select("path", "length", F.explode(starts).alias("start"))
+    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    names = ["path", "length", "start", "fasta", "four_line", "first", "end"]
+    schema = "path string, length long, start long, fasta boolean, four_line boolean, first long, end long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            found = [(*r, *_range_shape(r[0], r[2], r[2] + split_bytes)) for r in rows]
+            if found:
+                columns = [pa.array(c) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    # dealt by range, so that the ranges of one large file are many tasks
+    dealt = ranges.repartition(min(int(n_ranges), MAX_RANGE_TASKS), "path", "start")
+    shaped = dealt.mapInArrow(run, schema)
+    order = Window.partitionBy("path").orderBy("start")
+    filled = shaped.where("first >= 0").withColumn("next", F.coalesce(F.lead("first").over(order), F.col("length")))
+    meets = filled.groupBy("path").agg(F.every(F.col("end") == F.col("next")).alias("meets"))
+    whole = shaped.groupBy("path").agg(F.every("fasta").alias("fasta"), F.every("four_line").alias("four_line"))
+    layout = F.when(F.col("four_line") & F.coalesce("meets", F.lit(False)), FOUR_LINE).when(F.col("fasta"), FASTA)
+    return whole.join(meets, "path", "left").select("path", F.coalesce(layout, F.lit(ANY)).alias("layout"))
+
+
 def parse_large(
     files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame | None:
     """Records of files given as rows ``path, length``, opened by the tasks.
 
-    With a declared layout a plain file is cut into byte ranges that are read in
-    parallel; otherwise, and for gzip, one task streams through the file. None
-    when there are no files. Only sizes are read to find the number of tasks.
+    A plain file is cut into byte ranges that are read in parallel if its layout is
+    declared or turns out to be regular; otherwise, and for gzip, one task streams
+    through the file. None when there are no files.
     """
-    step = split_bytes if layout != ANY else 1 << 62
-    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0]
+    listed = files.select("path", "length", F.lit(layout).alias("layout"))
+    if layout == ANY:
+        if not files.limit(1).count():
+            return None
+        listed = cut(files.select("path", "length").join(layouts(files, split_bytes), "path"), "layouts")
+    step = F.when(F.col("layout") == ANY, F.lit(1 << 62)).otherwise(F.lit(split_bytes)).cast("long")
+    n_ranges = listed.agg(F.sum(F.ceil(F.col("length") / step))).first()[0]
     if not n_ranges:
         return None
-    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step))
-    ranges = files.select("path", F.explode(starts).alias("start")).repartition(min(int(n_ranges), MAX_RANGE_TASKS))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)
+    ranges = listed.select("path", F.explode(starts).alias("start"), "layout")
+    ranges = ranges.repartition(min(int(n_ranges), MAX_RANGE_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                for path, start in zip(batch.column(0), batch.column(1)):
-                    uri, at = path.as_py(), start.as_py()
-                    for record in _range_records(uri, at, at + split_bytes, layout):
+                for uri, at, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    for record in _range_records(uri, at, at + split_bytes, kind):
                         yield uri, record
 
         yield from _batches(found(), columns)

@@ -164,6 +164,36 @@ def test_damaged_records_mean_the_same_at_any_size(spark, tmp_path, seed):
                 assert sorted((r.record_offset, r.name, r.status) for r in rows) == wanted
 
 
+@pytest.mark.parametrize("split", [50, 700, 1 << 20])
+def test_layout_is_found_or_the_file_read_in_one_go(spark, tmp_path, split):
+    rnd = random.Random(4)
+    multi = b"".join(b"@m%d\nACGT\nAC\n+\nIIII\n@+\n" % i for i in range(30))
+    contents = {
+        "regular": (four_line(rnd, 50), FOUR_LINE),
+        "no_end": (four_line(rnd, 20)[:-1], FOUR_LINE),
+        "fasta": (fasta(rnd, 50), FASTA),
+        "multi": (multi, ANY),
+        "late_fault": (four_line(rnd, 50) + b"@x\nACGT\n+\nII\n" + four_line(rnd, 5), ANY),
+        "blank": (four_line(rnd, 10) + b"\n" + four_line(rnd, 10), ANY),
+        "junk": (b"junk\n" + fasta(rnd, 10), ANY),
+        "mixed": (fasta(rnd, 10) + four_line(rnd, 10), ANY),
+        "lines": (b"".join(b"+\n" for _ in range(40)), ANY),
+    }
+    for name, (data, _) in contents.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "packed").write_bytes(gzip.compress(contents["regular"][0]))
+    listed = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    found = {r.path.rsplit("/")[-1]: r.layout for r in fastx.layouts(listed, split).collect()}
+    assert found == {"packed": ANY, **{name: layout for name, (_, layout) in contents.items()}}
+    rows = read_fastx(spark, str(tmp_path), content_bytes=0, split_bytes=split).collect()
+    for name, (data, _) in contents.items():
+        got = sorted((r.record_offset, r.name, r.seq, r.qual, r.status) for r in rows if r.file.endswith(f"/{name}"))
+        text = lambda b: None if b is None else b.decode()
+        assert got == [
+            (r[0], text(r[1]), text(r[3]), text(r[4]), r[5]) for r in fastx.records(fastx._Lines(io.BytesIO(data)))
+        ]
+
+
 def test_a_damaged_record_leaves_the_next_one_alone():
     data = b"@a\nACGT\n+\n@b\nACG\n+\nIII\n@c\nAC\n+\nI\n@d\nA\n+\nI\n"
     found = [(r[1], r[4], r[5]) for r in fastx.laid_out_records(fastx._Lines(io.BytesIO(data)), FOUR_LINE)]
