@@ -315,17 +315,16 @@ def print_array(column: Column) -> Column:
     return F.to_json(column)
 
 
+_PIECE = 256
 _TOKENS = r'("(?:\\.|[^"\\])*+"|[{}\[\],:]|[^\s{}\[\],:"]++)'
 
 
 def prettify(text: Column) -> Column:
     """JSON text with one value per line, two spaces per level.
 
-    Works on the tokens of the text itself: order and spelling stay as they are.
+    Works on the tokens of the text itself: order and spelling stay as they are. The
+    lines of a piece of tokens are put together, and the pieces joined once at the end.
     """
-    start = F.struct(
-        F.lit("").alias("out"), F.lit(0).alias("level"), F.lit("").alias("last")
-    )
 
     def line(level: Column) -> Column:
         return F.concat(F.lit("\n"), F.repeat(F.lit("  "), level))
@@ -345,5 +344,24 @@ def prettify(text: Column) -> Column:
         after = F.when(opening, level + 1).otherwise(level)
         return F.struct(F.concat(acc["out"], lead).alias("out"), after.alias("level"), tok.alias("last"))
 
+    def piece(tokens: Column, acc: Column, i: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), acc["level"].alias("level"), acc["last"].alias("last"))
+        written = F.aggregate(F.slice(tokens, i * _PIECE + 1, _PIECE), start, step)
+        # bound by a lambda, so that it is worked out once
+        return F.aggregate(
+            F.array(written),
+            acc,
+            lambda a, w: F.struct(
+                F.array_append(a["parts"], w["out"]).alias("parts"), w["level"].alias("level"), w["last"].alias("last")
+            ),
+        )
+
+    def joined(tokens: Column) -> Column:
+        start = F.struct(
+            F.array().cast("array<string>").alias("parts"), F.lit(0).alias("level"), F.lit("").alias("last")
+        )
+        pieces = F.sequence(F.lit(0), F.floor(F.size(tokens) / _PIECE).cast("int"))
+        return F.aggregate(pieces, start, lambda acc, i: piece(tokens, acc, i), lambda acc: F.concat_ws("", acc["parts"]))
+
     tokens = F.regexp_extract_all(text, F.lit(_TOKENS), 1)
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(tokens), joined), 1))
