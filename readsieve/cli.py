@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from readsieve import __version__, logs
 from readsieve.config import CONFIG_LOCATION, WATCH_DIRECTORY, Config, load_or_create, save
 from readsieve.plans.screen import prepare
+from readsieve.session import scratch
 from readsieve.sources.fastx import ANY, FASTA, FOUR_LINE, read_fastx
 from readsieve.streaming.watch import MAX_FILES, watch
 
@@ -180,15 +181,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         save(config, path)
         try:
             spark = spark or SparkSession.builder.appName("readsieve").getOrCreate()
-            run(
-                spark,
-                config,
-                out=args.out,
-                include_existing=args.includeExisting,
-                drain=args.drain,
-                layout=args.layout,
-                max_files=args.maxFiles,
-            )
+            with scratch(spark):
+                run(
+                    spark,
+                    config,
+                    out=args.out,
+                    include_existing=args.includeExisting,
+                    drain=args.drain,
+                    layout=args.layout,
+                    max_files=args.maxFiles,
+                )
         finally:
             latest = load_or_create(path)
             if latest.pid == os.getpid():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +30,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Folders written since the outermost ``scratch`` began, if there is one.
+_written: list[str] | None = None
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``cut`` writes inside go at the end, when nothing reads them any more."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        mine, _written = _written, outer
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs
     no recomputation of what came before, and later uses share one run."""
     path = fresh_path(df.sparkSession, name)
+    if _written is not None:
+        _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

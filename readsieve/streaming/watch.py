@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from readsieve.functions.files import is_read_file
 from readsieve.plans.screen import ScreenSpec, Whitelist, quarantine, screen
+from readsieve.session import scratch
 from readsieve.sources.fastx import ANY, CONTENT_BYTES, FILE_SCHEMA, SPLIT_BYTES, parse, parse_large
 
 READ_GLOB = "*.{fastq,fq}"
@@ -97,8 +98,9 @@ def watch(
     def run(batch: DataFrame, number: int) -> None:
         reads = read_batch(batch, layout, content_bytes, split_bytes)
         usable = reads.where(F.col("status") == "ok")
-        results = screen(usable, prepared, spec, id_cols=_ID_COLUMNS)
-        results.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        with scratch(spark):
+            results = screen(usable, prepared, spec, id_cols=_ID_COLUMNS)
+            results.write.mode("overwrite").parquet(f"{base}/batch={number}")
         left_out = quarantine(reads, spec, id_cols=_ID_COLUMNS, status_col="status")
         left_out.write.mode("overwrite").parquet(f"{base}-quarantine/batch={number}")
 
