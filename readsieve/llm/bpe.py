@@ -18,21 +18,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from readsieve.llm.texts import per_row
 
 CUT_CHARS = 1 << 18
-PIECES_KEPT = 300_000
-PAIRS_KEPT = 500_000
+PIECES_KEPT = 100_000
+PAIRS_KEPT = 200_000
+_NEVER = 1 << 62
 LONG_PIECE = 64
 
 DIGEST_SCHEMA = StructType(
@@ -72,7 +73,8 @@ class Bpe:
         self.automaton.make_automaton()
         self.pieces = regex.compile(pattern)
         self.border = regex.compile(r"(?<=\S)\s")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.prefixes: dict[bytes, int] = {}
         self.memo = _Memo(self)
 
@@ -91,13 +93,59 @@ class Bpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at one end of a token while it is merged, from its outermost byte up to
+        the token itself, each with the rank at which the next one takes its place."""
+        known = self.spines[side].get(token)
+        if known is None:
+            whole, known = self.tokens[token], []
+            at, rank = whole, _NEVER
+            while True:
+                known.append((at, rank))
+                if len(at) == 1:
+                    break
+                rank = self.ranks[at]
+                at = self._halves(at)[side]
+            known.reverse()
+            self.spines[side][token] = known
+        return known
+
+    def _halves(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts that the last merge of a token joins."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            found = [self.ranks.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+            i = found.index(min(found))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts[0], parts[1]
+
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        """Do the merges of the joined bytes leave these two tokens?
+
+        They do unless some part at the end of the left one and some part at the start of
+        the right one stand side by side and merge before either is merged into its own
+        token. Of equal merges the one further left comes first.
+        """
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = known
+            ends, starts = self._spine(left, 1), self._spine(right, 0)
+            i = j = 0
+            known = True
+            while True:
+                (x, x_until), (y, y_until) = ends[i], starts[j]
+                rank = self.ranks.get(x + y, _NEVER)
+                if rank < x_until and rank <= y_until and rank != _NEVER:
+                    known = False
+                    break
+                if x_until == y_until == _NEVER:
+                    break
+                if x_until <= y_until:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[left << 32 | right] = known
         return known
 
     def shorter(self, token: bytes) -> int:
@@ -118,24 +166,27 @@ class Bpe:
         longest = [1] * n
         for end, size in self.automaton.iter(piece.decode("latin-1")):
             longest[end - size + 1] = size
-        usable = bytearray(b"\1") * (n + 1)
+        ranks, pairs, compatible = self.ranks, self.pairs, self.compatible
+        refused: set[int] = set()
         ids: list[int] = []
-        at, size = 0, longest[0]
+        at, size, last = 0, longest[0], -1
         while at < n:
-            last = ids[-1] if ids else None
             while size:
-                token = piece[at : at + size]
-                if usable[at + size] and (last is None or self.compatible(last, self.ranks[token])):
-                    break
-                size = self.shorter(token)
+                if at + size not in refused:
+                    token = ranks[piece[at : at + size]]
+                    if last < 0 or pairs.get(last << 32 | token) or compatible(last, token):
+                        break
+                size = self.shorter(piece[at : at + size])
             if size:
-                ids.append(self.ranks[token])
+                ids.append(token)
+                last = token
                 at += size
                 size = longest[at] if at < n else 0
             elif ids:
-                usable[at] = 0
+                refused.add(at)
                 size = len(self.tokens[ids.pop()])
                 at -= size
+                last = ids[-1] if ids else -1
             else:
                 raise ValueError(f"no tokens for {piece!r}")
         return ids
@@ -158,31 +209,62 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Memo(dict):
-    """Packed ids of pieces seen before; emptied when full."""
+    """Packed ids of pieces seen before: when full, it becomes the old one and starts anew,
+    and what is asked for again comes back from there."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = _packed(self.bpe.encode_piece(piece.encode()))
         if len(piece) <= LONG_PIECE:
             if len(self) >= PIECES_KEPT:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+# The coder of the latest run in this process: tasks that follow find its memory filled.
+_LATEST: dict[str, Bpe] = {}
+
+
+def _coder(key: str, ranks: dict[bytes, int], pattern: str, unreachable: frozenset[bytes]) -> Bpe:
+    if key not in _LATEST:
+        _LATEST.clear()
+        _LATEST[key] = Bpe(ranks, pattern, unreachable)
+    return _LATEST[key]
+
+
+def _shared(df: DataFrame, ranks: dict[bytes, int], pattern: str):
+    """The coder for tasks; a vocabulary of bounded size is sent to them."""
+    unreachable = Bpe(ranks, pattern).unreachable
+    sent, key = df.sparkSession.sparkContext.broadcast((ranks, unreachable)), uuid.uuid4().hex
+
+    def coder() -> Bpe:
+        from readsieve.llm import bpe  # the module of the worker, where the memory lives
+
+        ranks, unreachable = sent.value
+        return bpe._coder(key, ranks, pattern, unreachable)
+
+    return coder
+
+
 def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per row: the number of ids, and digests of the ids and of the bytes decoded from them."""
-    unreachable = Bpe(ranks, pattern).unreachable
-    # Bounded: a vocabulary, some 50,000 entries.
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, unreachable))
+    coder = _shared(docs, ranks, pattern)
 
     def make():
-        ranks, unreachable = shared.value
-        bpe = Bpe(ranks, pattern, unreachable)
+        bpe = coder()
 
         def row(doc_id, text):
             n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
@@ -197,16 +279,15 @@ def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
     return per_row(docs, ["doc_id", "text"], DIGEST_SCHEMA, make)
 
 
+IDS_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("ids", ArrayType(IntegerType()))])
+
+
 def encode_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The rows of ``docs`` as (doc_id, ids)."""
-    unreachable = Bpe(ranks, pattern).unreachable
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, unreachable))
+    coder = _shared(docs, ranks, pattern)
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks, unreachable = shared.value
-        bpe = Bpe(ranks, pattern, unreachable)
-        for texts in batches:
-            yield texts.map(lambda t: bpe.encode(t or ""))
+    def make():
+        bpe = coder()
+        return lambda doc_id, text: (doc_id, bpe.encode(text or ""))
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return per_row(docs, ["doc_id", "text"], IDS_SCHEMA, make)
