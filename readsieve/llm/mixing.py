@@ -39,6 +39,7 @@ from readsieve.session import cut
 WEIGHTS = [3.0, 1.0, 2.0]
 BUDGET = 1.5
 CAP = 2.0
+WORD = r"[^\x20\x09-\x0D]+"
 
 SEGMENT = 2_000
 TOLERANCE = 1e-9
@@ -206,15 +207,12 @@ def mix(docs: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
 
-    @F.pandas_udf("long")
-    def size(texts):
-        return texts.map(lambda t: sum(map(len, words_of((t or "").encode()))))
-
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # Rows with the same doc_id, source and size get the same number of copies.
     taken = mix(docs).select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies"
     )
-    joined = docs.withColumn("__size", size("text")).join(
+    joined = docs.withColumn("__size", size).join(
         taken.withColumnRenamed("copies", "__copies").distinct(),
         _same("doc_id", "__id") & _same("source", "__s") & (F.col("__size") == F.col("__n")),
     )

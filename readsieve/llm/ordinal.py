@@ -26,20 +26,20 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from readsieve.llm.texts import per_row, words_of
+from readsieve.llm.texts import per_row, small_batches, words_of
 
 SAMPLE = 4_000
 BITS = 30
 LEAST_DOCS = 3
 RELAXED = 0.005
-THRESHOLD = 0.8  # of the probability of the top grade
-WORDS_KEPT = 300_000
+THRESHOLD = 0.7  # of the probability of the top grade
+WORDS_KEPT = 50_000
 LONG_WORD = 64
 BEGINNINGS = (4, 5, 6)
 
@@ -270,10 +270,11 @@ def select(docs: DataFrame, model: OrdinalModel | None, threshold: float = THRES
     """The documents that are kept, with all their columns."""
     judging = _judge(model, threshold)
 
-    @F.pandas_udf("boolean")
-    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = judging()
-        for texts in batches:
-            yield texts.map(lambda t: judge(t)[2])
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
 
-    return docs.where(kept("text"))
+    return small_batches(docs).mapInArrow(task, docs.schema)

@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 BLANKS = " \t\n\v\f\r"
 BLOCK = 1 << 20
 ROWS_OUT = 1 << 16
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
+BATCH_BYTES = "16m"
 
 
 def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
@@ -35,6 +38,17 @@ def words_of(data: bytes) -> Iterator[list[bytes]]:
         yield block.split()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held small enough for texts.
+
+    Several copies of a batch exist at a time, in the executor and in the worker.
+    """
+    conf = df.sparkSession.conf
+    conf.set(RECORDS, min(int(conf.get(RECORDS)), BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def per_row(
     df: DataFrame, columns: list[str], schema: StructType, make: Callable[[], Callable[..., tuple]]
 ) -> DataFrame:
@@ -53,4 +67,4 @@ def per_row(
             arrays = [pa.array([r[j] for r in rows], fields.field(n).type) for j, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(arrays, schema=fields)
 
-    return df.select(*columns).mapInArrow(task, schema)
+    return small_batches(df).select(*columns).mapInArrow(task, schema)
