@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from readsieve.llm.texts import BLANKS, ROWS_OUT, per_row
+from readsieve.llm.texts import BLANKS, ROWS_OUT, per_row, small_batches
 from readsieve.session import cut
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
 HASH_BYTES = 16
+ROWS_AT_ONCE = 512
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -89,7 +90,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             )
 
     return (
-        docs.where("doc_id is not null")
+        small_batches(docs.where("doc_id is not null"))
         .select("doc_id", "text")
         .mapInArrow(task, "h binary, doc_id long, first boolean")
     )
@@ -106,10 +107,9 @@ class LineStore:
         self.levels: list[list[str]] = []
         self.tables: list[str] = []
 
-    def _write(self, rows: DataFrame, *partition: str) -> str:
+    def _write(self, rows: DataFrame) -> str:
         table = f"{self.name}_{len(self.tables)}"
-        writer = rows.write.bucketBy(self.buckets, "h").sortBy("h")
-        (writer.partitionBy(*partition) if partition else writer).saveAsTable(table)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table)
         self.tables.append(table)
         return table
 
@@ -127,7 +127,7 @@ class LineStore:
         for i, table in enumerate(t for level in self.levels for t in level):
             rows = rows.join(self._run(table).withColumn(f"in{i}", F.lit(True)), "h", "left")
             seen = seen | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        table = self._write(rows.select("h", "doc_id", (~seen & (F.col("doc_id") == F.col("owner"))).alias("fresh")), "fresh")
+        table = self._write(rows.select("h", "doc_id", (~seen & (F.col("doc_id") == F.col("owner"))).alias("fresh")))
         self._push(0, table)
         return self.spark.table(table).where("not fresh").select("h", "doc_id")
 
@@ -216,11 +216,19 @@ def dedup_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the texts that stay; null texts stay null."""
 
-    @F.pandas_udf("string")
-    def remaining(texts, lost):
-        return texts.combine(
-            lost, lambda t, gone: t if gone is None or t is None else "\n".join(kept_lines(t, list(gone), min_chars)[0])
-        )
+    at, width = docs.columns.index("text"), len(docs.columns)
 
-    joined = _with_lost(docs, min_chars=min_chars)
-    return joined.withColumn("text", remaining("text", "__lost")).select(*docs.columns)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                columns = [batch.column(i) for i in range(width)]
+                texts = []
+                for text, lost in zip(columns[at], batch.column(width)):
+                    text, lost = text.as_py(), lost.as_py()
+                    texts.append("\n".join(kept_lines(text, lost, min_chars)[0]) if lost and text is not None else text)
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    joined = _with_lost(docs, min_chars=min_chars).select(*docs.columns, "__lost")
+    return small_batches(joined).mapInArrow(task, docs.schema)
