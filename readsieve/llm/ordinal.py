@@ -10,7 +10,8 @@ off), of their first 4, 5 and 6 characters, and of word shapes in coarse shares,
 present or absent.
 
 The model is fitted on a bounded sample: the ``sample`` labelled documents with the
-smallest hash of their doc_id (documented bound, 4,000 by default). An L1 penalty makes
+smallest hash of their doc_id (documented bound, 4,000 by default), one row for each:
+of several labels the lowest grade, of several texts the smallest. An L1 penalty makes
 the weights sparse, so the model is small whatever the number of hash buckets, and rare
 words weigh nothing. Every document is then scored over its whole text.
 
@@ -205,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     graded = labels.select(F.col("doc_id").alias("__of"), grade(F.col("quality"), F.col("toxic")).alias("__grade"))
     chosen = (
         graded.where("__of is not null and __grade is not null")
-        .orderBy(F.xxhash64("__of"), "__of", "__grade")
+        .groupBy("__of")
+        .agg(F.min("__grade").alias("__grade"))
+        .orderBy(F.xxhash64("__of"), "__of")
         .limit(sample)
     )
 
@@ -214,10 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
         return lambda text, g: (g, np.array(sorted(buckets_of(text, memo)), "<u4").tobytes())
 
     schema = StructType([StructField("grade", LongType()), StructField("buckets", BinaryType())])
-    # Bounded by ``sample`` rows.
+    # Bounded by ``sample`` rows, as each doc_id has one; its rows meet after a minimum in each task.
     of_sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__of"))
-    rows = per_row(of_sample, ["text", "__grade"], schema, make).orderBy("grade", "buckets").limit(sample).collect()
-    rows = [(r["grade"], np.frombuffer(r["buckets"], "<u4").astype(np.int64)) for r in rows if r["buckets"]]
+    of_sample = of_sample.groupBy("__of", "__grade").agg(F.min("text").alias("text"))
+    rows = sorted((r["grade"], bytes(r["buckets"])) for r in per_row(of_sample, ["text", "__grade"], schema, make).collect())
+    rows = [(g, np.frombuffer(b, "<u4").astype(np.int64)) for g, b in rows if b]
     if not rows:
         return None
     return fit([b for _, b in rows], np.array([g for g, _ in rows], np.int64), N_GRADES)

@@ -66,6 +66,20 @@ def test_sample_is_bounded_and_deterministic(spark):
     assert a.weights == pytest.approx(b.weights) and a.thresholds == pytest.approx(b.thresholds)
 
 
+@pytest.mark.parametrize("hot", ["clean", "poor"])
+def test_repeated_doc_ids_count_once(spark, hot):
+    rows, labels = corpus(150, 5)
+    once = ordinal.train(documents(spark, rows), spark.createDataFrame(labels, LABELS), sample=100)
+    # A tenth of the documents twice, one of them as most of the rows, with longer texts besides; some labels again.
+    again = next(r for r, x in zip(rows, labels) if (x[1], x[2]) == ((1, 0) if hot == "clean" else (0, 0)))
+    more = rows[::10] + [again] * 400 + [(i, t + " zzz", lang, s) for i, t, lang, s in rows[::7]]
+    more += [(again[0], None, "en", "a")]
+    better = [(i, 1, 0) for i, q, t in labels[::5] if not q or t]
+    known = spark.createDataFrame(labels + labels[::3] + better, LABELS)
+    twice = ordinal.train(documents(spark, rows + more).repartition(6), known, sample=100)
+    assert twice.weights == pytest.approx(once.weights) and twice.thresholds == pytest.approx(once.thresholds)
+
+
 def test_odd_rows(spark):
     rows, labels = corpus(200, 3)
     labels += [(None, 1, 0), (500, None, 0), (501, 1, None), (5, 0, 1), (9999, 1, 0)]
