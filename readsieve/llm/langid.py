@@ -215,8 +215,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     each = max(LEAST_PER_LANG, sample // len(languages))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    pairs = known.select("doc_id", "lang").distinct()
     chosen = (
-        known.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= each)
+        pairs.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= each)
     ).select(F.col("doc_id").alias("__of"), F.col("lang").alias("__lang"))
 
     def make():
@@ -234,8 +235,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             StructField("counts", BinaryType()),
         ]
     )
-    # Bounded by ``each`` rows for a language.
-    of_sample = known.select("doc_id", "text").join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("__of"))
+    # Bounded by ``each`` rows for a language: a doc_id has one row in it, with its smallest text.
+    mine = (F.col("doc_id") == F.col("__of")) & (F.col("lang") == F.col("__lang"))
+    of_sample = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), mine)
+    of_sample = of_sample.groupBy("doc_id", "__lang").agg(F.min("text").alias("text"))
     found = per_row(of_sample, ["doc_id", "text", "__lang"], schema, make).collect()
     found = sorted((r for r in found if r["at"]), key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
     rows, answers = [], []

@@ -89,6 +89,23 @@ def test_source_and_order_are_no_inputs(spark):
     assert np.allclose(model.weights, other.weights)
 
 
+def test_repeated_doc_ids_are_learnt_once(spark, monkeypatch):
+    taught = []
+
+    def note(model, rows, answers):
+        taught.extend((int(a), at.tobytes(), n.tobytes()) for (at, n), a in zip(rows, answers))
+
+    monkeypatch.setattr(langid, "fit_ftrl", note)
+    monkeypatch.setattr(langid, "fit_temperature", note)
+    rows = corpus(600)
+    langid.train(documents(spark, rows), sample=100)
+    once, taught[:] = sorted(taught), []
+    hot = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1][0]
+    longer = [(i, t + " zzzz", lang, s) for i, t, lang, s in rows]
+    langid.train(documents(spark, rows * 3 + longer + [hot] * 500).repartition(5), sample=100)
+    assert sorted(taught) == once and len(once) == 4 * langid.LEAST_PER_LANG
+
+
 def test_documents_are_all_counted(spark):
     docs = documents(spark, corpus(150)).repartition(4)
     n, df = langid.document_frequencies(docs)
