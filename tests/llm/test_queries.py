@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -96,6 +98,24 @@ def test_rule_counts(spark, docs):
     assert len(found) == len(docs)
 
 
+def test_rule_counts_of_all_texts(spark, docs):
+    """Windows counted in a dictionary, so that long texts are cheap."""
+    found = {r["doc_id"]: r for r in QUERIES["op4_quality_rules"](spark, SF).collect()}
+    assert max(len(t) for _, t, _, _ in docs) > 15_000
+    for i, text, _, _ in docs:
+        words = [w for w in re.split(f"[{test_rules.BLANKS}]+", text) if w]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            dup += bool(line.strip(test_rules.BLANKS)) and line in seen
+            seen.add(line)
+        r = found[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            *(len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)),
+        )
+
+
 def test_ids(spark, docs):
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
