@@ -15,7 +15,7 @@ import tiktoken
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from readsieve.llm import bpe
+from readsieve.llm import bpe, ordinal
 from readsieve.llm.oracles import ORACLES
 from readsieve.llm.queries import QUERIES
 from tests.llm import test_lines, test_mixing, test_neighbours, test_rules, test_simhash
@@ -144,6 +144,22 @@ def test_quality(spark):
     assert np.mean(clean) > 0.99 and np.mean(other) < 0.25
 
 
+def test_quality_of_held_out_labels(spark):
+    """By grade, on labels that taught nothing; a stage that lets through half of a grade is noticed."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = labels.where("doc_id % 3 = 0")
+    model = ordinal.train(docs, labels.where("doc_id % 3 <> 0"))
+    scored = ordinal.score(docs.join(out.select("doc_id"), "doc_id", "left_semi"), model)
+    found = {r["doc_id"]: r["kept"] for r in scored.collect()}
+    kept = {0: [], 1: [], 2: []}
+    for r in out.collect():
+        kept[0 if not r["quality"] else 1 if r["toxic"] else 2].append(found[r["doc_id"]])
+    assert all(len(k) > 100 for k in kept.values())
+    assert np.mean([k == (g == 2) for g in kept for k in kept[g]]) > 0.97
+    assert np.mean(kept[0]) < 0.03 and np.mean(kept[1]) < 0.15 and np.mean(kept[2]) > 0.99
+
+
 def test_pipeline_stages(spark, duck, docs, tmp_path):
     """Each stage on what the one before it kept."""
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "mix", "encode"]
