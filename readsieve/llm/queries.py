@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, rules, secrets, simhash, warc
+from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, packing, rules, secrets, simhash, warc
 from readsieve.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED_VOCABULARY = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +62,12 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, table(spark, sf, "labels")))
 
 
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = packing.read_tokenizer(spark, public_tokenizers.path(PACKED_VOCABULARY))
+    pieces = packing.pack(table(spark, sf, "documents"), tokenizer)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_neighbours": op2_neighbours,
@@ -71,4 +79,5 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_packing": op13_packing,
 }

@@ -6,11 +6,11 @@ what ``bytes.split()`` splits at; a null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 BLANKS = " \t\n\v\f\r"
 BLOCK = 1 << 20
@@ -49,6 +49,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def struct(**types: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in types.items()])
+
+
+def batch_of(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def per_row(
     df: DataFrame, columns: list[str], schema: StructType, make: Callable[[], Callable[..., tuple]]
 ) -> DataFrame:

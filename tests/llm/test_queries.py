@@ -18,7 +18,7 @@ import corpus_pipeline
 from readsieve.llm import bpe, ordinal
 from readsieve.llm.oracles import ORACLES
 from readsieve.llm.queries import QUERIES
-from tests.llm import test_lines, test_mixing, test_neighbours, test_rules, test_simhash
+from tests.llm import test_lines, test_mixing, test_neighbours, test_packing, test_rules, test_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +53,7 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_every_operator_is_registered():
     names = set(entry_points.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == {*range(1, 11), 13}
 
 
 def test_language(spark, docs):
@@ -127,6 +127,12 @@ def test_ids(spark, docs):
         assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_pieces_of_documents(spark, docs):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    found = [tuple(r) for r in QUERIES["op13_packing"](spark, SF).select(*names).collect()]
+    assert test_packing.check(found, test_packing.ids_of((i, t) for i, t, _, _ in docs)) == 0
+
+
 def test_near_duplicates(spark, docs):
     found = {r["doc_id"]: r for r in QUERIES["op7_simhash"](spark, SF).collect()}
     fps = [test_simhash.brute_fingerprint(t) for _, t, _, _ in docs]
