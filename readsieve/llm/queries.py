@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, packing, rules, secrets, simhash, warc
+from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, packing, rules, secrets, simhash, warc, whitening
 from readsieve.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return ordinal.score(docs, ordinal.train(docs, table(spark, sf, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
     tokenizer = packing.read_tokenizer(spark, public_tokenizers.path(PACKED_VOCABULARY))
     pieces = packing.pack(table(spark, sf, "documents"), tokenizer)
@@ -79,5 +83,6 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
     "op13_packing": op13_packing,
 }
