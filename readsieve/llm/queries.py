@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.llm import bpe, langid, lines, mixing, neighbours, ordinal, packing, rules, secrets, simhash, warc, whitening
+from readsieve.llm import bpe, langid, lines, mixing, negatives, neighbours, ordinal, packing, rules, secrets, simhash, warc, whitening
 from readsieve.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,11 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), every=50)
+
+
 def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
     tokenizer = packing.read_tokenizer(spark, public_tokenizers.path(PACKED_VOCABULARY))
     pieces = packing.pack(table(spark, sf, "documents"), tokenizer)
@@ -84,5 +89,6 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_packing": op13_packing,
 }

@@ -38,7 +38,7 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DecimalType, DoubleType, IntegerType, LongType
@@ -58,12 +58,12 @@ TOTALS = struct(i=IntegerType(), total=DecimalType(38, 0))
 CENTRED = struct(at=LongType(), vec_id=LongType(), deviation=LongType(), centred=ArrayType(DoubleType()))
 
 
-def whole_numbers(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, x): rows that take part, with their entries as whole numbers."""
+def whole_numbers(embeddings: DataFrame, *others: Column) -> DataFrame:
+    """(vec_id, x) and others: rows that take part, with their entries as whole numbers."""
     value = F.col("embedding")
     sound = value.isNotNull() & F.forall(value, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     x = F.transform(value, lambda c: F.floor(c.cast("double") * SCALE))
-    return embeddings.where(sound).select("vec_id", x.alias("x"))
+    return embeddings.where(sound).select("vec_id", x.alias("x"), *others)
 
 
 def indexed(rows: DataFrame) -> DataFrame:

@@ -18,7 +18,16 @@ import corpus_pipeline
 from readsieve.llm import bpe, ordinal
 from readsieve.llm.oracles import ORACLES
 from readsieve.llm.queries import QUERIES
-from tests.llm import test_lines, test_mixing, test_neighbours, test_packing, test_rules, test_simhash
+from tests.llm import (
+    test_lines,
+    test_mixing,
+    test_negatives,
+    test_neighbours,
+    test_packing,
+    test_rules,
+    test_simhash,
+    test_whitening,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,7 +62,7 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_every_operator_is_registered():
     names = set(entry_points.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == {*range(1, 11), 13}
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_language(spark, docs):
@@ -127,6 +136,17 @@ def test_ids(spark, docs):
         assert found[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_whitened(spark, duck):
+    rows = duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    test_whitening.compare(QUERIES["op11_whitening"](spark, SF).collect(), rows)
+
+
+def test_hard_negatives(spark, duck):
+    moved = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+    rows = duck.execute(f"SELECT vec_id, embedding, {moved} FROM embeddings").fetchall()
+    assert test_negatives.compare(QUERIES["op12_hard_negatives"](spark, SF), rows) > 10
+
+
 def test_pieces_of_documents(spark, docs):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     found = [tuple(r) for r in QUERIES["op13_packing"](spark, SF).select(*names).collect()]
