@@ -32,8 +32,9 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from importlib import import_module
 from itertools import count
 
 import numpy as np
@@ -44,13 +45,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType
 
-from readsieve.llm.texts import batch_of, struct
+from readsieve.llm.texts import batch_of, blocks, struct
 from readsieve.session import cut
 
 CAPACITY = 2_048
 END_ID = 1
-WORDS_KEPT = 300_000  # encoded words that a task remembers; more are encoded again
+WORDS_KEPT = 750_000  # encoded words that a worker remembers; more are encoded again
 LONG_WORD = 64  # bytes; longer words are not remembered
+WORDS_TOGETHER = 20_000
+TEXTS_TOGETHER = 1 << 19  # bytes
 IDS_A_BATCH = 1 << 22
 # Full pieces take sequence ids from here on, with room for so many in a task's share.
 FULL_IDS = 1 << 40
@@ -69,45 +72,90 @@ def read_tokenizer(spark: SparkSession, path: str) -> str:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
 
 
-class Words(dict):
-    """Ids of words as bytes in little-endian order, encoded when first met."""
+class Words:
+    """Ids of texts as bytes in little-endian order, word by word; a word is encoded when first met."""
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer)
+        self.known: dict[bytes, bytes] = {}
+
+    def dtype(self, end_id: int) -> str:
+        return "<u2" if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+    def _learn(self, words: list[bytes], dtype: str) -> None:
+        """Encode words together and cut their ids apart at the places that they come from."""
+        texts = [w.decode() for w in words]
+        found = self.library.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        at = np.array([a for a, _ in found.offsets], np.int64)
+        cuts = np.searchsorted(at, starts) * np.dtype(dtype).itemsize
+        data, ends = np.array(found.ids, dtype).tobytes(), cuts.tolist()
+        self.known.update(zip(words, (data[a:b] for a, b in zip(ends, ends[1:]))))
+
+    def of(self, texts: list[bytes], dtype: str) -> list[bytes]:
+        split = [text.split() for text in texts]
+        met = set().union(*split)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known.clear()
+            new = met
+        new = list(new)
+        for i in range(0, len(new), WORDS_TOGETHER):
+            self._learn(new[i : i + WORDS_TOGETHER], dtype)
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONG_WORD:
+                del self.known[word]
+        return ids
+
+    def of_all(self, texts: Iterable[bytes], dtype: str) -> Iterator[bytes]:
+        """The ids of each text; small texts go together, large ones in parts."""
+        group, size = [], 0
+        for text in texts:
+            if len(text) > TEXTS_TOGETHER:
+                yield from self.of(group, dtype)
+                group, size = [], 0
+                yield b"".join(self.of([part], dtype)[0] for part in blocks(text, TEXTS_TOGETHER))
+                continue
+            group.append(text)
+            size += len(text)
+            if size > TEXTS_TOGETHER:
+                yield from self.of(group, dtype)
+                group, size = [], 0
+        yield from self.of(group, dtype)
 
-    def __init__(self, tokenizer, dtype: str):
-        self.tokenizer, self.dtype = tokenizer, dtype
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        data = np.array(ids, self.dtype).tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = data
-        return data
+_words: dict[str, Words] = {}
 
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+
+def words_of_worker(tokenizer: str) -> Words:
+    """Kept from task to task."""
+    if tokenizer not in _words:
+        _words.clear()
+        _words[tokenizer] = Words(tokenizer)
+    return _words[tokenizer]
 
 
 def encode(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The ids of every document and its place among the rests of its length in its task's share."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         schema = to_arrow_schema(ENCODED)
-        library = Tokenizer.from_str(tokenizer)
-        dtype = "<u2" if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        words, wide = Words(library, dtype), dtype == "<u4"
+        # By its name, so that the worker's own copy of this module remembers.
+        words = import_module(__name__).words_of_worker(tokenizer)
+        dtype = words.dtype(end_id)
         end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         part, places, full, rows, held = TaskContext.get().partitionId(), Counter(), 0, [], 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
-                data = words.of(text.as_py() or b"") + end
+            texts = (text.as_py() or b"" for text in batch.column(1).cast(pa.large_binary()))
+            for doc_id, data in zip(batch.column(0).to_pylist(), words.of_all(texts, dtype)):
+                data += end
                 n = len(data) // width
                 rest = n % capacity
                 # The first byte tells the width of an id.
-                rows.append((part, doc_id, n, rest, places[rest], full, (b"4" if wide else b"2") + data))
+                rows.append((part, doc_id, n, rest, places[rest], full, dtype[-1:].encode() + data))
                 places[rest] += 1
                 full += n // capacity
                 held += n
