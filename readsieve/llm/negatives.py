@@ -12,8 +12,9 @@ the minima and maxima of each coordinate and of the label.
 
 **Search.** A box gives an interval for each coordinate's product, and their sums bound
 the scores in it from both sides. A queue takes boxes with the best possible score
-first and leaves out those outside the score window or without a wanted label; it ends
-when the best one left is strictly below the last score that counts. Anchors meet the
+first and leaves out those outside the score windows or without a wanted label; it ends
+when those left are strictly below the last score that counts. All windows of an anchor
+share one queue. Anchors meet the
 shards in blocks of ``BLOCK_ANCHORS``: for positives only the shards that hold one of
 their labels. What the shards found is merged by anchor. The search is exact.
 
@@ -31,7 +32,6 @@ gives no rows. Columns other than ``vec_id``, ``embedding`` and ``label`` are no
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +52,7 @@ SHARD_ROWS = 4_096
 BLOCK_ANCHORS = 256
 LEAF = 32
 FANOUT = 16
+FIRST_OPENED, MORE_OPENED = 8, 4  # boxes opened at once, and how much more the next time
 TILED = 3  # coordinates that a shard is tiled by
 NO_ID = (1 << 63) - 1
 
@@ -138,36 +139,56 @@ class Tree:
         ]
 
 
-def best_first(tree, bounds, query, scores_of, wanted, own_id, top, low, high):
-    """The first ``top`` (score, id) with low <= score <= high, higher scores and then smaller ids first.
-
-    ``wanted(least, most)`` tells which boxes can hold a wanted label, and which rows do."""
-    found: list[tuple[int, int]] = []  # a heap whose first is the last that counts, as (score, -id)
-    turn = len(tree.levels) - 1
-    queue = [(-min(int(bounds[turn][1][query, 0]), high), turn, 0)]
-    while queue:
-        best, level, box = heapq.heappop(queue)
-        if len(found) == top and -best < found[0][0]:
+def best_first(tree, bounds, query, own_id, wanted, windows, top, exact, vector):
+    """For each window (low, high) the first ``top`` (score, id) with low <= score <= high,
+    higher scores and then smaller ids first.
+
+    The queue holds boxes that some window still needs: their scores can lie in it, and
+    not strictly below its last score that counts. The best boxes are opened first, a
+    few at the start and then more at a time, so that a shard that can't be pruned costs
+    few steps. ``wanted(least, most)`` tells which boxes can hold a wanted label, and
+    which rows do."""
+    lows, highs = (np.array(w, np.int64) for w in zip(*windows))
+    scores = [np.empty(0, np.int64)] * len(windows)
+    ids = [np.empty(0, np.int64)] * len(windows)
+    levels = np.array([len(tree.levels) - 1])
+    boxes, opened = np.array([0]), FIRST_OPENED
+    least, most = (b[query] for b in bounds[-1])
+    while True:
+        # Windows that a box can still add to, and the best score that it can add.
+        needed = (most >= lows[:, None]) & (least <= highs[:, None])
+        best = np.where(needed, np.minimum(most, highs[:, None]), -NO_ID).max(0)
+        open_ = needed.any(0)
+        if not open_.all():
+            levels, boxes, least, most, best = (v[open_] for v in (levels, boxes, least, most, best))
+        if not len(boxes):
             break
-        if level:
-            first = box * FANOUT
-            last = min(first + FANOUT, len(tree.levels[level - 1][0]))
-            _, _, least, most = tree.levels[level - 1]
-            worst, most_score = (b[query, first:last] for b in bounds[level - 1])
-            open_ = (worst <= high) & (most_score >= low) & wanted(least[first:last], most[first:last])
-            for i in np.flatnonzero(open_).tolist():
-                heapq.heappush(queue, (-min(int(most_score[i]), high), level - 1, first + i))
-            continue
-        rows = slice(box * LEAF, (box + 1) * LEAF)
-        scores, ids, labels = scores_of(box), tree.ids[rows], tree.labels[rows]
-        fits = (scores >= low) & (scores <= high) & wanted(labels, labels) & (ids != own_id)
-        for i in np.flatnonzero(fits).tolist():
-            entry = (int(scores[i]), -int(ids[i]))
-            if len(found) < top:
-                heapq.heappush(found, entry)
-            elif entry > found[0]:
-                heapq.heapreplace(found, entry)
-    return [(score, -negated) for score, negated in found]
+        order = np.argsort(-best, kind="stable")
+        now, later = order[:opened], order[opened:]
+        queue = [(levels[later], boxes[later], least[later], most[later])]
+        for level in np.unique(levels[now]).tolist():
+            mine = boxes[now][levels[now] == level]
+            each, n = (FANOUT, len(tree.levels[level - 1][0])) if level else (LEAF, len(tree.x))
+            inside = (mine[:, None] * each + np.arange(each)).ravel()
+            inside = inside[inside < n]
+            if level:
+                inside = inside[wanted(tree.levels[level - 1][2][inside], tree.levels[level - 1][3][inside])]
+                queue.append((np.full(len(inside), level - 1), inside, *(b[query, inside] for b in bounds[level - 1])))
+                continue
+            opened *= MORE_OPENED
+            inside = inside[wanted(tree.labels[inside], tree.labels[inside]) & (tree.ids[inside] != own_id)]
+            found = exact.times(tree.x[inside], vector)
+            for w in range(len(windows)):
+                fits = np.flatnonzero((found >= lows[w]) & (found <= highs[w]))
+                if len(fits):
+                    all_scores = np.concatenate([scores[w], found[fits]])
+                    all_ids = np.concatenate([ids[w], tree.ids[inside[fits]]])
+                    first = np.lexsort((all_ids, -all_scores))[:top]
+                    scores[w], ids[w] = all_scores[first], all_ids[first]
+                    if len(first) == top:
+                        lows[w] = scores[w][-1]
+        levels, boxes, least, most = (np.concatenate(v) for v in zip(*queue))
+    return [list(zip(s.tolist(), i.tolist())) for s, i in zip(scores, ids)]
 
 
 def window(positive: int, low: int, high: int) -> tuple[int, int]:
@@ -188,22 +209,13 @@ def _search(largest: int, width: int, top: int, same: bool, low: int, high: int)
                 queries = exact.numbers(block["x"], len(block["keys"]))
                 bounds = tree.bounds(queries, exact)
                 for q, (key, own, label) in enumerate(zip(block["keys"], block["ids"], block["row_labels"])):
-                    cache: dict[int, np.ndarray] = {}
-
-                    def scores_of(box):
-                        if box not in cache:
-                            cache[box] = exact.times(tree.x[box * LEAF : (box + 1) * LEAF], queries[q])
-                        return cache[box]
-
                     if same:
                         wanted = lambda least, most: (least <= label) & (label <= most)
                     else:
                         wanted = lambda least, most: (least != label) | (most != label)
-                    for bound in block["bounds"][q]:
-                        within = (-NO_ID, NO_ID) if same else window(bound, low, high)
-                        if within[0] <= within[1]:
-                            found = best_first(tree, bounds, q, scores_of, wanted, own, top, *within)
-                            hits += [(key, bound, i, score) for score, i in found]
+                    windows = [(-NO_ID, NO_ID) if same else window(b, low, high) for b in block["bounds"][q]]
+                    found = best_first(tree, bounds, q, own, wanted, windows, top, exact, queries[q])
+                    hits += [(key, b, i, score) for b, own_hits in zip(block["bounds"][q], found) for score, i in own_hits]
         return pa.Table.from_batches([batch_of(hits, schema)], schema)
 
     return group

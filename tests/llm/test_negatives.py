@@ -93,14 +93,19 @@ def test_bounds_hold_and_prune():
             for box in range(least.shape[1]):
                 own = scores[box * each : (box + 1) * each]
                 assert least[q, box] <= own.min() and own.max() <= most[q, box]
-    visited = []
-    bounds = tree.bounds(queries, exact)
-
-    def scores_of(box):
-        visited.append(box)
-        return exact.times(tree.x[box * negatives.LEAF : (box + 1) * negatives.LEAF], queries[0])
-
-    found = negatives.best_first(tree, bounds, 0, scores_of, lambda a, b: a <= b, -1, 5, -(10**9), 10**9)
-    scores = sorted(((int(s), -i) for i, s in enumerate(packed @ queries[0])), reverse=True)[:5]
-    assert sorted(((s, -i) for s, i in found), reverse=True) == scores
-    assert len(visited) < len(tree.levels[0][0]) / 4
+    bounds, vector, visited = tree.bounds(queries, exact), queries[0], []
+
+    class Counting(negatives.Exact):
+        def times(self, a, b):
+            visited.append(len(a))
+            return super().times(a, b)
+
+    counting = Counting(int(np.abs(x).max()), 4)
+    windows = [(-(10**9), 10**9), (0, 5000), (5, 4)]
+    found = negatives.best_first(tree, bounds, 0, -1, lambda a, b: a <= b, windows, 5, counting, vector)
+    scored = sorted(((-int(s), i) for i, s in enumerate(packed @ vector)))
+    for got, (low, high) in zip(found, windows):
+        assert got == [(-s, i) for s, i in scored if low <= -s <= high][:5]
+    visited.clear()
+    negatives.best_first(tree, bounds, 0, -1, lambda a, b: a <= b, windows[:1], 5, counting, vector)
+    assert sum(visited) < len(packed) / 3
