@@ -12,13 +12,18 @@ run as Spark aggregations over a table of (source, size, number of documents), w
 is exact and small; the step for each source is kept in a bracket that only shrinks.
 
 **Copies.** Rates are rounded to copies in segments of about ``SEGMENT`` documents,
-each a fixed share of a source by a hash of the doc_id, so a hot source is many tasks
-and a rerun deals alike. A segment rounds from large documents to small ones and
-carries what is over to the next document; the smallest settle the rest.
+each a fixed share of a source, so a hot source is many tasks and a rerun deals alike. A
+segment rounds from large documents to small ones and carries what is over to the next
+document; the smallest settle the rest.
+
+**Rows alike.** Rows that share doc_id, source and size are counted, numbered and dealt
+to segments in runs of ``RUN`` numbers, so very many of them are many tasks, and each is
+rounded by itself: of n such rows as many get one more copy as the rates ask for.
 
 Sizes count words ``[^\\x20\\x09-\\x0D]+``; null and empty texts have size 0, take no
 words and keep one copy. Sources that consist of empty texts have target 0. Repeated
-rows are rows of their own. Rows without a doc_id share a segment of their source.
+rows and rows without a doc_id are rows of their own. An empty table gives no rows.
+Other columns are not read by ``mix`` and pass through ``apply_mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,32 +35,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
-from readsieve.llm.texts import per_row, words_of
+from readsieve.llm.texts import per_row, struct, words_of
 from readsieve.session import cut
 
 # The weights of the sources in turn, the share of all words, the limit.
 WEIGHTS = [3.0, 1.0, 2.0]
 BUDGET = 1.5
 CAP = 2.0
-WORD = r"[^\x20\x09-\x0D]+"
 
 SEGMENT = 2_000
+RUN = 250
+SHARE_BITS = 33  # of monotonically_increasing_id: the place in a task's share
 TOLERANCE = 1e-9
 ROUNDS = 25
 STEPS_A_ROUND = 4  # between two written states
 
-SIZE_SCHEMA = StructType(
-    [StructField("doc_id", LongType()), StructField("source", StringType()), StructField("size", LongType(), False)]
-)
+SIZE_SCHEMA = struct(doc_id=LongType(), source=StringType(), size=LongType())
+
 
+def sizes(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, source, size) and keys, whole numbers that pass through."""
 
-def sizes(docs: DataFrame) -> DataFrame:
-    def size(doc_id, source, text):
-        return doc_id, source, sum(map(len, words_of((text or "").encode())))
+    def size(doc_id, source, text, *keys):
+        return doc_id, source, sum(map(len, words_of((text or "").encode()))), *keys
 
-    return per_row(docs, ["doc_id", "source", "text"], SIZE_SCHEMA, lambda: size)
+    schema = StructType([*SIZE_SCHEMA, *struct(**{k: LongType() for k in keys})])
+    return per_row(docs, ["doc_id", "source", "text", *keys], schema, lambda: size)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -156,65 +163,105 @@ def _newton(counts: DataFrame, state: DataFrame) -> DataFrame:
 
 def _round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by segment, then size from large to small; copies that follow the rates."""
-    segment, before, wanted, given, last = None, None, 0.0, 0.0, 1
+    segment, wanted, given = None, 0.0, 0
     for batch in batches:
         named = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        keys, ids, size, rate = (named[n].to_pylist() for n in ("__segment", "doc_id", "size", "rate"))
+        keys, size, rate = (named[n].to_pylist() for n in ("segment", "size", "rate"))
         copies = np.ones(len(size), np.int64)
         for i, (key, x, r) in enumerate(zip(keys, size, rate)):
             if key != segment:
-                segment, before, wanted, given = key, None, 0.0, 0.0
+                segment, wanted, given = key, 0.0, 0
             if x:
                 wanted += r * x
-                if before != (ids[i], x):  # rows alike get the same
-                    # The number of copies that comes nearest to the rates of all so far.
-                    best = math.floor((wanted - given) / x + 0.5)
-                    before, last = (ids[i], x), min(max(best, 0), int(CAP))
-                copies[i] = last
-                given += x * last
-        names = [n for n in named if n not in ("__segment", "rate")]
+                # The number of copies that comes nearest to the rates of all so far.
+                best = math.floor((wanted - given) / x + 0.5)
+                copies[i] = min(max(best, 0), int(CAP))
+                given += x * int(copies[i])
+        names = [n for n in named if n not in ("segment", "rate")]
         yield pa.RecordBatch.from_arrays([*(named[n] for n in names), pa.array(copies)], names=[*names, "copies"])
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
-    sized = cut(sizes(docs), "sizes")
+MIXED = "doc_id long, source string, size long, number long, source_size long, target double, copies long"
+
+
+def _mix(sized: DataFrame) -> DataFrame:
+    """The rows of ``mix`` with the numbers, from 0, of rows alike."""
     goals = cut(targets(sized), "targets")
     found = multipliers(sized, goals)
     plan = cut(
         goals.join(found, _same("of"), "left").select(
-            F.col("source").alias("__s"), "source_size", "n_docs", "target", F.round("lam", 9).alias("lam"), "mean"
+            F.col("source").alias("of"), "source_size", "n_docs", "target", F.round("lam", 9).alias("lam"), "mean"
         ),
         "plan",
     )
     rate = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(CAP))
     segments = F.ceil(F.col("n_docs") / SEGMENT)
-    rated = sized.join(plan, _same("__s")).select(
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    rated = alike.join(plan, _same("of")).select(
         "doc_id",
         "source",
         "size",
+        "n",
         "source_size",
         "target",
         F.coalesce(F.round(rate, 9), F.lit(1.0)).alias("rate"),
-        F.xxhash64(F.struct("source"), F.pmod(F.xxhash64("doc_id"), segments)).alias("__segment"),
+        "n_docs",
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))).alias("run"),
     )
-    order = ["__segment", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id"]
-    dealt = rated.repartition("__segment").sortWithinPartitions(*order)
-    schema = "doc_id long, source string, size long, source_size long, target double, copies long"
-    return dealt.mapInArrow(_round, schema).withColumn("taken", F.col("copies") * F.col("size"))
+    dealt = rated.withColumn(
+        "segment", F.xxhash64(F.struct("source"), F.pmod(F.xxhash64("doc_id", "run"), segments))
+    ).repartition("segment")
+    first = F.col("run") * RUN
+    last = F.least(F.col("n"), first + RUN) - 1
+    order = ["segment", F.col("size").desc(), F.xxhash64("doc_id"), "doc_id", "number"]
+    numbered = dealt.withColumn("number", F.explode(F.sequence(first, last))).sortWithinPartitions(*order)
+    columns = ["doc_id", "source", "size", "number", "source_size", "target", "rate", "segment"]
+    return numbered.select(*columns).mapInArrow(_round, MIXED)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row."""
+    mixed = _mix(cut(sizes(docs), "sizes"))
+    return mixed.drop("number").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _numbered(held: DataFrame) -> DataFrame:
+    """(at, doc_id, source, size, number): rows alike are numbered within a task's share,
+    after those of the shares before."""
+    alike = ["doc_id", "source", "size"]
+    sized = sizes(held, "at").withColumn("share", F.shiftright("at", SHARE_BITS))
+    sized = cut(
+        sized.withColumn("place", F.row_number().over(Window.partitionBy("share", *alike).orderBy("at")) - 1), "numbered"
+    )
+    counts = sized.groupBy("share", *alike).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*alike).orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        *[F.col(c).alias(f"of_{c}") for c in ("share", *alike)], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    joined = sized.join(before, (F.col("share") == F.col("of_share")) & _alike())
+    return joined.select("at", *alike, (F.col("before") + F.col("place")).alias("number"))
+
+
+def _alike():
+    return _same("doc_id", "of_doc_id") & _same("source", "of_source") & (F.col("size") == F.col("of_size"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # Rows with the same doc_id, source and size get the same number of copies.
-    taken = mix(docs).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = cut(docs.select(row, F.monotonically_increasing_id().alias("at")), "held")
+    columns = ("doc_id", "source", "text")
+    numbered = cut(_numbered(held.select("at", *[F.col(f"row.{c}").alias(c) for c in columns])), "numbered")
+    mixed = _mix(numbered.select("doc_id", "source", "size")).select(
+        F.col("doc_id").alias("of_doc_id"),
+        F.col("source").alias("of_source"),
+        F.col("size").alias("of_size"),
+        F.col("number").alias("of_number"),
+        "copies",
     )
-    joined = docs.withColumn("__size", size).join(
-        taken.withColumnRenamed("copies", "__copies").distinct(),
-        _same("doc_id", "__id") & _same("source", "__s") & (F.col("__size") == F.col("__n")),
+    taken = numbered.join(mixed, _alike() & (F.col("number") == F.col("of_number"))).where("copies > 0")
+    taken = taken.select(F.col("at").alias("of_at"), "copies")
+    copied = held.join(taken, F.col("at") == F.col("of_at"))
+    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
-    repeated = joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)

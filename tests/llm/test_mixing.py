@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from readsieve.llm import mixing
 from tests.llm.fixtures import TEXTS, documents, rows_of
@@ -96,15 +97,59 @@ def test_odd_rows(spark):
     assert {(r["target"], r["taken"], r["copies"]) for r in blank} == {(0.0, 0, 1)}
 
 
+def repeated(rng, n):
+    """A third of the rows under one id and size, a third without an id, others between."""
+    rows = [(7, "w " * 10, "en", "a")] * (n // 3) + [(None, "w " * 10, "en", "a")] * (n // 3)
+    rows += [(100 + i, "w " * rng.randint(0, 30), "en", rng.choice("abc")) for i in range(n // 3)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(None, "w " * 10, "en", "a")] * 1000,
+        [(7, "w " * 10, "en", "a")] * 1000 + [(i, "w " * 10, "en", "b") for i in range(20)],
+        repeated(random.Random(3), 3000),
+    ],
+)
+def test_rows_that_share_an_id_meet_the_target(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "SEGMENT", 400)
+    docs = documents(spark, rows)
+    found = mixing.mix(docs).collect()
+    assert rows_of(mixing.mix(docs.repartition(5))) == sorted(map(tuple, found), key=repr)
+    goals = brute_targets([(s, size_of(t)) for _, t, _, s in rows])
+    taken, applied = defaultdict(int), defaultdict(int)
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    for r in mixing.apply_mix(docs).collect():
+        applied[r["source"]] += size_of(r["text"])
+    assert len(found) == len(rows)
+    for s, (_, target) in goals.items():
+        assert taken[s] == pytest.approx(target, rel=0.01) and applied[s] == taken[s]
+
+
+def test_rows_that_share_an_id_are_many_tasks(spark):
+    rows = [(7, "w " * 10, "en", "a")] * 20_000
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # so few rows would be put together again
+    try:
+        parts = mixing.mix(documents(spark, rows)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset(small)
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 15_000
+
+
 def test_apply_mix(spark):
     docs = documents(spark)
+    for clash in ("at", "number", "of_at", "segment", "a.b"):
+        docs = docs.withColumn(clash, F.lit("x"))
     found = mixing.apply_mix(docs)
     assert found.columns == docs.columns
-    copies = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
-    count = defaultdict(int)
+    copies, count = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        copies[r["doc_id"], r["source"], r["size"]] += r["copies"]
     for r in found.collect():
         count[r["doc_id"], r["source"], size_of(r["text"])] += 1
-    rows = defaultdict(int)
-    for i, t, _, s in TEXTS:
-        rows[i, s, size_of(t)] += 1
-    assert {k: v for k, v in count.items()} == {k: n * copies[k] for k, n in rows.items() if copies[k]}
+    assert dict(count) == {k: n for k, n in copies.items() if n}
+    assert mixing.apply_mix(documents(spark, [])).count() == 0
