@@ -77,21 +77,24 @@ WITH parts AS ({_PARTS}
   SELECT * FROM spans s WHERE kind < 3 OR NOT EXISTS (
     SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.kind < 3 AND b.start < s.stop AND b.stop > s.start)
 ), owners AS (
-  SELECT val, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM candidates GROUP BY val
+  SELECT val, count(*) AS n_repositories, count(DISTINCT owner) AS n_owners
+  FROM (SELECT DISTINCT val, coalesce(source, chr(0)) AS owner, doc_id FROM candidates) GROUP BY val
 ), named AS (
-  SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS label
+  SELECT *, n_owners < 3 AND n_repositories < 5 AS live, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS label
   FROM candidates JOIN owners USING (val)
 ), found AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
          count(*) FILTER (kind = 2) AS n_hex,
          string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
-         string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3 OR n_owners < 2) AS spans,
-         count(*) FILTER (n_owners < 2) AS n_live, count(*) FILTER (n_owners >= 2) AS n_examples
+         string_agg(label, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples,
+         max(n_repositories) AS most_repositories, max(n_owners) AS most_owners
   FROM named GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+       coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples,
+       coalesce(most_repositories, 0) AS most_repositories, coalesce(most_owners, 0) AS most_owners
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
 """
 

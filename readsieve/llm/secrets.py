@@ -3,9 +3,12 @@
 The base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Loose tokens,
 long runs that hold letters and digits and touch no base span, are candidates besides.
 The value of every candidate is hashed, and over the whole corpus its distinct
-repositories (documents) and owners (sources) are counted: a value that several owners
-have is a widely copied example, a value of one owner only looks live. Loose tokens that
-look live become spans of kind ``owned``; base spans stay, whatever their frequency.
+repositories (documents) and owners (sources) are counted. A value is a widely copied
+example if it is in ``REPOSITORIES_OF_EXAMPLES`` repositories or more, whoever owns them,
+or if ``OWNERS_OF_EXAMPLES`` owners or more have it; else it looks live, also where a
+document has a mirror under a second owner. Loose tokens that look live become spans of
+kind ``owned``; base spans stay, whatever their frequency. The largest counts of a
+document's candidates stand beside its spans.
 
 Regular expressions give matches but no positions. A text split at a pattern gives the
 gaps between the same matches, and sums over gaps and matches are the positions, in code
@@ -50,7 +53,8 @@ BASE = [
 ]
 LOOSE = Kind("owned", r"[A-Za-z0-9_-]{20,}", 0, 20)
 KINDS = [*BASE, LOOSE]
-OWNERS_OF_EXAMPLES = 2
+REPOSITORIES_OF_EXAMPLES = 5
+OWNERS_OF_EXAMPLES = 3
 
 
 def _matches(text: Column, kind: Kind) -> Column:
@@ -93,9 +97,12 @@ def candidates(scanned: DataFrame) -> DataFrame:
         .where(~loose | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
     )
     # Loose tokens lie apart from a base span if none before ends later and none after begins earlier.
-    order = Window.partitionBy("row").orderBy("start", "kind")
-    passed = F.max(F.when(~loose, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.min(F.when(~loose, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # Both frames grow from their first row, so that each is one pass over the matches of a text.
+    grown = (Window.unboundedPreceding, 0)
+    forth = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(*grown)
+    back = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(*grown)
+    passed = F.max(F.when(~loose, F.col("end"))).over(forth)
+    coming = F.min(F.when(~loose, F.col("start"))).over(back)
     marked = spans.withColumn("passed", passed).withColumn("coming", coming)
     apart = (F.coalesce("passed", F.lit(0)) <= F.col("start")) & (F.coalesce("coming", F.col("end")) >= F.col("end"))
     return marked.where(~loose | apart).select("row", "doc_id", "source", "kind", "start", "end", "value")
@@ -113,7 +120,7 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = cut(scan(docs), "scanned")
     found = cut(candidates(scanned).withColumn("hash", F.sha2("value", 256)).drop("value"), "candidates")
     owners = cut(ownership(found), "owners")
-    live = F.col("n_owners") < OWNERS_OF_EXAMPLES
+    live = (F.col("n_owners") < OWNERS_OF_EXAMPLES) & (F.col("n_repositories") < REPOSITORIES_OF_EXAMPLES)
     base = F.col("kind") < len(BASE)
     name = F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), F.col("kind") + 1)
     span = F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("text"))
@@ -129,8 +136,10 @@ def find(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(base | live, span)).alias("spans"),
         F.count(F.when(live, 1)).alias("n_live"),
         F.count(F.when(~live, 1)).alias("n_examples"),
+        F.max("n_repositories").alias("most_repositories"),
+        F.max("n_owners").alias("most_owners"),
     )
-    counts = [f"n_{k.name}" for k in BASE] + ["n_live", "n_examples"]
+    counts = [f"n_{k.name}" for k in BASE] + ["n_live", "n_examples", "most_repositories", "most_owners"]
     result = scanned.select("row", "doc_id").join(per_row, "row", "left")
     return result.select(
         "doc_id",

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -31,15 +32,16 @@ def brute(rows):
         ]
         loose = [s for s in loose if not any(b[0] < s[2] and b[2] > s[0] for b in base)]
         candidates += [(n, source, *s) for s in base + loose]
-    owners = defaultdict(set)
-    for _, source, _, _, _, value in candidates:
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for n, source, *_, value in candidates:
         owners[value].add(source)
+        repositories[value].add((source, rows[n][0]))
     out = []
     for n, (doc_id, text, source) in enumerate(rows):
         own = sorted(c[2:] for c in candidates if c[0] == n)
         label = lambda s: f"{KINDS[s[1]]}:{s[0]}:{s[2]}"
         base = [s for s in own if s[1] < 3]
-        live = [s for s in own if len(owners[s[3]]) < 2]
+        live = [s for s in own if len(owners[s[3]]) < 3 and len(repositories[s[3]]) < 5]
         out.append(
             (
                 doc_id,
@@ -48,6 +50,8 @@ def brute(rows):
                 ",".join(label(s) for s in own if s[1] < 3 or s in live),
                 len(live),
                 len(own) - len(live),
+                max((len(repositories[s[3]]) for s in own), default=0),
+                max((len(owners[s[3]]) for s in own), default=0),
             )
         )
     return sorted(out, key=repr)
@@ -83,12 +87,25 @@ def test_short_match_uses_up_its_text(spark):
 
 
 def test_copied_examples_and_live_values(spark):
-    key = "zQ9" * 8
-    rows = [(i, f"use {key} here", s) for i, s in enumerate(["a", "b", "a"])]
-    rows += [(10, "mine " + "xY7" * 8, "a"), (11, "mine " + "xY7" * 8, "a")]
+    """Both counts decide: copies under one owner, owners of few copies, a mirror under a second owner."""
+    one_owner, owners, mirrored = "zQ9" * 8, "kL5" * 8, "xY7" * 8
+    rows = [(i, f"use {one_owner} here", "a") for i in range(6)]
+    rows += [(10 + i, f"see {owners}", s) for i, s in enumerate(["a", "b", None])]
+    rows += [(20, f"mine {mirrored}", "a"), (21, f"mine {mirrored}", "b"), (21, f"mine {mirrored}", "b")]
     check(spark, rows)
-    spans = {r["doc_id"]: r["spans"] for r in secrets.find(documents(spark, [(i, t, "en", s) for i, t, s in rows])).collect()}
-    assert spans[0] == "" and spans[10] == spans[11] == "owned:5:29"
+    found = {r["doc_id"]: r for r in secrets.find(documents(spark, [(i, t, "en", s) for i, t, s in rows])).collect()}
+    assert (found[0]["spans"], found[0]["most_repositories"], found[0]["most_owners"]) == ("", 6, 1)
+    assert (found[10]["spans"], found[10]["most_repositories"], found[10]["most_owners"]) == ("", 3, 3)
+    assert (found[20]["spans"], found[20]["most_repositories"], found[20]["most_owners"]) == ("owned:5:29", 2, 2)
+
+
+def test_a_text_of_very_many_matches(spark):
+    """One pass over the matches of a text: minutes if each looked at all that follow."""
+    text = " ".join(f"{i:024x}" for i in range(200_000))
+    start = time.perf_counter()
+    found = secrets.find(documents(spark, [(1, text, "en", "a")])).collect()
+    assert time.perf_counter() - start < 60
+    assert found[0]["n_hex"] == 200_000 and found[0]["spans"].count(",") == 199_999
 
 
 def test_no_python_in_the_plan(spark):
