@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,22 +31,40 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Folders written since the outermost ``scratch`` began, if there is one.
-_written: list[str] | None = None
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at, files = _path(spark, path)
+        files.delete(at, True)
+
+
+# Folders written since the innermost ``scratch`` of this thread or task began, if there is one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Folders that ``cut`` writes inside go at the end, when nothing reads them any more."""
-    global _written
-    outer, _written = _written, []
+    """Folders that ``cut`` writes inside go at the end, when nothing reads them any more.
+
+    The list belongs to the thread that entered; scratches of other threads that
+    overlap have their own.
+    """
+    mine: list[str] = []
+    outer = _written.set(mine)
     try:
         yield
     finally:
-        mine, _written = _written, outer
-        for path in mine:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.reset(outer)
+        remove(spark, *mine)
 
 
 def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,8 +72,9 @@ def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()) -> DataFrame
     no recomputation of what came before, and later uses share one run. Columns in
     ``by`` become folders, so that a filter on them reads no others."""
     path = fresh_path(df.sparkSession, name)
-    if _written is not None:
-        _written.append(path)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
