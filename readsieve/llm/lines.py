@@ -25,20 +25,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from readsieve.llm.texts import BLANKS, ROWS_OUT, per_row, small_batches
-from readsieve.session import cut
+from readsieve.session import cut, exists, fresh_path, remove
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
+_VERSIONS = "version int, level int, run string, fresh boolean, buckets int"
 HASH_BYTES = 16
 ROWS_AT_ONCE = 512
 
@@ -97,55 +99,91 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineStore:
-    """Levels of runs of line hashes, kept as bucketed tables for the length of a job."""
+    """Levels of runs of line hashes: bucketed tables in the shared folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    A store opened with a ``path`` is kept there: ``commit`` notes its runs, and a later
+    job that opens the same path merges its batches against them. Without a path it lasts
+    for one job. Runs of a job that didn't come to its commit are not part of the store.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark = spark
         self.fanout = fanout
+        self.kept = path is not None
+        self.path = path or fresh_path(spark, "line-store")
+        # Tables need a database; its folder holds nothing.
+        self.database = f"line_runs_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}/database'")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-        self.tables: list[str] = []
+        self.version = 0
+        self.left: list[str] = []
+        if self.kept and exists(spark, f"{self.path}/versions"):
+            self._open()
+
+    def _open(self) -> None:
+        noted = self.spark.read.schema(_VERSIONS).parquet(f"{self.path}/versions")
+        self.version = noted.agg(F.max("version")).first()[0] or 0
+        for r in noted.where(F.col("version") == self.version).orderBy("level", "run").collect():
+            self.buckets = r["buckets"]
+            columns = "h BINARY, doc_id BIGINT, fresh BOOLEAN" if r["fresh"] else "h BINARY"
+            self.spark.sql(
+                f"CREATE TABLE {self.database}.{r['run']} ({columns}) USING parquet"
+                f" CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{r['run']}'"
+            )
+            while len(self.levels) <= r["level"]:
+                self.levels.append([])
+            self.levels[r["level"]].append(r["run"])
 
     def _write(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{len(self.tables)}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").saveAsTable(table)
-        self.tables.append(table)
-        return table
+        run = f"run_{uuid.uuid4().hex}"
+        writer = rows.write.option("path", f"{self.path}/{run}").bucketBy(self.buckets, "h").sortBy("h")
+        writer.saveAsTable(f"{self.database}.{run}")
+        return run
 
-    def _run(self, table: str) -> DataFrame:
+    def _run(self, run: str) -> DataFrame:
         """Hashes of one run; batches keep theirs beside the lines that they lost."""
-        run = self.spark.table(table)
-        return run.where("fresh").select("h") if "fresh" in run.columns else run
+        rows = self.spark.table(f"{self.database}.{run}")
+        return rows.where("fresh").select("h") if "fresh" in rows.columns else rows
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in the lines of one batch (h, doc_id); return the (h, doc_id) to be dropped."""
-        from pyspark.sql import Window
-
         rows = batch.withColumn("owner", F.min("doc_id").over(Window.partitionBy("h"))).dropDuplicates(["h", "doc_id"])
         seen = F.lit(False)
-        for i, table in enumerate(t for level in self.levels for t in level):
-            rows = rows.join(self._run(table).withColumn(f"in{i}", F.lit(True)), "h", "left")
+        for i, run in enumerate(r for level in self.levels for r in level):
+            rows = rows.join(self._run(run).withColumn(f"in{i}", F.lit(True)), "h", "left")
             seen = seen | F.coalesce(F.col(f"in{i}"), F.lit(False))
-        table = self._write(rows.select("h", "doc_id", (~seen & (F.col("doc_id") == F.col("owner"))).alias("fresh")))
-        self._push(0, table)
-        return self.spark.table(table).where("not fresh").select("h", "doc_id")
+        run = self._write(rows.select("h", "doc_id", (~seen & (F.col("doc_id") == F.col("owner"))).alias("fresh")))
+        self._push(0, run)
+        return self.spark.table(f"{self.database}.{run}").where("not fresh").select("h", "doc_id")
 
-    def _push(self, level: int, table: str) -> None:
+    def _push(self, level: int, run: str) -> None:
         if len(self.levels) == level:
             self.levels.append([])
-        self.levels[level].append(table)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            runs = [self._run(t) for t in self.levels[level]]
-            merged = runs[0]
-            for run in runs[1:]:
-                merged = merged.union(run)
+            merged = reduce(DataFrame.union, [self._run(r) for r in self.levels[level]])
+            self.left += self.levels[level]
             self.levels[level] = []
             self._push(level + 1, self._write(merged.repartition(self.buckets, "h")))
 
-    def drop(self) -> None:
-        for table in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+    def commit(self) -> None:
+        """Note the runs; those that were compacted go, so nothing may read them any more."""
+        self.version += 1
+        noted = [
+            (self.version, level, run, "fresh" in self.spark.table(f"{self.database}.{run}").columns, self.buckets)
+            for level, runs in enumerate(self.levels)
+            for run in runs
+        ]
+        rows = self.spark.createDataFrame(noted, _VERSIONS).coalesce(1)
+        rows.write.mode("append").parquet(f"{self.path}/versions")
+        remove(self.spark, *[f"{self.path}/{run}" for run in self.left])
+        self.left = []
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        if not self.kept:
+            remove(self.spark, self.path)
 
 
 def _ranges(lines: DataFrame, batches: int) -> list[tuple[int | None, int | None]]:
@@ -156,21 +194,35 @@ def _ranges(lines: DataFrame, batches: int) -> list[tuple[int | None, int | None
     return list(zip([None, *cuts], [*cuts, None]))
 
 
-def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, lost): hashes of the lines each document loses, joined into one binary."""
+def lost_lines(
+    docs: DataFrame,
+    min_chars: int = MIN_CHARS,
+    batches: int = BATCHES,
+    fanout: int = FANOUT,
+    store_path: str | None = None,
+) -> DataFrame:
+    """(doc_id, lost): hashes of the lines each document loses, joined into one binary.
+
+    With a ``store_path``, lines that earlier calls put into the store are lost too, and
+    those of ``docs`` go into it: each crawl is one call.
+    """
     lines = cut(hashed_lines(docs, min_chars), "lines")
     firsts = lines.where("first").select("h", "doc_id")
-    store = LineStore(docs.sparkSession, fanout)
-    lost = lines.where("not first").select("h", "doc_id")
-    for least, end in _ranges(lines, batches):
-        batch = firsts
-        if least is not None:
-            batch = batch.where(F.col("doc_id") >= least)
-        if end is not None:
-            batch = batch.where(F.col("doc_id") < end)
-        lost = lost.unionByName(store.add(batch))
-    whole = cut(lost.groupBy("doc_id").agg(F.collect_list("h").alias("lost")), "lost")
-    store.drop()
+    store = LineStore(docs.sparkSession, store_path, fanout)
+    try:
+        lost = lines.where("not first").select("h", "doc_id")
+        for least, end in _ranges(lines, batches):
+            batch = firsts
+            if least is not None:
+                batch = batch.where(F.col("doc_id") >= least)
+            if end is not None:
+                batch = batch.where(F.col("doc_id") < end)
+            lost = lost.unionByName(store.add(batch))
+        whole = cut(lost.groupBy("doc_id").agg(F.collect_list("h").alias("lost")), "lost")
+        if store.kept:
+            store.commit()
+    finally:
+        store.close()
     return whole
 
 
@@ -213,7 +265,7 @@ def dedup_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return per_row(joined, ["doc_id", "text", "__lost"], DIGEST_SCHEMA, make)
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, store_path: str | None = None) -> DataFrame:
     """``docs`` with the texts that stay; null texts stay null."""
 
     at, width = docs.columns.index("text"), len(docs.columns)
@@ -230,5 +282,5 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    joined = _with_lost(docs, min_chars=min_chars).select(*docs.columns, "__lost")
+    joined = _with_lost(docs, min_chars=min_chars, store_path=store_path).select(*docs.columns, "__lost")
     return small_batches(joined).mapInArrow(task, docs.schema)

@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import pytest
 
 from readsieve.llm import lines
+from readsieve.session import exists
 from tests.llm.fixtures import TEXTS, documents, rows_of
 
 BLANKS = " \t\n\v\f\r"
@@ -69,8 +71,46 @@ def test_compaction_keeps_few_runs(spark):
         lost = sorted(r["doc_id"] for r in store.add(batch).collect())
         assert lost == ([100] if i == 0 else [100 + i])
     assert [len(level) for level in store.levels] == [1, 0, 1]
-    store.drop()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith(store.name)]
+    store.close()
+    assert not spark.catalog.databaseExists(store.database) and not exists(spark, store.path)
+
+
+def test_a_store_outlives_its_job(spark, tmp_path):
+    """A second crawl loses the lines of the first one, whatever its doc_ids."""
+    path = f"file://{tmp_path}/lines"
+    first = [(10 + i, f"line number {i}\nshared by all", "en", "a") for i in range(6)]
+    second = [(i, f"line number {i + 4}\nshared by all\nonly line {i}", "en", "a") for i in range(6)]
+    third = [(i, f"only line {i}\nquite new {i}", "en", "a") for i in range(6)]
+    kept = []
+    for rows in (first, second, third):
+        found = lines.dedup(documents(spark, rows), store_path=path).collect()
+        kept.append({r["doc_id"]: r["text"] for r in found})
+    assert kept[0] == {10 + i: f"line number {i}" + "\nshared by all" * (i == 0) for i in range(6)}
+    assert kept[1] == {i: f"line number {i + 4}\n" * (i > 1) + f"only line {i}" for i in range(6)}
+    assert kept[2] == {i: f"quite new {i}" for i in range(6)}
+
+
+def test_a_job_that_fails_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/lines"
+    rows = [(1, "line of the first crawl", "en", "a")]
+    lines.lost_lines(documents(spark, rows), store_path=path)
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(lines.LineStore, "commit", fail)
+        lines.lost_lines(documents(spark, [(2, "line of the second crawl", "en", "a")]), store_path=path)
+    assert not [d.name for d in spark.catalog.listDatabases() if d.name.startswith("line_runs")]
+    again = [(3, "line of the second crawl\nline of the first crawl", "en", "a")]
+    assert [r["text"] for r in lines.dedup(documents(spark, again), store_path=path).collect()] == ["line of the second crawl"]
+
+
+def test_no_run_is_in_the_warehouse(spark):
+    """Every machine of a cluster may have its own warehouse folder."""
+    folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    lines.dedup_digests(documents(spark)).count()
+    assert not [f for _, _, names in os.walk(folder) for f in names]
 
 
 def test_dedup_replaces_the_text_only(spark):
