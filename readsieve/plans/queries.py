@@ -23,7 +23,8 @@ from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare, quarantine, screen
 from readsieve.session import fresh_path
-from readsieve.sources.fastx import FOUR_LINE, parse, read_fastx, render_fastq
+from readsieve.sources.blocks import write_blocked
+from readsieve.sources.fastx import FOUR_LINE, create, parse, read_fastx, render_fastq
 from readsieve.sources.tables import columns_of, table
 from readsieve.streaming.watch import watch
 
@@ -265,6 +266,13 @@ def fastx_files(spark: SparkSession, sf: str) -> DataFrame:
     return _record_columns(found)
 
 
+def fastx_gzip(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as blocked gzip files, cut at their members and read in parallel."""
+    record = render_fastq(F.col("name"), F.col("comment"), F.col("seq"))
+    files = write_blocked(_as_fastq(spark, sf), record, fresh_path(spark, "blocked"), create)
+    return _record_columns(read_fastx(spark, files, content_bytes=0, split_bytes=1 << 16))
+
+
 # The same for the documents' text and, with it turned to bases, for the files.
 WATCH_SPEC = ScreenSpec(_spec(7), SIZE, filter=FILTER, fp_rate=0.001)
 
@@ -449,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "fastx_records": fastx_records,
     "fastx_damaged": fastx_damaged,
     "fastx_files": fastx_files,
+    "fastx_gzip": fastx_gzip,
     "watched_files": watched_files,
     "file_extensions": file_extensions,
     "event_flags": event_flags,

@@ -18,6 +18,7 @@ import io
 import re
 from collections import deque
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readsieve.session import cut
+from readsieve.sources.blocks import Unblocked, is_blocked, walk
 
 # Files up to this size arrive as one value; larger ones are opened by the task.
 CONTENT_BYTES = 256 << 20
@@ -46,6 +48,11 @@ FILE_SCHEMA = T.StructType(
     ]
 )
 
+# How a large file is read: anywhere, at its members, or as one stream.
+PLAIN = "plain"
+BLOCKED = "blocked"
+STREAM = "stream"
+
 # Layouts a file may be declared to have, which allow splitting it.
 ANY = "any"
 FASTA = "fasta"
@@ -239,21 +246,41 @@ def _unpacked(stream: BinaryIO) -> BinaryIO:
     return gzip.open(stream, "rb") if magic == b"\x1f\x8b" else stream
 
 
-def _range_records(uri: str, start: int, stop: int, layout: str) -> Iterator[tuple]:
-    """Records of a large file whose headers lie in ``[start, stop)``."""
+def create(uri: str) -> BinaryIO:
+    """A new file behind a URI as Spark writes it."""
+    scheme, colon, rest = uri.partition(":")
+    local = uri if not colon or "/" in scheme else "/" + rest.lstrip("/") if scheme == "file" else None
+    if local is not None:
+        Path(local).parent.mkdir(parents=True, exist_ok=True)
+        return open(local, "wb", buffering=_READ_BUFFER)
+    filesystem, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return filesystem.open_output_stream(path)
+
+
+def _range_lines(stream: BinaryIO, kind: str, seek: int, start: int, inside: bool | None) -> _Lines:
+    """The lines of a range from the first one that begins in it.
+
+    ``start`` is where the range begins in the unpacked file, ``seek`` in the file itself;
+    ``inside`` tells whether that is within a line (of a plain file it is looked up).
+    """
+    if kind == BLOCKED:
+        opened = io.BufferedReader(Unblocked(stream, seek), _READ_BUFFER)
+        return _Lines(opened, start + (len(opened.readline()) if inside else 0))
+    if kind == STREAM:
+        return _Lines(_unpacked(stream))
+    stream.seek(max(start - 1, 0))
+    return _Lines(stream, start - 1 + len(stream.readline()) if start else 0)
+
+
+def _range_records(
+    uri: str, start: int, stop: int, layout: str, kind: str = PLAIN, seek: int = 0, inside: bool | None = None
+) -> Iterator[tuple]:
+    """Records of a large file whose headers lie in ``[start, stop)`` of the unpacked bytes."""
+    if layout == ANY and start:
+        return  # the whole file belongs to the range that starts it
     with _open(uri) as stream:
-        packed = stream.read(2) == b"\x1f\x8b"
-        stream.seek(0)
-        if layout == ANY or packed:
-            # the whole file belongs to the range that starts it
-            if start == 0:
-                yield from laid_out_records(_Lines(_unpacked(stream)), layout)
-            return
-        at = 0
-        if start:
-            stream.seek(start - 1)
-            at = start - 1 + len(stream.readline())
-        yield from laid_out_records(_Lines(stream, at), layout, stop, start == 0)
+        lines = _range_lines(stream, kind, seek, start, inside)
+        yield from laid_out_records(lines, layout, stop, start == 0)
 
 
 _ARROW = {
@@ -319,21 +346,17 @@ def parse(files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY)
     return files.select("path", F.col("content").cast("binary")).mapInArrow(run, _ddl(columns))
 
 
-def _range_shape(uri: str, start: int, stop: int) -> tuple[bool, bool, int, int]:
-    """What the lines of a byte range say about the file's layout.
+def _range_shape(uri: str, kind: str, seek: int, start: int, stop: int, inside: bool | None) -> tuple[bool, bool, int, int]:
+    """What the lines of a range say about the file's layout.
 
     Could it be FASTA (no line of a FASTQ record); are its records whole four-line ones
     without a gap; the offset of the first of them; and where the last of them ends (-1
     for both if none begins here).
     """
+    if kind == STREAM:
+        return False, False, -1, -1
     with _open(uri) as stream:
-        if stream.read(2) == b"\x1f\x8b":
-            return False, False, -1, -1
-        at = 0
-        stream.seek(max(start - 1, 0))
-        if start:
-            at = start - 1 + len(stream.readline())
-        lines = _Lines(stream, at)
+        lines = _range_lines(stream, kind, seek, start, inside)
         fasta, four_line, first, end = True, True, -1, -1
         entry = next(lines, None)
         while entry is not None and entry[0] < stop and (fasta or four_line):
@@ -355,31 +378,107 @@ def _range_shape(uri: str, start: int, stop: int) -> tuple[bool, bool, int, int]
         return fasta, four_line, first, end
 
 
-def layouts(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``path, layout`` of plain files given as rows ``path, length``.
+# A range of a file: where it begins in the file, and where it begins and ends unpacked.
+_RANGE = "path string, kind string, seek long, start long, stop long, inside boolean, length long"
+_RANGE_FIELDS = ["path", "kind", "seek", "start", "stop", "inside"]
 
-    One pass over the ranges of all files. A file is ``four_line`` if the records of its
-    ranges meet without a gap from its first byte to its last, ``fasta`` if it starts with
-    a ``>`` line and has no line of a FASTQ record; read by that layout it has the same
-    records as read in one go. Any other file is ``any``.
-    """
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
-    ranges = files.select("path", "length", F.explode(starts).alias("start"))
-    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
-    names = ["path", "length", "start", "fasta", "four_line", "first", "end"]
-    schema = "path string, length long, start long, fasta boolean, four_line boolean, first long, end long"
+
+def _each(rows: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
+    """``function`` of the columns for every row, beside them; rows are few and each is much work."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            found = [(*r, *_range_shape(r[0], r[2], r[2] + split_bytes)) for r in rows]
+            given = batch.to_pylist()
+            found = [(*r.values(), *function(*(r[c] for c in columns))) for r in given]
             if found:
-                columns = [pa.array(c) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _kind_of(uri: str) -> tuple[str]:
+    with _open(uri) as stream:
+        if stream.read(2) != b"\x1f\x8b":
+            return (PLAIN,)
+        stream.seek(0)
+        return (BLOCKED,) if is_blocked(stream) else (STREAM,)
+
+
+def _walked(uri: str, at: int, split_bytes: int) -> tuple[int, int, int, bool | None]:
+    with _open(uri) as stream:
+        return walk(stream, at, at + split_bytes)
+
+
+def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The ranges that files given as rows ``path, length`` can be read in, each a row.
+
+    Plain files are cut anywhere, blocked gzip files at their members, other gzip files
+    not at all.
+    """
+    step = F.lit(split_bytes).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), step)
+    n = files.agg(F.sum(F.ceil(F.col("length") / split_bytes)), F.count("*")).first()
+    n_files, n_ranges = (min(int(x or 1), MAX_RANGE_TASKS) for x in (n[1], n[0]))
+    kinds = cut(
+        _each(
+            files.select("path", "length").repartition(max(n_files, 1), "path"),
+            ["path"],
+            _kind_of,
+            "path string, length long, kind string",
+        ),
+        "kinds",
+    )
+    none = F.lit(None).cast("boolean").alias("inside")
+    at = F.col("at")
+    plain = kinds.where(F.col("kind") == PLAIN).select("*", F.explode(starts).alias("at"))
+    plain = plain.select("path", "kind", at.alias("seek"), at.alias("start"), (at + step).alias("stop"), none, "length")
 
     # dealt by range, so that the ranges of one large file are many tasks
-    dealt = ranges.repartition(min(int(n_ranges), MAX_RANGE_TASKS), "path", "start")
-    shaped = dealt.mapInArrow(run, schema)
+    blocked = kinds.where(F.col("kind") == BLOCKED).select("path", "length", F.explode(starts).alias("at"))
+    index = cut(
+        _each(
+            blocked.withColumn("split", step).repartition(max(n_ranges, 1), "path", "at"),
+            ["path", "at", "split"],
+            _walked,
+            "path string, length long, at long, split long, first long, end long, unpacked long, newline boolean",
+        ),
+        "members",
+    )
+    order = Window.partitionBy("path").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    filled = index.where("first >= 0").select(
+        "*",
+        (F.coalesce(F.lead("first").over(order), F.col("length")) == F.col("end")).alias("meets"),
+        F.coalesce(F.sum("unpacked").over(before), F.lit(0)).alias("start"),
+        (~F.last("newline", ignorenulls=True).over(before)).alias("inside"),
+    )
+    whole = filled.groupBy("path").agg(
+        (F.every("meets") & (F.min("first") == 0)).alias("whole"), F.sum("unpacked").alias("unpacked_length")
+    )
+    members = filled.join(whole.where("whole"), "path").select(
+        "path",
+        F.lit(BLOCKED).alias("kind"),
+        F.col("first").alias("seek"),
+        "start",
+        (F.col("start") + F.col("unpacked")).alias("stop"),
+        "inside",
+        F.col("unpacked_length").alias("length"),
+    )
+    far = F.lit(1 << 62).cast("long")
+    streams = kinds.where(F.col("kind") != PLAIN).join(whole.where("whole"), "path", "left_anti")
+    zero = F.lit(0).cast("long")
+    streams = streams.select("path", F.lit(STREAM).alias("kind"), zero.alias("seek"), zero.alias("start"), far.alias("stop"), none, "length")
+    return plain.unionByName(members).unionByName(streams)
+
+
+def _layouts(cuts: DataFrame, n_ranges: int) -> DataFrame:
+    shaped = _each(
+        cuts.repartition(n_ranges, "path", "start"),
+        _RANGE_FIELDS,
+        _range_shape,
+        f"{_RANGE}, fasta boolean, four_line boolean, first long, end long",
+    )
     order = Window.partitionBy("path").orderBy("start")
     filled = shaped.where("first >= 0").withColumn("next", F.coalesce(F.lead("first").over(order), F.col("length")))
     meets = filled.groupBy("path").agg(F.every(F.col("end") == F.col("next")).alias("meets"))
@@ -388,38 +487,49 @@ def layouts(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     return whole.join(meets, "path", "left").select("path", F.coalesce(layout, F.lit(ANY)).alias("layout"))
 
 
+def layouts(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``path, layout`` of files given as rows ``path, length``.
+
+    One pass over the ranges of all files. A file is ``four_line`` if the records of its
+    ranges meet without a gap from its first byte to its last, ``fasta`` if it starts with
+    a ``>`` line and has no line of a FASTQ record; read by that layout it has the same
+    records as read in one go. Any other file is ``any``.
+    """
+    cuts = cut(ranges(files, split_bytes), "ranges")
+    return _layouts(cuts, max(1, min(cuts.count(), MAX_RANGE_TASKS)))
+
+
 def parse_large(
     files: DataFrame, columns: Sequence[str] = FIELDS, layout: str = ANY, split_bytes: int = SPLIT_BYTES
 ) -> DataFrame | None:
     """Records of files given as rows ``path, length``, opened by the tasks.
 
-    A plain file is cut into byte ranges that are read in parallel if its layout is
-    declared or turns out to be regular; otherwise, and for gzip, one task streams
-    through the file. None when there are no files.
+    A plain file is cut into byte ranges and a blocked gzip file at its members, and the
+    ranges are read in parallel if the layout is declared or turns out to be regular;
+    otherwise, and for any other gzip file, one task streams through the file. None when
+    there are no files.
     """
-    listed = files.select("path", "length", F.lit(layout).alias("layout"))
-    if layout == ANY:
-        if not files.limit(1).count():
-            return None
-        listed = cut(files.select("path", "length").join(layouts(files, split_bytes), "path"), "layouts")
-    step = F.when(F.col("layout") == ANY, F.lit(1 << 62)).otherwise(F.lit(split_bytes)).cast("long")
-    n_ranges = listed.agg(F.sum(F.ceil(F.col("length") / step))).first()[0]
+    if not files.limit(1).count():
+        return None
+    cuts = cut(ranges(files, split_bytes), "ranges")
+    n_ranges = min(cuts.count(), MAX_RANGE_TASKS)
     if not n_ranges:
         return None
-    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)
-    ranges = listed.select("path", F.explode(starts).alias("start"), "layout")
-    ranges = ranges.repartition(min(int(n_ranges), MAX_RANGE_TASKS))
+    laid = cuts.withColumn("layout", F.lit(layout))
+    if layout == ANY:
+        laid = cuts.join(_layouts(cuts, n_ranges), "path")
+    laid = laid.where((F.col("layout") != ANY) | (F.col("start") == 0)).repartition(n_ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                for uri, at, kind in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    for record in _range_records(uri, at, at + split_bytes, kind):
+                for uri, *cut_at in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    for record in _range_records(uri, *cut_at):
                         yield uri, record
 
         yield from _batches(found(), columns)
 
-    return ranges.mapInArrow(run, _ddl(columns))
+    return laid.select("path", "start", "stop", "layout", "kind", "seek", "inside").mapInArrow(run, _ddl(columns))
 
 
 def read_fastx(
