@@ -303,6 +303,7 @@ CASE doc_id % 3 WHEN 0 THEN 'ok' ELSE 'truncated' END AS status FROM ({_DOC_RECO
 UNION ALL SELECT name || 'b', source, 4, md5('acgt'), 4, 'ok' FROM ({_DOC_RECORDS})""",
     "fastx_files": _FASTQ_ROWS,
     "fastx_gzip": _FASTQ_ROWS,
+    "fastx_source": _FASTQ_ROWS,
     "watched_files": _screen(WATCH_SPEC, "'d' || id AS name"),
     "file_extensions": """SELECT page_id, ext AS extension, ext IN ('fastq', 'fq') AS is_read_file FROM (
 SELECT page_id, CASE WHEN length(url) - length(string_split(url, '.')[-1]) > 1 THEN string_split(url, '.')[-1] ELSE '' END

@@ -25,6 +25,7 @@ from readsieve.plans.screen import ScreenSpec, prepare, quarantine, screen
 from readsieve.session import fresh_path
 from readsieve.sources.blocks import write_blocked
 from readsieve.sources.fastx import FOUR_LINE, create, parse, read_fastx, render_fastq
+from readsieve.sources.fastx_source import register
 from readsieve.sources.tables import columns_of, table
 from readsieve.streaming.watch import watch
 
@@ -273,6 +274,13 @@ def fastx_gzip(spark: SparkSession, sf: str) -> DataFrame:
     return _record_columns(read_fastx(spark, files, content_bytes=0, split_bytes=1 << 16))
 
 
+def fastx_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as FASTQ files, read through the registered format."""
+    register(spark)
+    reader = spark.read.format("fastx").option("glob", "*.txt").option("layout", FOUR_LINE).option("splitBytes", 1 << 20)
+    return _record_columns(reader.load(_write_fastq(spark, sf)))
+
+
 # The same for the documents' text and, with it turned to bases, for the files.
 WATCH_SPEC = ScreenSpec(_spec(7), SIZE, filter=FILTER, fp_rate=0.001)
 
@@ -458,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "fastx_damaged": fastx_damaged,
     "fastx_files": fastx_files,
     "fastx_gzip": fastx_gzip,
+    "fastx_source": fastx_source,
     "watched_files": watched_files,
     "file_extensions": file_extensions,
     "event_flags": event_flags,
