@@ -50,10 +50,10 @@ from readsieve.session import cut
 
 CAPACITY = 2_048
 END_ID = 1
-WORDS_KEPT = 750_000  # encoded words that a worker remembers; more are encoded again
+WORDS_KEPT = 1_500_000  # encoded words that a worker remembers; more are encoded again
 LONG_WORD = 64  # bytes; longer words are not remembered
 WORDS_TOGETHER = 20_000
-TEXTS_TOGETHER = 1 << 19  # bytes
+TEXTS_TOGETHER = 1 << 21  # bytes
 IDS_A_BATCH = 1 << 22
 # Full pieces take sequence ids from here on, with room for so many in a task's share.
 FULL_IDS = 1 << 40
