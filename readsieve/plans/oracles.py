@@ -346,4 +346,31 @@ unnest([event_id::VARCHAR, '"' || event_type || '"', {_USER}, {_PROPS}]) AS valu
     "json_escape": f"SELECT doc_id, md5({_escaped('text')}) AS escaped_md5, md5(text) AS back_md5 FROM documents",
     "json_binary": """SELECT doc_id, md5('"' || lower(hex(encode(text))) || '"') AS hex_md5,
 md5('"' || base64(encode(text)) || '"') AS base64_md5 FROM documents""",
+    # each value's start follows from the lengths of what the event's text has before it
+    "json_offsets": f"""SELECT event_id, n.path AS path, n.name AS name, n.type AS type, n.at::BIGINT AS at, n.length::BIGINT AS length
+FROM (SELECT event_id, unnest([
+  {{'path': '.id', 'name': 'id', 'type': 'number', 'at': 7, 'length': a}},
+  {{'path': '.type', 'name': 'type', 'type': 'string', 'at': 18 + a, 'length': b}},
+  {{'path': '.user[0]', 'name': '0', 'type': 'number', 'at': 30 + a + b, 'length': c}},
+  {{'path': '.user[1]', 'name': '1', 'type': 'string', 'at': 33 + a + b + c, 'length': 2 + d}},
+  {{'path': '.user[2].odd', 'name': 'odd', 'type': odd, 'at': 46 + a + b + c + d, 'length': length(odd)}},
+  {{'path': '.user[2]', 'name': '2', 'type': 'object', 'at': 38 + a + b + c + d, 'length': 9 + length(odd)}},
+  {{'path': '.user', 'name': 'user', 'type': 'array', 'at': 29 + a + b, 'length': 19 + c + d + length(odd)}},
+  {{'path': '.props.k', 'name': 'k', 'type': 'number', 'at': 65 + a + b + c + d + length(odd), 'length': length({_K}::VARCHAR)}},
+  {{'path': '.props', 'name': 'props', 'type': 'object', 'at': 59 + a + b + c + d + length(odd), 'length': length(props)}},
+  {{'path': '', 'name': NULL, 'type': 'object', 'at': 0, 'length': 60 + a + b + c + d + length(odd) + length(props)}}
+]) AS n FROM (SELECT *, length(event_id::VARCHAR) AS a, length(event_type) AS b, length(user_id::VARCHAR) AS c,
+length(to_hex(user_id)) AS d, (user_id % 2 = 1)::VARCHAR AS odd FROM events))""",
+    "json_splice": f"""SELECT event_id, start || user_id || hexed || '{{"odd": null}}' || props_at || props || '}}' AS replaced,
+start || user_id || hexed || odd || props_at || left(props, length(props) - 1) || ',"t":{{"u":[1]}}}}}}' AS added,
+start || user_id || hexed || odd || ',' || event_id || props_at || props || '}}' AS appended,
+start || hexed[2:] || odd || props_at || props || '}}' AS removed,
+'{{"id": ' || event_id || ', "user": [' || user_id || hexed || odd || props_at || props || '}}' AS deleted
+FROM (SELECT *, '{{"id": ' || event_id || ', "type": "' || event_type || '", "user": [' AS start,
+', "0x' || lower(to_hex(user_id)) || '", ' AS hexed, '{{"odd": ' || (user_id % 2 = 1) || '}}' AS odd, '], "props": ' AS props_at
+FROM events)""",
+    "json_lenient": f"""SELECT event_id, event_type AS type, {_USER} AS user_json,
+' .id .props .type .user .props.k .user[0] .user[1] .user[2] .user[2].odd' AS paths, '{{"k":7}}' AS changed,
+'{{id: ' || event_id || ', type: "' || event_type || '", user: [' || user_id || ', "0x' || lower(to_hex(user_id)) || '", {{odd: '
+|| (user_id % 2 = 1) || '}}], props: {{k: 7}}}}' AS spliced FROM events""",
 }

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readsieve.functions import files, jsons
+from readsieve.functions import files, json_spans, jsons
 from readsieve.functions.bases import TEXT, reverse_complement, to_bases
 from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
 from readsieve.functions.kmers import kmer_rows, valid_windows
@@ -436,6 +436,38 @@ def json_binary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def json_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    found = _event_json(spark, sf).select("event_id", F.explode(json_spans.spans(F.col("json"))).alias("s"))
+    at, length = F.col("s.at").cast("long"), F.col("s.length").cast("long")
+    return found.select("event_id", "s.path", "s.name", "s.type", at.alias("at"), length.alias("length"))
+
+
+def json_splice(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("json")
+    return _event_json(spark, sf).select(
+        "event_id",
+        json_spans.splice(text, ".user[2].odd", F.lit("null")).alias("replaced"),
+        json_spans.splice(text, ".props.t.u", F.lit("[1]")).alias("added"),
+        json_spans.splice(text, ".user[]", F.col("event_id").cast("string")).alias("appended"),
+        json_spans.splice(text, ".user[0]", None).alias("removed"),
+        json_spans.splice(text, ".type", None).alias("deleted"),
+    )
+
+
+def json_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose keys are bare: scanned, walked, set, and changed in place."""
+    keys = F.regexp_replace(F.col("json"), '"(id|type|user|odd|props|k)":', "$1:")
+    quoted = json_spans.quote_keys(F.col("bare"))
+    return _event_json(spark, sf).select("event_id", keys.alias("bare")).select(
+        "event_id",
+        jsons.scalar(quoted, ".type").alias("type"),
+        jsons.token(quoted, ".user").alias("user_json"),
+        F.array_join(F.transform(jsons.walk(quoted), lambda n: n["path"]), " ").alias("paths"),
+        jsons.set_path(jsons.token(quoted, ".props"), ".k", F.lit("7")).alias("changed"),
+        json_spans.splice(F.col("bare"), ".props.k", F.lit("7")).alias("spliced"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "base_composition": base_composition,
     "reverse_complements": reverse_complements,
@@ -480,4 +512,7 @@ QUERIES: dict[str, Query] = {
     "json_print": json_print,
     "json_escape": json_escape,
     "json_binary": json_binary,
+    "json_offsets": json_offsets,
+    "json_splice": json_splice,
+    "json_lenient": json_lenient,
 }
