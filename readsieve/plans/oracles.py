@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
-from readsieve.plans.queries import FILTER, SCREENS, SIZE, SMALL_FILTER, WATCH_SPEC
+from readsieve.plans.queries import FILTER, LEAST_SHARED, SCREENS, SIZE, SMALL_FILTER, WATCH_SPEC
 from readsieve.plans.screen import ScreenSpec
 
 # The text alphabet, and factor and seed of the filter's hash.
@@ -277,6 +277,17 @@ SELECT id AS doc_id, count(*) AS n_windows, count(*) FILTER (NOT contains(w, 'n'
     "sketch_rows": f"""{_documents(_K7)},
 {_sketch_cte(SIZE)}
 SELECT id AS doc_id, (max(rn) OVER (PARTITION BY id) - rn)::BIGINT AS rank, h::BIGINT AS hash FROM sk""",
+    "sketch_overlaps": f"""{_documents(_K7)},
+{_sketch_cte(SIZE)},
+held AS (SELECT id, md5(string_agg(h::VARCHAR, ',' ORDER BY rn)) AS key FROM sk GROUP BY id),
+named AS (SELECT id, key, min(id) OVER (PARTITION BY key) AS class_id FROM held),
+pairs AS (SELECT a.id, b.id AS other, count(*) AS shared FROM sk a JOIN sk b ON a.h = b.h AND a.id <> b.id
+  GROUP BY ALL HAVING count(*) >= {LEAST_SHARED}),
+met AS (SELECT p.id, p.shared, n.class_id <> m.class_id AS apart, m.class_id AS other_class
+  FROM pairs p JOIN named n ON n.id = p.id JOIN named m ON m.id = p.other)
+SELECT n.id AS doc_id, n.class_id, count(DISTINCT m.other_class) FILTER (m.apart)::BIGINT AS n_classes,
+  count(m.id)::BIGINT AS n_links, max(m.shared) FILTER (m.apart)::BIGINT AS most_shared
+FROM named n LEFT JOIN met m ON m.id = n.id GROUP BY n.id, n.class_id""",
     "sketch_by_source": _by_source(7),
     "sketch_by_source_k15": _by_source(15),
     "whitelist_hashes": f"WITH {_benchmark(_K7)}\nSELECT DISTINCT h::BIGINT AS hash FROM b_emit",

@@ -17,7 +17,7 @@ from readsieve.functions import files, json_spans, jsons
 from readsieve.functions.bases import TEXT, reverse_complement, to_bases
 from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
 from readsieve.functions.kmers import kmer_rows, valid_windows
-from readsieve.operators import bloom, sketch
+from readsieve.operators import bloom, overlap, sketch
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
@@ -30,6 +30,7 @@ from readsieve.sources.tables import columns_of, table
 from readsieve.streaming.watch import watch
 
 SIZE = 128
+LEAST_SHARED = 96
 # Default filter capacity and error rate, and the fixed reference length.
 FILTER = BloomParams.of(100_000, 0.001)
 FIXED_REF_LENGTH = 18_246
@@ -135,6 +136,11 @@ def sketch_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.col("rank").cast("long").alias("rank"), "hash")
 
 
+def sketch_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its class of equal sketches and the number of sketches that share three quarters of theirs or more."""
+    return overlap.links(_sketches(spark, sf, 7, True), LEAST_SHARED, id_col="doc_id")
+
+
 def sketch_by_source(k: int) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         merged = sketch.merge(_sketches(spark, sf, k, True, "source"), _spec(k), SIZE, keys=["source"])
@@ -484,6 +490,7 @@ QUERIES: dict[str, Query] = {
     "sketch_summary_k15": sketch_summary(15, True),
     "sketch_summary_even_k": sketch_summary(8, True),
     "sketch_rows": sketch_rows,
+    "sketch_overlaps": sketch_overlaps,
     "sketch_by_source": sketch_by_source(7),
     "sketch_by_source_k15": sketch_by_source(15),
     "whitelist_hashes": whitelist_hashes,
