@@ -20,7 +20,9 @@ Every row is indexed; recall is measured against brute force in the tests.
 Vectors that are null, empty, zero or hold null or non-finite components take no part.
 Scores are inner products in double precision of the original vectors. Vectors of
 different lengths do not meet: only those of the most common length (the smaller on a
-tie) take part. Rows that repeat a vec_id are one row. Ties go to the smaller vec_id.
+tie) take part. Rows that repeat a vec_id are one row, with the smallest of their vectors (component
+by component, a shorter one before those it begins), which is taken before lengths are counted. Ties go
+to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def usable(rows: DataFrame) -> DataFrame:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     fit = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(~bad & some)
-    return fit.select("vec_id", v.alias("embedding")).dropDuplicates(["vec_id"])
+    return fit.groupBy("vec_id").agg(F.min(v).alias("embedding"))
 
 
 def _of_one_length(rows: DataFrame) -> DataFrame:

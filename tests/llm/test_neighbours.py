@@ -49,6 +49,18 @@ def test_small_tables_are_exact(spark):
     check_exact(answers(found), brute(vectors, 20, 20))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_an_id_of_several_vectors_has_the_smallest(spark, parts):
+    rng = np.random.default_rng(4)
+    single = [(i, rng.normal(size=4).tolist()) for i in range(1, 40)]
+    several = [(20, rng.normal(size=4).tolist()) for _ in range(8)] + [(7, [9.0] * 4), (0, [1.0, 0.0, 0.0, 2.0])]
+    kept = dict(single + several[-1:])
+    kept[20] = min([v for i, v in single + several if i == 20], key=lambda v: np.array(v, np.float32).tolist())
+    kept[7] = min(dict(single)[7], [9.0] * 4)
+    found = neighbours.nearest(table(spark, single + several).repartition(parts), every=20, k=20)
+    check_exact(answers(found), brute(list(kept.items()), 20, 20))
+
+
 def test_few_candidates_and_none(spark):
     vectors = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [-1.0, 0.0])]
     check_exact(answers(neighbours.nearest(table(spark, vectors), 20, 20)), brute(vectors, 20, 20))
