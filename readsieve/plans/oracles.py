@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
-from readsieve.plans.queries import FILTER, LEAST_SHARED, SCREENS, SIZE, SMALL_FILTER, WATCH_SPEC
+from readsieve.plans.queries import FILTER, LEAST_SHARED, SCREENS, SIZE, SMALL_BLOCKED, SMALL_FILTER, WATCH_SPEC
 from readsieve.plans.screen import ScreenSpec
 
 # The text alphabet, and factor and seed of the filter's hash.
@@ -172,6 +172,16 @@ def _member_ctes(asked: str, params: BloomParams) -> str:
     )
 
 
+def _block_bits(source: str) -> str:
+    """``h, block, j, bit``: the one bit of each word j of a hash's block."""
+    keyed = _murmur(f"({_murmur(f'({_keys(source)})', 'b', 'c')})", "c", "d")
+    return (
+        f"SELECT h, (a * 2147483648 + b // 2) % {SMALL_BLOCKED.blocks} AS block, j, "
+        f"((c + ((j * (d | 1)) & {_WORD})) & {_WORD}) >> 26 AS bit "
+        f"FROM (SELECT *, unnest(range(0, 8)) AS j FROM ({keyed}))"
+    )
+
+
 # ---------------------------------------------------------------- containment
 
 
@@ -230,6 +240,7 @@ SELECT source, (max(rn) OVER (PARTITION BY source) - rn)::BIGINT AS rank, h::BIG
 
 
 _K7 = KmerSpec(7, True, "text")
+_K15 = KmerSpec(15, True, "text")
 _EVENT_JSON = (
     """'{"id": ' || event_id || ', "type": "' || event_type || '", "user": [' || user_id || ', "0x' || """
     """lower(to_hex(user_id)) || '", {"odd": ' || (user_id % 2 = 1) || '}], "props": ' || props || '}'"""
@@ -291,6 +302,14 @@ FROM named n LEFT JOIN met m ON m.id = n.id GROUP BY n.id, n.class_id""",
     "sketch_by_source": _by_source(7),
     "sketch_by_source_k15": _by_source(15),
     "whitelist_hashes": f"WITH {_benchmark(_K7)}\nSELECT DISTINCT h::BIGINT AS hash FROM b_emit",
+    "whitelist_grown": f"""WITH {_benchmark(_K15)}
+SELECT h::BIGINT AS hash, min(CASE id % 2 WHEN 0 THEN 1 ELSE 2 END)::BIGINT AS version FROM b_emit GROUP BY h""",
+    "theta_by_source": f"""{_documents(_K15, ", source")},
+{_benchmark(_K15)},
+pairs AS (SELECT DISTINCT source, h FROM d_emit JOIN d_seqs USING (id))
+SELECT source, count(*) AS n_hashes, count(*) FILTER (h IN (SELECT h FROM b_emit)) AS n_shared,
+  true AS count_within, true AS shared_within, true AS either_within, true AS only_within
+FROM pairs GROUP BY source""",
     "bloom_sizing": """WITH cap AS (SELECT source, sum(length(text))::BIGINT AS entries FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN entries >= 1000 THEN -(ln(0.001::DOUBLE) / 0.480453013918201::DOUBLE) END AS bpe FROM cap),
 sized AS (SELECT *, floor(entries::DOUBLE * bpe)::BIGINT AS bits FROM raw)
@@ -302,6 +321,12 @@ SELECT source, entries, round(bpe, 9) AS bpe, bits, ceil(bits::DOUBLE / 8)::BIGI
 SELECT position // 32 AS word, bit_or((1::BIGINT << (position % 32)::INT)) AS bits
 FROM ({_positions("b_emit", FILTER)}) GROUP BY 1""",
     "bloom_members": f"{_documents(_K7)},\n{_benchmark(_K7)},\n{_member_ctes('d_emit', SMALL_FILTER)}\nSELECT h AS hash FROM wl",
+    "bloom_blocked": f"""{_documents(_K7)},
+{_benchmark(_K7)},
+bits AS (SELECT DISTINCT block, j, bit FROM ({_block_bits("b_emit")})),
+asked AS ({_block_bits("d_emit")})
+SELECT h AS hash, h IN (SELECT h FROM b_emit) AS in_whitelist
+FROM asked JOIN bits USING (block, j, bit) GROUP BY h HAVING count(*) = 8""",
     **{name: _screen(spec) for name, spec in SCREENS.items()},
     "quarantined_reads": """SELECT doc_id, length(text) AS seq_len,
 CASE WHEN length(text) <= 7 THEN 'short' ELSE 'no_kmers' END AS status

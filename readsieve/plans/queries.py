@@ -17,12 +17,14 @@ from readsieve.functions import files, json_spans, jsons
 from readsieve.functions.bases import TEXT, reverse_complement, to_bases
 from readsieve.functions.hashing import canonical_kmer, hash64, kmer_code, tag
 from readsieve.functions.kmers import kmer_rows, valid_windows
-from readsieve.operators import bloom, overlap, sketch
+from readsieve.operators import blocked, bloom, overlap, sketch, theta
+from readsieve.operators.blocked import BlockedParams
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare, quarantine, screen
-from readsieve.session import fresh_path
+from readsieve.plans.whitelist import kept
+from readsieve.session import cut, fresh_path
 from readsieve.sources.blocks import write_blocked
 from readsieve.sources.fastx import FOUR_LINE, create, parse, read_fastx, render_fastq
 from readsieve.sources.fastx_source import register
@@ -36,6 +38,7 @@ FILTER = BloomParams.of(100_000, 0.001)
 FIXED_REF_LENGTH = 18_246
 # A filter far too small for the whitelist, so that it does err.
 SMALL_FILTER = BloomParams.of(1_000, 0.05)
+SMALL_BLOCKED = BlockedParams.of(1_000, 0.05)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,6 +158,40 @@ def whitelist_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return sketch.distinct_hashes(_benchmark(spark, sf), _spec(7), seq_col="text")
 
 
+def whitelist_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The whitelist in two parts, the second merged into the kept store of the first: each hash and the version it came with."""
+    path, items = fresh_path(spark, "whitelist"), _benchmark(spark, sf)
+    with kept(spark, path, _spec(15), FILTER) as store:
+        store.grow(items.where("item_id % 2 = 0"), seq_col="text")
+    with kept(spark, path, _spec(15), FILTER) as store:
+        store.grow(items.where("item_id % 2 = 1"), seq_col="text")
+        return cut(store.hashes().select("hash", F.col("version").cast("long").alias("version")), "grown")
+
+
+def theta_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes of each source, those it shares with the whitelist, and whether Theta sketches say the same within their error."""
+    docs = _documents(spark, sf, "source")
+    pairs = cut(sketch.emitted(docs, _spec(15), id_cols=["source"], seq_col="text").distinct(), "pairs")
+    white = cut(sketch.distinct_hashes(_benchmark(spark, sf), _spec(15), seq_col="text"), "white")
+    marked = pairs.join(white.withColumn("held", F.lit(1)), "hash", "left")
+    exact = marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_hashes"), F.count("held").alias("n_shared"))
+    n_white = white.count()
+    other = F.lit(bytes(theta.sketch_of(white, []).first()["theta"]))
+    mine = F.col("theta")
+    found = exact.join(
+        theta.sketch_of(pairs, ["source"]).withColumnRenamed("source", "named"), F.expr("source <=> named")
+    )
+    whole = F.col("n_hashes") + F.lit(n_white) - F.col("n_shared")
+    wanted = {
+        "count_within": (theta.count(mine), F.col("n_hashes"), F.col("n_hashes")),
+        "shared_within": (theta.shared(mine, other), F.col("n_shared"), whole),
+        "either_within": (theta.either(mine, other), whole, whole),
+        "only_within": (theta.only(mine, other), F.col("n_hashes") - F.col("n_shared"), whole),
+    }
+    within = [(F.abs(e - part) <= theta.error(part, all_)).alias(n) for n, (e, part, all_) in wanted.items()]
+    return found.select("source", "n_hashes", "n_shared", *within)
+
+
 # -------------------------------------------------------------- Bloom filters
 
 
@@ -186,6 +223,16 @@ def bloom_members(spark: SparkSession, sf: str) -> DataFrame:
     return bloom.members(asked, words, SMALL_FILTER, 7)
 
 
+def bloom_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes of all documents that a small blocked filter holds, and whether the whitelist really has them."""
+    white = whitelist_hashes(spark, sf)
+    filled = blocked.blocks_of(white, SMALL_BLOCKED, 7)
+    asked = sketch.distinct_hashes(_documents(spark, sf), _spec(7), seq_col="text")
+    found = blocked.members(asked, filled, SMALL_BLOCKED, 7)
+    held = white.select("hash", F.lit(True).alias("held"))
+    return found.join(held, "hash", "left").select("hash", F.coalesce("held", F.lit(False)).alias("in_whitelist"))
+
+
 # ---------------------------------------------------------------- containment
 
 
@@ -493,12 +540,15 @@ QUERIES: dict[str, Query] = {
     "sketch_overlaps": sketch_overlaps,
     "sketch_by_source": sketch_by_source(7),
     "sketch_by_source_k15": sketch_by_source(15),
+    "theta_by_source": theta_by_source,
     "whitelist_hashes": whitelist_hashes,
+    "whitelist_grown": whitelist_grown,
     "bloom_sizing": bloom_sizing,
     "murmur_keys": murmur_keys,
     "bloom_positions": bloom_positions,
     "bloom_words": bloom_words,
     "bloom_members": bloom_members,
+    "bloom_blocked": bloom_blocked,
     **{name: screening(spec) for name, spec in SCREENS.items()},
     "quarantined_reads": quarantined_reads,
     "fastx_records": fastx_records,
