@@ -240,7 +240,6 @@ SELECT source, (max(rn) OVER (PARTITION BY source) - rn)::BIGINT AS rank, h::BIG
 
 
 _K7 = KmerSpec(7, True, "text")
-_K15 = KmerSpec(15, True, "text")
 _EVENT_JSON = (
     """'{"id": ' || event_id || ', "type": "' || event_type || '", "user": [' || user_id || ', "0x' || """
     """lower(to_hex(user_id)) || '", {"odd": ' || (user_id % 2 = 1) || '}], "props": ' || props || '}'"""
@@ -302,10 +301,10 @@ FROM named n LEFT JOIN met m ON m.id = n.id GROUP BY n.id, n.class_id""",
     "sketch_by_source": _by_source(7),
     "sketch_by_source_k15": _by_source(15),
     "whitelist_hashes": f"WITH {_benchmark(_K7)}\nSELECT DISTINCT h::BIGINT AS hash FROM b_emit",
-    "whitelist_grown": f"""WITH {_benchmark(_K15)}
+    "whitelist_grown": f"""WITH {_benchmark(_K7)}
 SELECT h::BIGINT AS hash, min(CASE id % 2 WHEN 0 THEN 1 ELSE 2 END)::BIGINT AS version FROM b_emit GROUP BY h""",
-    "theta_by_source": f"""{_documents(_K15, ", source")},
-{_benchmark(_K15)},
+    "theta_by_source": f"""{_documents(_K7, ", source")},
+{_benchmark(_K7)},
 pairs AS (SELECT DISTINCT source, h FROM d_emit JOIN d_seqs USING (id))
 SELECT source, count(*) AS n_hashes, count(*) FILTER (h IN (SELECT h FROM b_emit)) AS n_shared,
   true AS count_within, true AS shared_within, true AS either_within, true AS only_within

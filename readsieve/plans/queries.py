@@ -39,6 +39,8 @@ FIXED_REF_LENGTH = 18_246
 # A filter far too small for the whitelist, so that it does err.
 SMALL_FILTER = BloomParams.of(1_000, 0.05)
 SMALL_BLOCKED = BlockedParams.of(1_000, 0.05)
+# Sketches smaller than most sources' sets of hashes, so that they estimate.
+THETA_LG = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,9 +163,9 @@ def whitelist_hashes(spark: SparkSession, sf: str) -> DataFrame:
 def whitelist_grown(spark: SparkSession, sf: str) -> DataFrame:
     """The whitelist in two parts, the second merged into the kept store of the first: each hash and the version it came with."""
     path, items = fresh_path(spark, "whitelist"), _benchmark(spark, sf)
-    with kept(spark, path, _spec(15), FILTER) as store:
+    with kept(spark, path, _spec(7), FILTER) as store:
         store.grow(items.where("item_id % 2 = 0"), seq_col="text")
-    with kept(spark, path, _spec(15), FILTER) as store:
+    with kept(spark, path, _spec(7), FILTER) as store:
         store.grow(items.where("item_id % 2 = 1"), seq_col="text")
         return cut(store.hashes().select("hash", F.col("version").cast("long").alias("version")), "grown")
 
@@ -171,24 +173,24 @@ def whitelist_grown(spark: SparkSession, sf: str) -> DataFrame:
 def theta_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes of each source, those it shares with the whitelist, and whether Theta sketches say the same within their error."""
     docs = _documents(spark, sf, "source")
-    pairs = cut(sketch.emitted(docs, _spec(15), id_cols=["source"], seq_col="text").distinct(), "pairs")
-    white = cut(sketch.distinct_hashes(_benchmark(spark, sf), _spec(15), seq_col="text"), "white")
+    pairs = cut(sketch.emitted(docs, _spec(7), id_cols=["source"], seq_col="text").distinct(), "pairs")
+    white = cut(sketch.distinct_hashes(_benchmark(spark, sf), _spec(7), seq_col="text"), "white")
     marked = pairs.join(white.withColumn("held", F.lit(1)), "hash", "left")
     exact = marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_hashes"), F.count("held").alias("n_shared"))
     n_white = white.count()
-    other = F.lit(bytes(theta.sketch_of(white, []).first()["theta"]))
+    other = F.lit(bytes(theta.sketch_of(white, [], lg=THETA_LG).first()["theta"]))
     mine = F.col("theta")
     found = exact.join(
-        theta.sketch_of(pairs, ["source"]).withColumnRenamed("source", "named"), F.expr("source <=> named")
+        theta.sketch_of(pairs, ["source"], lg=THETA_LG).withColumnRenamed("source", "named"), F.expr("source <=> named")
     )
     whole = F.col("n_hashes") + F.lit(n_white) - F.col("n_shared")
     wanted = {
         "count_within": (theta.count(mine), F.col("n_hashes"), F.col("n_hashes")),
         "shared_within": (theta.shared(mine, other), F.col("n_shared"), whole),
-        "either_within": (theta.either(mine, other), whole, whole),
+        "either_within": (theta.either(mine, other, THETA_LG), whole, whole),
         "only_within": (theta.only(mine, other), F.col("n_hashes") - F.col("n_shared"), whole),
     }
-    within = [(F.abs(e - part) <= theta.error(part, all_)).alias(n) for n, (e, part, all_) in wanted.items()]
+    within = [(F.abs(e - part) <= theta.error(part, all_, THETA_LG)).alias(n) for n, (e, part, all_) in wanted.items()]
     return found.select("source", "n_hashes", "n_shared", *within)
 
 
