@@ -340,6 +340,9 @@ UNION ALL SELECT name || 'b', source, 4, md5('acgt'), 4, 'ok' FROM ({_DOC_RECORD
     "fastx_gzip": _FASTQ_ROWS,
     "fastx_source": _FASTQ_ROWS,
     "watched_files": _screen(WATCH_SPEC, "'d' || id AS name"),
+    "watch_metrics": f"""SELECT count(*) AS reads, sum(seq_len)::BIGINT AS bases,
+  count(*) FILTER (intersections > 0) AS hits, (SELECT count(*) FROM documents) - count(*) AS quarantined
+FROM ({_screen(WATCH_SPEC, "id")})""",
     "file_extensions": """SELECT page_id, ext AS extension, ext IN ('fastq', 'fq') AS is_read_file FROM (
 SELECT page_id, CASE WHEN length(url) - length(string_split(url, '.')[-1]) > 1 THEN string_split(url, '.')[-1] ELSE '' END
 AS ext FROM pages)""",

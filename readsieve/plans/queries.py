@@ -29,7 +29,7 @@ from readsieve.sources.blocks import write_blocked
 from readsieve.sources.fastx import FOUR_LINE, create, parse, read_fastx, render_fastq
 from readsieve.sources.fastx_source import register
 from readsieve.sources.tables import columns_of, table
-from readsieve.streaming.watch import watch
+from readsieve.streaming.watch import metrics, watch
 
 SIZE = 128
 LEAST_SHARED = 96
@@ -340,8 +340,8 @@ def fastx_source(spark: SparkSession, sf: str) -> DataFrame:
 WATCH_SPEC = ScreenSpec(_spec(7), SIZE, filter=FILTER, fp_rate=0.001)
 
 
-def watched_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files screened by the directory watch as a stream."""
+def _watched(spark: SparkSession, sf: str) -> str:
+    """The folder of results of a watch that has worked off the documents as FASTQ files."""
     folder = _write_fastq(spark, sf)
     spec = replace(WATCH_SPEC, kmers=KmerSpec(7, True))
     whitelist = _benchmark(spark, sf).select("item_id", to_bases(F.col("text")).alias("seq"))
@@ -358,13 +358,24 @@ def watched_files(spark: SparkSession, sf: str) -> DataFrame:
         drain=True,
     )
     query.awaitTermination()
+    return out
+
+
+def watched_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files screened by the directory watch as a stream."""
     return (
-        spark.read.parquet(out)
+        spark.read.parquet(_watched(spark, sf))
         .drop("file", "record_offset", "batch")
         .withColumn("n_minima", F.col("n_minima").cast("long"))
     )
 
 
+def watch_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the watch counted while it ran, over all batches."""
+    sums = [F.sum(c).alias(c) for c in ("reads", "bases", "hits", "quarantined")]
+    return metrics(spark, _watched(spark, sf)).agg(*sums)
+
+
 # ------------------------------------------------------------ files and events
 
 
@@ -559,6 +570,7 @@ QUERIES: dict[str, Query] = {
     "fastx_gzip": fastx_gzip,
     "fastx_source": fastx_source,
     "watched_files": watched_files,
+    "watch_metrics": watch_metrics,
     "file_extensions": file_extensions,
     "event_flags": event_flags,
     "json_scan": json_scan,

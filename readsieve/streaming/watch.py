@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +20,7 @@ MAX_FILES = 1000
 _ANY_AGE = "36500d"
 _RECORD_COLUMNS = ("file", "record_offset", "name", "seq", "status")
 _ID_COLUMNS = ["file", "record_offset", "name"]
+METRICS = "batch long, files long, bytes long, reads long, bases long, hits long, quarantined long, seconds double"
 
 
 def present_at_start(spark: SparkSession, directory: str, checkpoint: str) -> DataFrame:
@@ -88,6 +91,8 @@ def watch(
     each file part of one batch, and a batch that is repeated after a restart replaces
     its folders, so each file counts exactly once. A batch is an ordinary screening
     run: any whitelist will do, and large files are cut if their ``layout`` is declared.
+    ``out-metrics`` has one row of counters for each batch, in the same kind of folder; reads and
+    quarantined ones are counted while they are written. Empty files count in no batch.
     With ``drain`` the query stops when the files present are done.
     """
     files = new_files(
@@ -96,13 +101,32 @@ def watch(
     base = out.rstrip("/")
 
     def run(batch: DataFrame, number: int) -> None:
+        began = time.monotonic()
+        screened, apart = Observation(), Observation()
         reads = read_batch(batch, layout, content_bytes, split_bytes)
         usable = reads.where(F.col("status") == "ok")
         with scratch(spark):
             results = screen(usable, prepared, spec, id_cols=_ID_COLUMNS)
+            results = results.observe(
+                screened,
+                F.count(F.lit(1)).alias("reads"),
+                F.sum("seq_len").alias("bases"),
+                F.count_if(F.col("intersections") > 0).alias("hits"),
+            )
             results.write.mode("overwrite").parquet(f"{base}/batch={number}")
         left_out = quarantine(reads, spec, id_cols=_ID_COLUMNS, status_col="status")
+        left_out = left_out.observe(apart, F.count(F.lit(1)).alias("quarantined"))
         left_out.write.mode("overwrite").parquet(f"{base}-quarantine/batch={number}")
+        files, size = batch.agg(F.count(F.lit(1)), F.sum("length")).first()
+        got = screened.get
+        row = (number, files, size or 0, got["reads"], got["bases"] or 0, got["hits"], apart.get["quarantined"])
+        metrics = spark.createDataFrame([(*row, time.monotonic() - began)], METRICS).coalesce(1)
+        metrics.write.mode("overwrite").parquet(f"{base}-metrics/batch={number}")
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if drain else writer.start()
+
+
+def metrics(spark: SparkSession, out: str) -> DataFrame:
+    """Counters of every batch that a watch with this ``out`` has finished, over restarts too."""
+    return spark.read.schema(METRICS).parquet(f"{out.rstrip('/')}-metrics/*")

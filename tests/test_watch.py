@@ -6,7 +6,7 @@ import pytest
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare
-from readsieve.streaming.watch import new_files, watch
+from readsieve.streaming.watch import metrics, new_files, watch
 from tests.test_screen import REFERENCES
 
 SPEC = ScreenSpec(KmerSpec(7), 16, filter=BloomParams.of(1000, 0.001))
@@ -121,3 +121,21 @@ def test_large_files_are_cut_by_layout(spark, prepared, folders):
     (source / "large.fastq").write_text("".join(fastq(f"r{i:02}", REFERENCES[0][i : i + 60]) for i in range(30)))
     names = drain(spark, prepared, folders, include_existing=True, layout="four_line", content_bytes=0, split_bytes=400)
     assert names == [f"r{i:02}" for i in range(30)]
+
+
+def test_counters_of_each_batch(spark, prepared, folders):
+    source, out, _ = folders
+    (source / "a.fastq").write_text(fastq("a", REFERENCES[0][:60]) + fastq("tiny", "ACGT"))
+    drain(spark, prepared, folders, include_existing=True)
+    # nothing but reads without a result, then a restart without new files
+    (source / "b.fastq").write_text(fastq("tiny", "ACGT") + fastq("less", "AC"))
+    drain(spark, prepared, folders, include_existing=True)
+    # Spark's file source has no row for an empty file
+    (source / "c.fastq").write_text("")
+    drain(spark, prepared, folders, include_existing=True)
+    drain(spark, prepared, folders, include_existing=True)
+    rows = {r["batch"]: r for r in metrics(spark, out).collect()}
+    assert sorted(rows) == [0, 1, 2]
+    kept = [(r["files"], r["reads"], r["bases"], r["hits"], r["quarantined"]) for _, r in sorted(rows.items())]
+    assert kept == [(1, 1, 60, 1, 1), (1, 0, 0, 0, 2), (0, 0, 0, 0, 0)]
+    assert rows[0]["bytes"] == (source / "a.fastq").stat().st_size and all(r["seconds"] > 0 for r in rows.values())
