@@ -71,13 +71,20 @@ class BlockedParams:
 
 
 def with_block(hashes: DataFrame, params: BlockedParams, k: int) -> DataFrame:
-    """``hash, block, c, d``: the block, and the two numbers that bits are made of (d is odd)."""
+    """``hash, block, c, d``: the block, and the two numbers that bits are made of (d is odd); NULL hashes are left out.
+
+    The numbers are built on a column that can't be NULL: for others Spark infers ``IS NOT NULL`` and pushes
+    it down with the nested hashes written out, 150 KB of plan whose generated code does not compile.
+    """
     length = key_length(k)
-    first, _ = key_hashes(F.col("hash"), k)
-    keys = hashes.select("hash", first.alias("a"))
+    key = F.coalesce(F.col("hash"), F.lit(0).cast("long"))
+    keys = hashes.where("hash IS NOT NULL").select("hash", key.alias("key"))
+    first, _ = key_hashes(F.col("key"), k)
+    keys = keys.select("*", first.alias("a"))
     for seed, name in (("a", "b"), ("b", "c"), ("c", "d")):
-        keys = keys.select("*", murmur2(F.col("hash"), length, F.col(seed)).alias(name))
+        keys = keys.select("*", murmur2(F.col("key"), length, F.col(seed)).alias(name))
     block = (F.shiftleft("a", 31) + F.shiftright("b", 1)) % F.lit(params.blocks).cast("long")
+    block = F.coalesce(block, F.lit(0).cast("long"))
     return keys.select("hash", block.alias("block"), "c", F.col("d").bitwiseOR(F.lit(1)).alias("d"))
 
 
@@ -108,7 +115,7 @@ def members(
     hashes: DataFrame, filled: DataFrame, params: BlockedParams, k: int, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Those of the distinct ``hashes`` whose bits are all set (NULL hashes are not)."""
-    asked = with_block(hashes.where("hash IS NOT NULL"), params, k)
+    asked = with_block(hashes, params, k)
     side = F.broadcast(filled) if params.bytes <= limit else filled
     held = [F.col(n).bitwiseAND(m) != 0 for n, m in zip(_NAMES, _masks())]
     hit = held[0]

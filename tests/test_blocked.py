@@ -53,3 +53,13 @@ def test_union_and_empty(spark):
     assert rows(blocked.union(both, blocked.blocks_of(none, params, 15))) == rows(both)
     assert blocked.members(a, blocked.blocks_of(none, params, 15), params, 15).count() == 0
     assert blocked.members(none, both, params, 15).count() == 0
+
+
+def test_the_plan_stays_small_and_null_hashes_are_left_out(spark):
+    """Filters that Spark infers must not write the nested hashes out."""
+    params = BlockedParams.of(100, 0.01)
+    filled = blocked.blocks_of(of(spark, [1, None, 2]), params, 7)
+    assert filled.where("block IS NULL").count() == 0
+    found = blocked.members(of(spark, [1, None]).distinct(), filled, params, 7)
+    assert [r["hash"] for r in found.collect()] == [1]
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 30_000
