@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from readsieve.session import cut
 from readsieve.sources.blocks import Unblocked, is_blocked, walk
 
-# Files up to this size arrive as one value; larger ones are opened by the task.
-CONTENT_BYTES = 256 << 20
+# Files up to this size arrive as one value, which is held several times over between Spark and
+# the task; larger ones are opened by the task.
+CONTENT_BYTES = 16 << 20
 SPLIT_BYTES = 128 << 20
 MAX_RANGE_TASKS = 100_000
 _BATCH_BYTES = 8 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -61,9 +62,23 @@ def new_files(
     return files
 
 
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, content`` of the files named, whose names are no patterns."""
+    plain = [re.sub(r"([\\{}\[\]*?^])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(plain).select("path", "content")
+
+
 def read_batch(files: DataFrame, layout: str, content_bytes: int, split_bytes: int) -> DataFrame:
-    """Records of the files of one batch: small ones by value, large ones opened by the tasks."""
-    small = parse(files.where(F.col("length") <= content_bytes), _RECORD_COLUMNS, layout)
+    """Records of the files of one batch (rows ``path, length``): small ones by value, large ones opened by the tasks.
+
+    The list of a batch comes without contents, as a batch has no filters that its source could use:
+    it would bring every file whole, large ones too, each time it is looked at. Like the file source
+    itself, the driver names the files of a batch.
+    """
+    spark, found = files.sparkSession, files.where(F.col("length") <= content_bytes)
+    paths = [r["path"] for r in found.select("path").collect()]
+    contents = _contents(spark, paths) if paths else spark.createDataFrame([], "path string, content binary")
+    small = parse(contents, _RECORD_COLUMNS, layout)
     listed = files.where(F.col("length") > content_bytes).select("path", "length")
     large = parse_large(listed, _RECORD_COLUMNS, layout, split_bytes)
     return small if large is None else small.unionByName(large)
@@ -98,6 +113,8 @@ def watch(
     files = new_files(
         spark, directory, checkpoint=checkpoint, include_existing=include_existing, glob=glob, max_files=max_files
     )
+    # without the contents, which each batch reads as it needs them
+    listed = files.select("path", "length")
     base = out.rstrip("/")
 
     def run(batch: DataFrame, number: int) -> None:
@@ -123,7 +140,7 @@ def watch(
         metrics = spark.createDataFrame([(*row, time.monotonic() - began)], METRICS).coalesce(1)
         metrics.write.mode("overwrite").parquet(f"{base}-metrics/batch={number}")
 
-    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = listed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if drain else writer.start()
 
 

@@ -6,6 +6,7 @@ import pytest
 from readsieve.operators.bloom import BloomParams
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare
+from readsieve.streaming import watch as module
 from readsieve.streaming.watch import metrics, new_files, watch
 from tests.test_screen import REFERENCES
 
@@ -139,3 +140,29 @@ def test_counters_of_each_batch(spark, prepared, folders):
     kept = [(r["files"], r["reads"], r["bases"], r["hits"], r["quarantined"]) for _, r in sorted(rows.items())]
     assert kept == [(1, 1, 60, 1, 1), (1, 0, 0, 0, 2), (0, 0, 0, 0, 0)]
     assert rows[0]["bytes"] == (source / "a.fastq").stat().st_size and all(r["seconds"] > 0 for r in rows.values())
+
+
+def test_a_batch_is_listed_without_contents(spark, prepared, folders, monkeypatch):
+    """Large files are never read as one value."""
+    source = folders[0]
+    (source / "a.fastq").write_text(fastq("a", REFERENCES[0][:60]))
+    (source / "large.fastq").write_text("".join(fastq(f"r{i}", REFERENCES[0][i : i + 60]) for i in range(20)))
+    lists = []
+    read = module.read_batch
+    monkeypatch.setattr(module, "read_batch", lambda batch, *rest: (lists.append(batch.columns), read(batch, *rest))[1])
+    # Spark refuses to read longer files whole
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        names = drain(spark, prepared, folders, include_existing=True, content_bytes=500)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert names == sorted(["a", *(f"r{i}" for i in range(20))])
+    assert lists == [["path", "length"]]
+
+
+def test_names_that_look_like_patterns_are_names(spark, folders):
+    for name in ("a[1]{x,y}*.fastq", "a1x.fastq", "b?.fq", "bc.fq"):
+        (folders[0] / name).write_text(name)
+    paths = [f"file:{folders[0]}/{n}" for n in ("a[1]{x,y}*.fastq", "b?.fq")]
+    found = module._contents(spark, paths).collect()
+    assert sorted(bytes(r["content"]).decode() for r in found) == ["a[1]{x,y}*.fastq", "b?.fq"]
