@@ -11,16 +11,36 @@ blocks: one side of the join lies in one of them, the other in all.
 
 **Count.** Where two classes meet, their shared hashes are counted exactly, and the pair is kept at its
 rarest shared hash only. Nothing but pairs that share ``least`` or more leaves the join.
+
+**Dense sketches.** How often classes would meet in the index is counted first. Where that is more than one
+in ``DENSE`` of all pairs, as with short k-mers, classes are dealt over blocks instead and each two blocks are
+compared in one task: minima are counted in ``FOLDS`` folds of the hashes, and the product of two such counts
+is never below the number of shared hashes, so one matrix product leaves only pairs that may be links. Those
+are counted exactly. Both ways find the same pairs; the work of the second grows with the square of the classes.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readsieve.session import cut
 
 BLOCK = 256
+# A meeting in the index costs as much as comparing so many pairs in a matrix product.
+DENSE = 128
+FOLDS = 1024
+# Classes of a block, and those of it that are multiplied at once.
+BLOCK_ROWS = 8192
+_TILE = 512
+_PAIRS_AT_ONCE = 1 << 14
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def classes_of(sketches: DataFrame, *, id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -51,16 +71,17 @@ def _rarest_first(classes: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n_classes", "hash"))).alias("hashes"))
 
 
-def overlapping(classes: DataFrame, least: int) -> DataFrame:
-    """``(key, other, shared)``, both ways round, of classes that share ``least`` hashes or more."""
-    if least < 1:
-        raise ValueError("least must be 1 or more")
-    ordered = _rarest_first(classes).where(F.size("hashes") >= least)
-    indexed = ordered.select(
+def _indexed(ordered: DataFrame, least: int) -> DataFrame:
+    """``(key, minima, at)`` of the hashes of each class that are indexed, ``at`` one of its ``hashes``."""
+    return ordered.select(
         "key",
         F.col("hashes.hash").alias("minima"),
         F.explode(F.slice("hashes", 1, F.size("hashes") - (least - 1))).alias("at"),
     ).where("at.n_classes > 1")
+
+
+def _met(indexed: DataFrame, least: int) -> DataFrame:
+    """Pairs ``(key, other, shared)`` with key < other, by a join on the indexed hashes."""
     blocks = F.ceil(F.col("at.n_classes") / BLOCK).cast("int")
     left = indexed.select(
         F.col("at.hash").alias("hash"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), "key", "minima"
@@ -74,8 +95,101 @@ def overlapping(classes: DataFrame, least: int) -> DataFrame:
     common = F.array_intersect("minima", "others")
     met = left.join(right, ["hash", "block"]).where(F.col("key") < F.col("other"))
     kept = met.where((F.get(common, F.lit(0)) == F.col("hash")) & (F.size(common) >= least))
-    once = kept.select("key", "other", F.size(common).alias("shared"))
-    return once.union(once.select("other", "key", "shared"))
+    return kept.select("key", "other", F.size(common).alias("shared"))
+
+
+def _folded(ranks: np.ndarray, ends: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """How many minima of each row fall into each fold."""
+    n = len(ends) - 1
+    cell = np.repeat(np.arange(n) * FOLDS, np.diff(ends)) + folds[ranks]
+    return np.bincount(cell, minlength=n * FOLDS).astype(np.float32).reshape(n, FOLDS)
+
+
+def _padded(ranks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ranks of each row, and -1 behind the shorter ones."""
+    sizes = np.diff(ends)
+    out = np.full((len(sizes), int(sizes.max())), -1, dtype=np.int32)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ranks)) - np.repeat(ends[:-1], sizes)] = ranks
+    return out
+
+
+def _links_of_blocks(side: np.ndarray, ranks: np.ndarray, ends: np.ndarray, hashes: np.ndarray, least: int, same: bool):
+    """``(row, row, shared)`` arrays of linked rows, of two sides or, if they are the ``same``, of two of one."""
+    left = np.flatnonzero(side == side.min())
+    right = left if same else np.flatnonzero(side != side.min())
+    if not len(right):
+        return
+    counts = _folded(ranks, ends, ((hashes.view(np.uint64) * _GOLDEN) >> np.uint64(54)).astype(np.int64))
+    rows, others = _padded(ranks, ends), counts[right].T.copy()
+    for at in range(0, len(left), _TILE):
+        a, b = np.nonzero(counts[left[at : at + _TILE]] @ others >= least)
+        a, b = left[at + a], right[b]
+        if same:
+            a, b = a[a < b], b[a < b]
+        for start in range(0, len(a), _PAIRS_AT_ONCE):
+            x, y = a[start : start + _PAIRS_AT_ONCE], b[start : start + _PAIRS_AT_ONCE]
+            both = np.sort(np.concatenate((rows[x], rows[y]), axis=1), axis=1)
+            shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1)
+            kept = shared >= least
+            yield x[kept], y[kept], shared[kept]
+
+
+def _compared(classes: DataFrame, n: int, least: int) -> DataFrame:
+    """The same pairs by blocks: ``n`` classes are dealt over blocks, and any two blocks meet in a group of their own."""
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, math.ceil(n / BLOCK_ROWS), min(math.ceil(n / 256), 2 * math.ceil(math.sqrt(cores))))
+    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
+    dealt = classes.select("key", "minima", block.alias("side"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
+    cell = F.least("side", "b") * F.lit(n_blocks) + F.greatest("side", "b")
+    groups = dealt.select("key", "minima", "side", cell.cast("int").alias("cell"))
+
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, keys = group["cell"][0].as_py(), group["key"].combine_chunks()
+        sizes = pc.list_value_length(group["minima"]).to_numpy()
+        hashes, ranks = np.unique(pc.list_flatten(group["minima"]).to_numpy(), return_inverse=True)
+        ends, same = np.append(0, np.cumsum(sizes)), cell // n_blocks == cell % n_blocks
+        for x, y, shared in _links_of_blocks(group["side"].to_numpy(), ranks, ends, hashes, least, same):
+            one, two = keys.take(pa.array(x)), keys.take(pa.array(y))
+            first = pc.less(one, two)
+            pair = [pc.if_else(first, one, two), pc.if_else(first, two, one), pa.array(shared.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(pair, names=["key", "other", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.diff(cells)) + 1
+            for start, end in zip(np.append(0, edges), np.append(edges, batch.num_rows)):
+                part = batch.slice(int(start), int(end - start))
+                if held and held[0]["cell"][0] != part["cell"][0]:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    # the rows of a group follow one another, and its pairs leave as they are found
+    spread = groups.repartition(2 * n_blocks * (n_blocks + 1), "cell").sortWithinPartitions("cell")
+    return spread.mapInArrow(run, "key string, other string, shared int")
+
+
+def overlapping(classes: DataFrame, least: int) -> DataFrame:
+    """``(key, other, shared)``, both ways round, of classes that share ``least`` hashes or more."""
+    if least < 1:
+        raise ValueError("least must be 1 or more")
+    ordered = cut(_rarest_first(classes).where(F.size("hashes") >= least), "ordered")
+    indexed = _indexed(ordered, least)
+    times = indexed.groupBy("at.hash").agg(F.count(F.lit(1)).alias("n"))
+    meetings = times.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    n = ordered.count()
+    if meetings * DENSE > n * (n - 1) / 2:
+        once = _compared(ordered.select("key", F.col("hashes.hash").alias("minima")), n, least)
+    else:
+        once = _met(indexed, least)
+    ways = F.array(F.struct("key", "other"), F.struct(F.col("other").alias("key"), F.col("key").alias("other")))
+    return once.select(F.explode(ways).alias("way"), "shared").select("way.key", "way.other", "shared")
 
 
 def overlaps(sketches: DataFrame, least: int, *, id_col: str) -> DataFrame:

@@ -76,3 +76,22 @@ def test_a_hash_of_all_rows_is_split(spark):
     rows = [(i, [*range(1_000_000 + 20 * i, 1_000_000 + 20 * i + 19), 1]) for i in range(3000)]
     found = overlap.links(table(spark, rows).repartition(8), 2, id_col="doc_id")
     assert found.where("n_links <> 0").count() == 0 and found.count() == 3000
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 40])
+@pytest.mark.parametrize("least", [1, 10, 20])
+def test_index_and_blocks_find_the_same(spark, least, dense, monkeypatch):
+    rows = made(random.Random(least + 5), 20)
+    monkeypatch.setattr(overlap, "DENSE", dense)
+    # so small that some blocks are empty
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 2)
+    assert got(spark, rows, least) == brute(rows, least)
+
+
+def test_dense_sketches_are_compared_in_blocks(spark, monkeypatch):
+    """Where most sketches share rare hashes, no pair of them becomes a row."""
+    rng = random.Random(3)
+    rows = [(i, sorted(rng.sample(range(300), 40), reverse=True)) for i in range(400)]
+    rows += [(400 + i, m[1:]) for i, (_, m) in enumerate(rows[:50])]
+    monkeypatch.setattr(overlap, "_met", None)
+    assert got(spark, rows, 30) == brute(rows, 30)
