@@ -1,7 +1,7 @@
 """JSON by the places of its tokens: where every value stands, and changes in place.
 
-Both work on the text itself, as Catalyst expressions over its tokens, so that what is not
-asked for keeps its order, spelling and spaces. Keys may be bare identifiers
+Both work on the tokens of the text itself, so that what is not asked for keeps its order,
+spelling and spaces. Keys may be bare identifiers
 (``{a: 1}``); ``quote_keys`` makes such text fit for the functions of ``jsons``.
 Text that is no JSON otherwise (hexadecimal numbers, left-out commas, repeated keys)
 gives NULL.
@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readsieve.functions.jsons import quoted, segments, unescape
+from readsieve.functions.jsons import quoted_text, segments, unescape
 
 _STRING = r'"(?:\\.|[^"\\])*+"'
 _TOKEN = rf'\s*+(?:{_STRING}|[{{}}\[\],:]|[^\s{{}}\[\],:"]++)'
@@ -163,153 +164,144 @@ def spans(text: Column, unit: str = "characters") -> Column:
 
 # --------------------------------------------------------------------- splice
 
-# What is known after some tokens. ``m`` parts of the path are matched by the containers that
-# are open; the innermost of these, ``host``, is where a missing part would be added. ``span`` is
-# the value at the path, or one on the way that can't hold the next part.
-_SEEK = (
-    "off:int,prev:string,prev_end:int,depth:int,m:int,n:int,obj:boolean,key:string,key_at:int,is_key:boolean,"
-    "comma:int,host:int,host_end:int,host_empty:boolean,"
-    "span:int,start:int,end:int,pair:int,before:int,after:int,span_depth:int"
-)
+_TOKENS = re.compile(_TOKEN, re.ASCII)
+_ESCAPED = re.compile(r'(?:[^\\]|\\["\\/bfnrt]|\\u00[0-9a-fA-F]{2})*+', re.DOTALL)
+_ESCAPE = re.compile(r"\\(u00[0-9a-fA-F]{2}|.)", re.DOTALL)
+_MEANT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
 
-def _seek_step(acc: Column, token: Column, parts: list[str | int | None]) -> Column:
-    keys = F.array(*[F.lit(p if isinstance(p, str) else None).cast("string") for p in parts])
-    places = F.array(*[F.lit(p if isinstance(p, int) else -1) for p in parts])
+def _key_text(token: str) -> str | None:
+    """What ``_key_of`` makes of a key."""
+    inside = token[1:-1] if token[0] == '"' else token
+    if "\\" not in inside:
+        return inside
+    if not _ESCAPED.fullmatch(inside):
+        return None
+    return _ESCAPE.sub(lambda e: chr(int(e[1][1:], 16)) if len(e[1]) > 1 else _MEANT.get(e[1], e[1]), inside)
 
-    def step(p: Column) -> Column:
-        t, m = p["t"], acc["m"]
-        inside = acc["depth"] == m + 1
-        moved = {"off": p["end"], "prev": t, "prev_end": p["end"]}
-
-        def value(count: Column) -> Column:
-            opening = t.isin("{", "[")
-            whole = count == len(parts)
-            wanted = F.when(F.get(keys, count).isNotNull(), F.lit("{")).otherwise(F.lit("["))
-            enters = (count >= 0) & ~whole & (t == wanted)
-            entered = _record(
-                _SEEK,
-                acc,
-                **moved,
-                depth=acc["depth"] + 1,
-                m=count,
-                n=F.lit(0),
-                obj=t == "{",
-                is_key=t == "{",
-                comma=F.lit(None).cast("int"),
-                host=count,
-            )
-            spanned = _record(
-                _SEEK,
-                acc,
-                **moved,
-                depth=acc["depth"] + opening.cast("int"),
-                span=count,
-                start=p["at"],
-                end=F.when(~opening, p["end"]),
-                pair=F.when(acc["obj"], acc["key_at"]).otherwise(p["at"]),
-                before=acc["comma"],
-                span_depth=acc["depth"],
-            )
-            other = _record(_SEEK, acc, **moved, depth=acc["depth"] + opening.cast("int"))
-            return F.when(enters, entered).when(count >= 0, spanned).otherwise(other).cast(f"struct<{_SEEK}>")
-
-        matches = (
-            F.when(m < 0, F.lit(True))
-            .when(acc["obj"], F.coalesce(acc["key"] == F.get(keys, m), F.lit(False)))
-            .otherwise(acc["n"] == F.get(places, m))
-        )
-        count = F.when(inside & acc["span"].isNull() & matches, m + 1).otherwise(F.lit(-1))
-        last = inside & (acc["host"] == m)
-        closed = _record(
-            _SEEK,
-            acc,
-            **moved,
-            depth=acc["depth"] - 1,
-            m=F.when(inside, m - 1).otherwise(m),
-            n=F.when(inside & (m > 0), F.get(places, m - 1)).otherwise(acc["n"]),
-            obj=F.when(inside & (m > 0), F.get(keys, m - 1).isNotNull()).otherwise(acc["obj"]),
-            is_key=F.lit(False),
-            host_end=F.when(last, acc["prev_end"]).otherwise(acc["host_end"]),
-            host_empty=F.when(last, acc["prev"].isin("{", "[")).otherwise(acc["host_empty"]),
-            end=F.when(acc["end"].isNull() & (acc["depth"] - 1 == acc["span_depth"]), p["end"]).otherwise(acc["end"]),
-        )
-        follows = inside & acc["end"].isNotNull() & acc["after"].isNull() & (acc["span"] == m + 1)
-        comma = _record(
-            _SEEK,
-            acc,
-            **moved,
-            n=F.when(inside, acc["n"] + 1).otherwise(acc["n"]),
-            is_key=F.when(inside, acc["obj"]).otherwise(acc["is_key"]),
-            comma=F.when(inside, p["at"]).otherwise(acc["comma"]),
-            after=F.when(follows, p["at"]).otherwise(acc["after"]),
-        )
-        named = _record(_SEEK, acc, **moved, key=_key_of(t), key_at=p["at"], is_key=F.lit(False))
-        return (
-            F.when(t.isin("}", "]"), closed)
-            .when(t == ",", comma)
-            .when(t == ":", _record(_SEEK, acc, **moved))
-            .when(inside & acc["is_key"], named)
-            .otherwise(_let(count, value))
-            .cast(f"struct<{_SEEK}>")
-        )
 
-    return _let(_placed(token, acc["off"], F.length), step)
+@dataclass
+class _Place:
+    """Where a path leads in a text, by character offsets.
 
+    ``m`` parts of the path are matched by the containers that are open; the innermost of these,
+    ``host``, is where a missing part would be added: before ``host_end``. ``span`` counts the parts
+    that the value from ``start`` to ``end`` is at, or one on the way that can't hold the next part.
+    ``pair`` begins its key, ``before`` and ``after`` are the commas beside it.
+    """
 
-def _wrapped(parts: list[str | int | None], value: Column) -> Column | None:
+    host: int = -1
+    host_end: int = -1
+    host_empty: bool = False
+    span: int = -1
+    start: int = -1
+    end: int = -1
+    pair: int = -1
+    before: int = -1
+    after: int = -1
+
+
+def _place_of(text: str, parts: list[str | int | None]) -> _Place:
+    """One pass over the tokens of a JSON text, which ends where all is known."""
+    found = _Place()
+    depth, m, n, in_object, key, key_at, is_key, comma = 0, -1, 0, False, None, -1, False, -1
+    before_it, before_end = "", 0
+    span_depth = -1
+    for match in _TOKENS.finditer(text):
+        t, end = match[0].lstrip(_SPACE), match.end()
+        at, inside = end - len(t), depth == m + 1
+        if t == "}" or t == "]":
+            depth -= 1
+            is_key = False
+            if inside:
+                if found.host == m:
+                    found.host_end, found.host_empty = before_end, before_it in ("{", "[")
+                m -= 1
+                if m >= 0:
+                    n, in_object = parts[m] if isinstance(parts[m], int) else -1, isinstance(parts[m], str)
+            if found.span >= 0 and found.end < 0 and depth == span_depth:
+                found.end = end
+            elif found.span >= 0 and found.end >= 0 and depth < span_depth:
+                break  # the value's container is closed
+        elif t == ",":
+            if inside:
+                if found.span == m + 1 and found.end >= 0 and found.after < 0:
+                    found.after = at
+                    break
+                n, is_key, comma = n + 1, in_object, at
+        elif t == ":":
+            pass
+        elif inside and is_key:
+            key, key_at, is_key = _key_text(t), at, False
+        else:
+            opens = t == "{" or t == "["
+            there = inside and found.span < 0 and (m < 0 or (key if in_object else n) == parts[m])
+            if there and m < 0:
+                in_object = False
+            if there and m + 1 < len(parts) and t == ("{" if isinstance(parts[m + 1], str) else "["):
+                m += 1
+                n, in_object, is_key, comma, found.host = 0, t == "{", t == "{", -1, m
+            elif there:
+                found.span, found.start, span_depth = m + 1, at, depth
+                found.end = -1 if opens else end
+                found.pair, found.before = key_at if in_object else at, comma
+            depth += opens
+        before_it, before_end = t, end
+    return found
+
+
+def _wrapped(parts: list[str | int | None], value: str) -> str | None:
     """The value inside new objects and arrays; None where an index would be made up."""
     for part in reversed(parts):
         if isinstance(part, int):
             return None
-        if part is None:
-            value = F.concat(F.lit("["), value, F.lit("]"))
-        else:
-            value = F.concat(F.lit("{"), quoted(F.lit(part)), F.lit(":"), value, F.lit("}"))
+        value = f"[{value}]" if part is None else f"{{{quoted_text(part)}:{value}}}"
     return value
 
 
+def _without(text: str, s: _Place) -> str:
+    if s.before >= 0:
+        return text[: s.before] + text[s.end :]
+    return text[: s.pair] + text[s.after + 1 if s.after >= 0 else s.end :]
+
+
+def _with(text: str, parts: list[str | int | None], value: str, s: _Place) -> str:
+    if s.span == len(parts):
+        return text[: s.start] + value + text[s.end :]
+    at = s.host if s.span < 0 else s.span
+    whole = _wrapped(parts[at:], value)
+    if whole is None:
+        return text
+    if s.span >= 0:
+        return text[: s.start] + whole + text[s.end :]
+    # without its outermost brackets, as they are there
+    inner, comma = whole[1:-1], "" if s.host_empty else ","
+    return text[: s.host_end] + comma + inner + text[s.host_end :]
+
+
 def splice(text: Column, path: str, value: Column | None) -> Column:
     """The text with ``value`` (JSON text) at a path, all else letter for letter as it was.
 
     None deletes the place, with one comma. A missing key comes last in its object, ``[]`` last
     in its array; a value that can't hold the next part of the path gives way to one that can. An index that an array
     doesn't have changes nothing. NULL if text or value is NULL or no JSON.
+
+    Spark's variant type tells what is JSON; the place is looked up by Arrow tasks.
     """
     parts = segments(path)
     if not parts:
         raise ValueError("an empty path names no place")
-    known = {"off": 0, "prev_end": 0, "depth": 0, "m": -1, "n": 0, "is_key": False}
-    start = F.struct(*[F.lit(known.get(n)) for n in _fields(_SEEK)]).cast(f"struct<{_SEEK}>")
-
-    def cut(a: Column, new: Column | None, b: Column) -> Column:
-        kept = [F.substr(text, F.lit(1), a), F.substr(text, b + 1)]
-        return F.concat(*kept) if new is None else F.concat(kept[0], new, kept[1])
-
-    def written(s: Column) -> Column:
-        there = s["span"] == len(parts)
-        if value is None:
-            removed = (
-                F.when(s["before"].isNotNull(), cut(s["before"], None, s["end"]))
-                .when(s["after"].isNotNull(), cut(s["pair"], None, s["after"] + 1))
-                .otherwise(cut(s["pair"], None, s["end"]))
-            )
-            return F.when(there, removed).otherwise(text)
-        done = F.when(there, cut(s["start"], value, s["end"]))
-        for j in range(len(parts)):
-            whole = _wrapped(parts[j:], value)
-            if whole is None:
-                continue
-            done = done.when(s["span"] == j, cut(s["start"], whole, s["end"]))
-            inner = _wrapped(parts[j + 1 :], value)
-            if parts[j] is not None:
-                inner = F.concat(quoted(F.lit(parts[j])), F.lit(":"), inner)
-            comma = F.when(s["host_empty"], F.lit("")).otherwise(F.lit(","))
-            here = s["span"].isNull() & (s["host"] == j)
-            done = done.when(here, cut(s["host_end"], F.concat(comma, inner), s["host_end"]))
-        return done.otherwise(text)
-
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
-    found = F.aggregate(tokens, start, lambda acc, tok: _seek_step(acc, tok, parts))
-    fit = is_json(text) if value is None else is_json(text) & F.try_parse_json(value).isNotNull()
-    return F.when(fit, _let(found, written))
+
+    def removed(given: str | None) -> str | None:
+        if given is None:
+            return None
+        place = _place_of(given, parts)
+        return _without(given, place) if place.span == len(parts) else given
+
+    def written(given: str | None, new: str | None) -> str | None:
+        return None if given is None or new is None else _with(given, parts, new, _place_of(given, parts))
+
+    if value is None:
+        return F.udf(removed, "string", useArrow=True)(F.when(is_json(text), text))
+    fit = is_json(text) & F.try_parse_json(value).isNotNull()
+    return F.udf(written, "string", useArrow=True)(F.when(fit, text), value)

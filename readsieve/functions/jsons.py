@@ -295,6 +295,13 @@ def quoted(text: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), escape(text), F.lit('"')), F.lit("null"))
 
 
+def quoted_text(text: str) -> str:
+    """The same of a Python string."""
+    for char, spelled in [*_SPECIALS, *((chr(code), f"\\u{code:04x}") for code in _CONTROLS)]:
+        text = text.replace(char, spelled)
+    return f'"{text}"'
+
+
 def hex_string(data: Column) -> Column:
     """``%H``: quoted lower-case hexadecimal."""
     return F.concat(F.lit('"'), F.lower(F.hex(data)), F.lit('"'))

@@ -24,7 +24,7 @@ from readsieve.operators.containment import kmer_count
 from readsieve.operators.emission import KmerSpec
 from readsieve.plans.screen import ScreenSpec, prepare, quarantine, screen
 from readsieve.plans.whitelist import kept
-from readsieve.session import cut, fresh_path
+from readsieve.session import cut, deal, fresh_path
 from readsieve.sources.blocks import write_blocked
 from readsieve.sources.fastx import FOUR_LINE, create, parse, read_fastx, render_fastq
 from readsieve.sources.fastx_source import register
@@ -58,7 +58,7 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return columns_of(spark, sf, "events", "event_id", *columns)
+    return deal(table(spark, sf, "events").select("event_id", *columns))
 
 
 # ------------------------------------------------------------ bases and k-mers

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,10 +80,28 @@ def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bytes(scan: DataFrame) -> int:
+    return int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 # A scan of more bytes than this is left as it is split.
 SPREAD_BYTES = 256 << 20
 
 
+# What a task gets of rows that each take much work.
+DEAL_BYTES = 1 << 20
+
+
+def deal(scan: DataFrame, part_bytes: int = DEAL_BYTES) -> DataFrame:
+    """Deal out the rows of a scan in small parts, as many as its size asks for.
+
+    For narrow tables with much work on each row. Splits of a file are no measure for that: those without
+    the start of a row group have no rows, so the number of tasks that work would not grow with the input.
+    """
+    parts = max(2 * scan.sparkSession.sparkContext.defaultParallelism, math.ceil(_bytes(scan) / part_bytes))
+    return scan.repartition(parts)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal out the rows of a small scan that has few splits for the session's cores.
 
@@ -91,7 +110,6 @@ def spread(scan: DataFrame) -> DataFrame:
     A large table passes through without a shuffle, whatever its number of splits.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES:
+    if _bytes(scan) > SPREAD_BYTES:
         return scan
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

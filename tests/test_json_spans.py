@@ -162,3 +162,16 @@ def test_long_strings(one):
     text = '{"a":"' + "x\\n" * 200_000 + '",b:1}'
     found = one(json_spans.spans(F.col("j")), text)
     assert [(n.path, n.length) for n in found] == [(".a", 600_000), (".b", 1), ("", len(text))]
+
+
+def test_splice_by_keys_of_many_spellings(one):
+    """Escaped keys, keys that only look alike, and NULL for what is no JSON, from the Arrow tasks too."""
+    text = '{"a\\u0062":{"x":[1,{"k":"}]"}]}, "\\u4e00":2, "一😀":3}'
+    assert one(json_spans.splice(F.col("j"), ".ab.x[1].k", F.lit("0")), text) == text.replace('"}]"', "0")
+    assert one(json_spans.splice(F.col("j"), ".ab.x", None), text) == text.replace('"x":[1,{"k":"}]"}]', "")
+    assert one(json_spans.splice(F.col("j"), ".ab.x[5]", F.lit("0")), text) == text
+    assert one(json_spans.splice(F.col("j"), ".new", F.lit("0")), text) == text[:-1] + ',"new":0}'
+    assert one(json_spans.splice(F.col("j"), ".a", F.lit("0")), '{"a":1') is None
+    # no row-by-row folding over tokens in an expression is left
+    shown = str(json_spans.splice(F.col("j"), ".a", F.lit("0")))
+    assert "aggregate" not in shown

@@ -2,7 +2,7 @@
 
 import threading
 
-from readsieve.session import cut, exists, scratch
+from readsieve.session import cut, deal, exists, scratch
 
 
 def test_overlapping_scratches_keep_apart(spark):
@@ -45,3 +45,15 @@ def test_inner_scratch_leaves_the_outer_one(spark):
             inner = cut(spark.range(5), "inner").inputFiles()[0]
         assert outer.count() == 4 and not exists(spark, inner)
     assert not exists(spark, outer.inputFiles()[0])
+
+
+def test_deal_makes_more_parts_of_more_rows(spark, tmp_path):
+    """One row group is many splits of which one has rows; parts are as many as the size asks for."""
+    counts = []
+    for n in (20_000, 200_000):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / str(n)))
+        dealt = deal(spark.read.parquet(str(tmp_path / str(n))), 4000)
+        sizes = [len(rows) for rows in dealt.rdd.glom().collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * n / len(sizes) + 100
+        counts.append(len(sizes))
+    assert counts[1] > 5 * counts[0]
