@@ -32,6 +32,8 @@ LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 # Inflated bytes of a member that is written; its packed form is always shorter than the limit.
 BLOCK = 0xFF00
+# Packed bytes read at a time; a range may be no longer than a member.
+_AHEAD = 4 * MEMBER_BYTES
 _HEAD = 12  # bytes before the extra fields
 _TAIL = 8  # checksum and unpacked size
 
@@ -64,15 +66,15 @@ def inflate(member: bytes) -> bytes:
 def _members(stream: BinaryIO, at: int) -> Iterator[tuple[int, bytes]]:
     """(offset, member) from a member's start to the file's end, or to what is none."""
     stream.seek(at)
-    held = b""
+    held, begin = b"", 0
     while True:
-        if len(held) < MEMBER_BYTES:
-            held += stream.read((1 << 20) - len(held))
-        size = member_bytes(held)
-        if size is None or size > len(held):
+        if len(held) - begin < MEMBER_BYTES:
+            held, begin = held[begin:] + stream.read(_AHEAD), 0
+        size = member_bytes(held, begin)
+        if size is None or begin + size > len(held):
             return
-        yield at, held[:size]
-        held, at = held[size:], at + size
+        yield at, held[begin : begin + size]
+        begin, at = begin + size, at + size
 
 
 def walk(stream: BinaryIO, start: int, stop: int) -> tuple[int, int, int, bool | None]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readsieve.session import cut
-from readsieve.sources.blocks import Unblocked, is_blocked, walk
+from readsieve.sources.blocks import MEMBER_BYTES, Unblocked, is_blocked, walk
 
 # Files up to this size arrive as one value, which is held several times over between Spark and
 # the task; larger ones are opened by the task.
@@ -38,6 +38,8 @@ MAX_RANGE_TASKS = 100_000
 _BATCH_BYTES = 8 << 20
 _BATCH_ROWS = 10_000
 _READ_BUFFER = 1 << 20
+# What a task reads of the ranges that it is dealt, whose number may be far larger.
+TASK_BYTES = 16 << 20
 
 FIELDS = ("file", "record_offset", "name", "comment", "seq", "qual", "status")
 FILE_SCHEMA = T.StructType(
@@ -265,7 +267,8 @@ def _range_lines(stream: BinaryIO, kind: str, seek: int, start: int, inside: boo
     ``inside`` tells whether that is within a line (of a plain file it is looked up).
     """
     if kind == BLOCKED:
-        opened = io.BufferedReader(Unblocked(stream, seek), _READ_BUFFER)
+        # no more than the members that the range needs
+        opened = io.BufferedReader(Unblocked(stream, seek), MEMBER_BYTES)
         return _Lines(opened, start + (len(opened.readline()) if inside else 0))
     if kind == STREAM:
         return _Lines(_unpacked(stream))
@@ -411,6 +414,19 @@ def _walked(uri: str, at: int, split_bytes: int) -> tuple[int, int, int, bool |
         return walk(stream, at, at + split_bytes)
 
 
+def _tasks(files: DataFrame, split_bytes: int) -> tuple[int, int]:
+    """How many tasks look at the files, and at their ranges.
+
+    A few for each core, or as many as it takes for ``TASK_BYTES`` each: a task of its own for every
+    range would cost more than to read it where ranges are small.
+    """
+    per_core = 4 * files.sparkSession.sparkContext.defaultParallelism
+    found = files.agg(F.sum(F.ceil(F.col("length") / split_bytes)), F.count("*"), F.sum("length")).first()
+    n_ranges, n_files, size = (int(x or 0) for x in found)
+    enough = max(per_core, size // TASK_BYTES)
+    return tuple(max(1, min(n, enough, MAX_RANGE_TASKS)) for n in (n_files, n_ranges))
+
+
 def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The ranges that files given as rows ``path, length`` can be read in, each a row.
 
@@ -419,11 +435,10 @@ def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     step = F.lit(split_bytes).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), step)
-    n = files.agg(F.sum(F.ceil(F.col("length") / split_bytes)), F.count("*")).first()
-    n_files, n_ranges = (min(int(x or 1), MAX_RANGE_TASKS) for x in (n[1], n[0]))
+    n_files, n_ranges = _tasks(files, split_bytes)
     kinds = cut(
         _each(
-            files.select("path", "length").repartition(max(n_files, 1), "path"),
+            files.select("path", "length").repartition(n_files, "path"),
             ["path"],
             _kind_of,
             "path string, length long, kind string",
@@ -439,7 +454,7 @@ def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     blocked = kinds.where(F.col("kind") == BLOCKED).select("path", "length", F.explode(starts).alias("at"))
     index = cut(
         _each(
-            blocked.withColumn("split", step).repartition(max(n_ranges, 1), "path", "at"),
+            blocked.withColumn("split", step).repartition(n_ranges, "path", "at"),
             ["path", "at", "split"],
             _walked,
             "path string, length long, at long, split long, first long, end long, unpacked long, newline boolean",
@@ -497,7 +512,7 @@ def layouts(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     records as read in one go. Any other file is ``any``.
     """
     cuts = cut(ranges(files, split_bytes), "ranges")
-    return _layouts(cuts, max(1, min(cuts.count(), MAX_RANGE_TASKS)))
+    return _layouts(cuts, _tasks(files, split_bytes)[1])
 
 
 def parse_large(
@@ -513,9 +528,7 @@ def parse_large(
     if not files.limit(1).count():
         return None
     cuts = cut(ranges(files, split_bytes), "ranges")
-    n_ranges = min(cuts.count(), MAX_RANGE_TASKS)
-    if not n_ranges:
-        return None
+    n_ranges = _tasks(files, split_bytes)[1]
     laid = cuts.withColumn("layout", F.lit(layout))
     if layout == ANY:
         laid = cuts.join(_layouts(cuts, n_ranges), "path")

@@ -89,3 +89,19 @@ def test_one_file_is_many_tasks(spark, tmp_path):
     (tmp_path / "a.fq.gz").write_bytes(packed(fastq(rng, 200), rng))
     found = read_fastx(spark, str(tmp_path / "a.fq.gz"), content_bytes=0, split_bytes=2000, layout=FOUR_LINE)
     assert found.rdd.getNumPartitions() >= 8 and found.count() == 200
+
+
+def test_many_small_ranges_are_few_tasks(spark, tmp_path):
+    rng = random.Random(11)
+    (tmp_path / "a.fq.gz").write_bytes(packed(fastq(rng, 400), rng))
+    files = spark.createDataFrame([(str(tmp_path / "a.fq.gz"), (tmp_path / "a.fq.gz").stat().st_size)], "path string, length long")
+    found = fastx.parse_large(files, split_bytes=100)
+    assert fastx.ranges(files, 100).count() > 100 > found.rdd.getNumPartitions()
+    assert found.where("status = 'ok'").count() == 400
+    # members are read a few at a time
+    read = []
+    stream = io.BytesIO(b"".join(blocks.pack(rng.randbytes(blocks.BLOCK)) for _ in range(40)))
+    taken = stream.read
+    stream = type("Stream", (), {"seek": stream.seek, "read": lambda self, n: (read.append(n), taken(n))[1]})()
+    next(blocks._members(stream, 0))
+    assert sum(read) < 10 * blocks.MEMBER_BYTES
