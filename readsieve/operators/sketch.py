@@ -23,8 +23,9 @@ from readsieve.operators.emission import (
 SKETCH_SIZE = 128
 # The dedupe table of compat mode holds fewer than this many minima.
 COMPAT_SIZE_LIMIT = 256
-# Sequence bytes handled at a time; a longer row comes alone.
-SLICE_BYTES = 8 << 20
+# Sequence bytes handled at a time; a longer row comes alone. A byte may become a value of 8 bytes,
+# with its row and its ids beside it and several copies on the way.
+SLICE_BYTES = 1 << 20
 # Values held at a time where those of all rows are wanted together.
 VALUES_AT_ONCE = 4 << 20
 
@@ -114,6 +115,30 @@ def emitted(reads: DataFrame, spec: KmerSpec, *, id_cols: Sequence[str], seq_col
     return project(reads, id_cols, seq_col).mapInArrow(run, schema)
 
 
+def grouped_hashes(reads: DataFrame, spec: KmerSpec, *, keys: Sequence[str], seq_col: str = "seq") -> DataFrame:
+    """Distinct hashes of each group of sequences, one row per (group, hash).
+
+    A task reduces the rows of a slice that have the same keys to their distinct hashes at once, so what
+    leaves it, and what it holds, depends on the slice's size and not on how many sequences repeat a hash.
+    """
+    schema = T.StructType(id_fields(reads, keys) + [T.StructField("hash", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            ids = pa.Table.from_batches([batch.select(range(len(keys)))])
+            at = ids.append_column("sketch_row", pa.array(np.arange(batch.num_rows)))
+            groups = at.group_by(list(keys)).aggregate([("sketch_row", "list")])["sketch_row_list"]
+            for group in groups.to_pylist():
+                part = batch.column(len(keys)).take(pa.array(group))
+                codes, offsets = string_codes(part, spec)
+                first = [batch.column(i).slice(group[0], 1) for i in range(len(keys))]
+                for value in _values(codes, offsets, spec):
+                    columns = [c.take(pa.array(np.zeros(len(value), np.int64))) for c in first]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(spec.tagged(value))], names=schema.names)
+
+    return project(reads, keys, seq_col).mapInArrow(run, schema).distinct()
+
+
 def base_counts(
     reads: DataFrame, alphabet: str, *, id_cols: Sequence[str], seq_col: str = "seq"
 ) -> DataFrame:

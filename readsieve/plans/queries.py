@@ -173,7 +173,7 @@ def whitelist_grown(spark: SparkSession, sf: str) -> DataFrame:
 def theta_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes of each source, those it shares with the whitelist, and whether Theta sketches say the same within their error."""
     docs = _documents(spark, sf, "source")
-    pairs = cut(sketch.emitted(docs, _spec(7), id_cols=["source"], seq_col="text").distinct(), "pairs")
+    pairs = cut(sketch.grouped_hashes(docs, _spec(7), keys=["source"], seq_col="text"), "pairs")
     white = cut(sketch.distinct_hashes(_benchmark(spark, sf), _spec(7), seq_col="text"), "white")
     marked = pairs.join(white.withColumn("held", F.lit(1)), "hash", "left")
     exact = marked.groupBy("source").agg(F.count(F.lit(1)).alias("n_hashes"), F.count("held").alias("n_shared"))

@@ -126,3 +126,15 @@ def test_slices_change_nothing(spark, reads, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 70, "", "c" * 250, "g", "t" * 99])], names=["seq"])
     parts = [b.column(0).to_pylist() for b in sketches_module.bounded(iter([batch]))]
     assert [x for p in parts for x in p] == batch.column(0).to_pylist() and len(parts) > 2
+
+
+def test_hashes_of_groups_leave_a_task_once(spark):
+    """Groups are reduced where they are read; null keys and null sequences as in ``emitted``."""
+    rows = [(i % 3 if i % 4 else None, "s" if i % 2 else None, "acgtacgttgca" * (1 + i % 5) + "acgt"[i % 4] * 9) for i in range(300)]
+    reads = spark.createDataFrame([*rows, (7, None, None), (8, "x", "ac")], "a int, b string, seq string").coalesce(1)
+    for compat in (True, False):
+        spec = KmerSpec(7, compat)
+        wanted = emitted(reads, spec, id_cols=["a", "b"]).distinct()
+        found = sketches_module.grouped_hashes(reads, spec, keys=["a", "b"])
+        rows_of = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert found.columns == ["a", "b", "hash"] and rows_of(found) == rows_of(wanted)
