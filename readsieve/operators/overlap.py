@@ -13,33 +13,48 @@ blocks: one side of the join lies in one of them, the other in all.
 rarest shared hash only. Nothing but pairs that share ``least`` or more leaves the join.
 
 **Dense sketches.** How often classes would meet in the index is counted first. Where that is more than one
-in ``DENSE`` of all pairs, as with short k-mers, classes are dealt over blocks instead and each two blocks are
-compared in one task: minima are counted in ``FOLDS`` folds of the hashes, and the product of two such counts
-is never below the number of shared hashes, so one matrix product leaves only pairs that may be links. Those
-are counted exactly. Both ways find the same pairs; the work of the second grows with the square of the classes.
+in ``DENSE`` of all pairs, as with short k-mers, classes are written once, in blocks by their largest hash, and tasks
+read any two blocks from there: nothing is copied for each pair of blocks. Two sketches can share ``least`` hashes only
+if each has so many up to the other's largest one, which leaves out blocks and rows whose hashes lie apart. For the
+rest, hashes are folded to ``FOLDS`` bits, each the parity of those it stands for: two such words differ in no more bits
+than the sketches in hashes, so one count of bits leaves only pairs that may be links. Those are counted exactly. Both
+ways find the same pairs; the work of the second grows with the square of the classes, what it writes with the classes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readsieve.session import cut
+from readsieve.session import cut, qualified, write_shared
 
 BLOCK = 256
-# A meeting in the index costs as much as comparing so many pairs in a matrix product.
+# A meeting in the index costs as much as comparing so many pairs by their bits.
 DENSE = 128
-FOLDS = 1024
-# Classes of a block, and those of it that are multiplied at once.
-BLOCK_ROWS = 8192
-_TILE = 512
-_PAIRS_AT_ONCE = 1 << 14
+# Bits of a folded sketch, in words of 64; pairs are compared by the first words, and those left by the others.
+FOLDS = 256
+_SHIFT = np.uint64(65 - FOLDS.bit_length())
+_FIRST = 3
+# Classes of a block, and their hashes.
+BLOCK_ROWS = 16384
+_BLOCK_HASHES = 1 << 21
+# Rows and columns of the pairs compared at once, and hashes of the pairs counted at once.
+_TILE = 64
+_WIDE = 4096
+_HASHES_AT_ONCE = 1 << 20
+# Pairs that one task compares, and links it holds before they leave.
+_PAIRS_A_TASK = 1 << 30
+_LINKS_HELD = 1 << 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,98 +113,238 @@ def _met(indexed: DataFrame, least: int) -> DataFrame:
     return kept.select("key", "other", F.size(common).alias("shared"))
 
 
-def _folded(ranks: np.ndarray, ends: np.ndarray, folds: np.ndarray) -> np.ndarray:
-    """How many minima of each row fall into each fold."""
-    n = len(ends) - 1
-    cell = np.repeat(np.arange(n) * FOLDS, np.diff(ends)) + folds[ranks]
-    return np.bincount(cell, minlength=n * FOLDS).astype(np.float32).reshape(n, FOLDS)
-
-
-def _padded(ranks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ranks of each row, and -1 behind the shorter ones."""
-    sizes = np.diff(ends)
-    out = np.full((len(sizes), int(sizes.max())), -1, dtype=np.int32)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ranks)) - np.repeat(ends[:-1], sizes)] = ranks
-    return out
-
-
-def _links_of_blocks(side: np.ndarray, ranks: np.ndarray, ends: np.ndarray, hashes: np.ndarray, least: int, same: bool):
-    """``(row, row, shared)`` arrays of linked rows, of two sides or, if they are the ``same``, of two of one."""
-    left = np.flatnonzero(side == side.min())
-    right = left if same else np.flatnonzero(side != side.min())
-    if not len(right):
-        return
-    counts = _folded(ranks, ends, ((hashes.view(np.uint64) * _GOLDEN) >> np.uint64(54)).astype(np.int64))
-    rows, others = _padded(ranks, ends), counts[right].T.copy()
-    for at in range(0, len(left), _TILE):
-        a, b = np.nonzero(counts[left[at : at + _TILE]] @ others >= least)
-        a, b = left[at + a], right[b]
-        if same:
+class _Rows(NamedTuple):
+    """Classes of a block: hashes of a row ascend, its largest is repeated behind; word i of all rows' bits is ``bits[i]``."""
+
+    keys: pa.Array
+    members: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    bits: np.ndarray
+
+
+def _read(path: str, folders: Sequence[int]) -> pa.Table:
+    """The rows of some folders of ``_blocks``."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        files, at = pafs.LocalFileSystem(), "/" + (rest if scheme == "file" else path).lstrip("/")
+    else:
+        files, at = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    named = [f"{at}/block={folder}" for folder in folders]
+    how = {"columns": ["key", "n_members", "minima"], "filesystem": files, "partitioning": None, "use_threads": False}
+    return pa.concat_tables([pq.read_table(folder, **how) for folder in named])
+
+
+def _rows(table: pa.Table) -> _Rows:
+    lists = table["minima"].combine_chunks()
+    sizes, flat = pc.list_value_length(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+    n, width = len(sizes), int(sizes.max())
+    row = np.repeat(np.arange(n), sizes)
+    hashes = np.full((n, width), np.iinfo(np.int64).max)
+    hashes[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    hashes.sort(axis=1)
+    last = hashes[np.arange(n), sizes - 1]
+    hashes = np.where(np.arange(width) < sizes[:, None], hashes, last[:, None])
+    fold = ((flat.view(np.uint64) * _GOLDEN) >> _SHIFT).astype(np.int64)
+    odd = (np.bincount(row * FOLDS + fold, minlength=n * FOLDS) & 1).astype(np.uint8).reshape(n, FOLDS)
+    bits = np.packbits(odd, axis=1).view(np.uint64).T.copy()
+    return _Rows(table["key"].combine_chunks(), table["n_members"].to_numpy(), sizes.astype(np.int64), hashes, bits)
+
+
+def _candidates(left: _Rows, right: _Rows, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows that may be links: as many bits differ as hashes may, or fewer."""
+    kind = np.uint8 if left.sizes.max() + right.sizes.max() - 2 * least < 256 else np.uint16
+    tops, lows = left.hashes[:, -1], right.hashes[:, least - 1]
+    by_top, by_low = np.argsort(tops), np.argsort(lows)
+    lows, bits, others = lows[by_low], right.bits[:, by_low], (right.sizes - least).astype(kind)[by_low]
+    words, ones = np.empty((_TILE, _WIDE), np.uint64), np.empty((_TILE, _WIDE), np.uint8)
+    total, most = np.empty((_TILE, _WIDE), kind), np.empty((_TILE, _WIDE), kind)
+    for at in range(0, len(by_top), _TILE):
+        rows = by_top[at : at + _TILE]
+        mine, spare = left.bits[:, rows], (left.sizes[rows] - least).astype(kind)
+        # beyond these, the sketches of the right side begin too high
+        end = int(np.searchsorted(lows, tops[rows[-1]], side="right"))
+        for start in range(0, end, _WIDE):
+            stop = min(start + _WIDE, end)
+            w, c, t, m = (x[: len(rows), : stop - start] for x in (words, ones, total, most))
+            t[:] = 0
+            for i in range(_FIRST):
+                np.bitwise_xor(mine[i][:, None], bits[i, start:stop], out=w)
+                np.bitwise_count(w, out=c)
+                np.add(t, c, out=t)
+            np.add(spare[:, None], others[start:stop], out=m)
+            x, y = np.nonzero(t <= m)
+            if len(x):
+                rest = np.bitwise_count(mine[_FIRST:, x] ^ bits[_FIRST:, start + y]).sum(axis=0, dtype=np.int64)
+                kept = t[x, y] + rest <= m[x, y]
+                yield rows[x[kept]], by_low[start + y[kept]]
+
+
+def _links(left: _Rows, right: _Rows, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, row, shared)`` arrays of linked rows, of two blocks or, if both are the same, of two of one."""
+    at_once = max(1, _HASHES_AT_ONCE // (left.hashes.shape[1] + right.hashes.shape[1]))
+    for a, b in _candidates(left, right, least):
+        if left is right:
             a, b = a[a < b], b[a < b]
-        for start in range(0, len(a), _PAIRS_AT_ONCE):
-            x, y = a[start : start + _PAIRS_AT_ONCE], b[start : start + _PAIRS_AT_ONCE]
-            both = np.sort(np.concatenate((rows[x], rows[y]), axis=1), axis=1)
-            shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1)
+        for start in range(0, len(a), at_once):
+            x, y = a[start : start + at_once], b[start : start + at_once]
+            both = np.concatenate((left.hashes[x], right.hashes[y]), axis=1)
+            both.sort(axis=1)
+            distinct = 1 + np.count_nonzero(both[:, 1:] != both[:, :-1], axis=1)
+            shared = left.sizes[x] + right.sizes[y] - distinct
             kept = shared >= least
             yield x[kept], y[kept], shared[kept]
 
 
-def _compared(classes: DataFrame, n: int, least: int) -> DataFrame:
-    """The same pairs by blocks: ``n`` classes are dealt over blocks, and any two blocks meet in a group of their own."""
+def _pairs(left: _Rows, rights: Iterator[_Rows], least: int) -> Iterator[pa.RecordBatch]:
+    """``(key, other, shared)`` with key < other."""
+
+    def batch(right: _Rows, held: list) -> pa.RecordBatch:
+        x, y, shared = (np.concatenate(part) for part in zip(*held))
+        one, two = left.keys.take(pa.array(x)), right.keys.take(pa.array(y))
+        first = pc.less(one, two)
+        pair = [pc.if_else(first, one, two), pc.if_else(first, two, one), pa.array(shared.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(pair, names=["key", "other", "shared"])
+
+    for right in rights:
+        held: list = []
+        for link in _links(left, right, least):
+            held.append(link)
+            if sum(len(part[0]) for part in held) >= _LINKS_HELD:
+                yield batch(right, held)
+                held = []
+        if held:
+            yield batch(right, held)
+
+
+def _tallies(left: _Rows, rights: Iterator[_Rows], least: int) -> Iterator[pa.RecordBatch]:
+    """``(key, n_classes, n_others, most_shared)`` of the links of a class with the blocks of a task."""
+
+    def add(tally: np.ndarray, at: np.ndarray, others: np.ndarray, shared: np.ndarray) -> None:
+        np.add.at(tally[0], at, 1)
+        np.add.at(tally[1], at, others)
+        np.maximum.at(tally[2], at, shared)
+
+    def batch(rows: _Rows, tally: np.ndarray) -> pa.RecordBatch:
+        linked = np.flatnonzero(tally[0])
+        columns = [rows.keys.take(pa.array(linked)), *(pa.array(part[linked]) for part in tally)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "n_classes", "n_others", "most_shared"])
+
+    mine = np.zeros((3, len(left.sizes)), np.int64)
+    for right in rights:
+        theirs = mine if right is left else np.zeros((3, len(right.sizes)), np.int64)
+        for x, y, shared in _links(left, right, least):
+            add(mine, x, right.members[y], shared)
+            add(theirs, y, left.members[x], shared)
+        if right is not left:
+            yield batch(right, theirs)
+    yield batch(left, mine)
+
+
+def _blocks(classes: DataFrame, n: int, n_hashes: int, least: int) -> tuple[str, list[tuple[list[int], int, int, int]]]:
+    """Write classes in blocks by their largest hash; the path, and folders, rows, lowest and largest hash of each block.
+
+    The lowest hash is that which the fewest hashes of a sketch reach that it must share.
+    """
     cores = classes.sparkSession.sparkContext.defaultParallelism
-    n_blocks = max(1, math.ceil(n / BLOCK_ROWS), min(math.ceil(n / 256), 2 * math.ceil(math.sqrt(cores))))
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
-    dealt = classes.select("key", "minima", block.alias("side"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"))
-    cell = F.least("side", "b") * F.lit(n_blocks) + F.greatest("side", "b")
-    groups = dealt.select("key", "minima", "side", cell.cast("int").alias("cell"))
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, keys = group["cell"][0].as_py(), group["key"].combine_chunks()
-        sizes = pc.list_value_length(group["minima"]).to_numpy()
-        hashes, ranks = np.unique(pc.list_flatten(group["minima"]).to_numpy(), return_inverse=True)
-        ends, same = np.append(0, np.cumsum(sizes)), cell // n_blocks == cell % n_blocks
-        for x, y, shared in _links_of_blocks(group["side"].to_numpy(), ranks, ends, hashes, least, same):
-            one, two = keys.take(pa.array(x)), keys.take(pa.array(y))
-            first = pc.less(one, two)
-            pair = [pc.if_else(first, one, two), pc.if_else(first, two, one), pa.array(shared.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(pair, names=["key", "other", "shared"])
+    wanted = max(math.ceil(n / BLOCK_ROWS), math.ceil(n_hashes / _BLOCK_HASHES), min(math.ceil(n / 1024), 4 * cores), 1)
+    rising = F.sort_array("minima")
+    low, top = F.element_at(rising, least).alias("low"), F.element_at(rising, -1).alias("top")
+    dealt = classes.select("key", "n_members", "minima", low, top).repartitionByRange(wanted, "top", "key")
+    path = write_shared(dealt.withColumn("block", F.spark_partition_id()), "blocks", by=("block",))
+    written = classes.sparkSession.read.schema("block int, low long, top long").parquet(path)
+    found = written.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("top").alias("top"))
+    blocks: list[tuple[list[int], int, int, int]] = []
+    for folder, rows, low, top in sorted(map(tuple, found.collect())):
+        if blocks and blocks[-1][1] + rows <= math.ceil(n / wanted):
+            folders, held, lowest, highest = blocks.pop()
+            blocks.append(([*folders, folder], held + rows, min(lowest, low), max(highest, top)))
+        else:
+            blocks.append(([folder], rows, low, top))
+    return path, blocks
+
+
+def _compared(
+    classes: DataFrame,
+    n: int,
+    n_hashes: int,
+    least: int,
+    found: Callable[[_Rows, Iterator[_Rows], int], Iterator[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """What ``found`` makes of any two of ``n`` classes that may be links, block by block."""
+    spark = classes.sparkSession
+    written, blocks = _blocks(classes, n, n_hashes, least)
+    path = qualified(spark, written)
+    met = [
+        [j for j in range(i, len(blocks)) if blocks[j][2] <= blocks[i][3] and blocks[i][2] <= blocks[j][3]]
+        for i in range(len(blocks))
+    ]
+    work = [[blocks[i][1] * blocks[j][1] for j in others] for i, others in enumerate(met)]
+    share = min(_PAIRS_A_TASK, sum(map(sum, work)) // (4 * spark.sparkContext.defaultParallelism) + 1)
+    tasks: list[tuple[int, list[int]]] = []
+    for i, others in enumerate(met):
+        parts = np.cumsum(work[i]) // share
+        tasks += [(i, [j for j, at in zip(others, parts) if at == part]) for part in np.unique(parts)]
+    folders = [block[0] for block in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            edges = np.flatnonzero(np.diff(cells)) + 1
-            for start, end in zip(np.append(0, edges), np.append(edges, batch.num_rows)):
-                part = batch.slice(int(start), int(end - start))
-                if held and held[0]["cell"][0] != part["cell"][0]:
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
-                if part.num_rows:
-                    held.append(part)
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for task in chain.from_iterable(batch.column("id").to_pylist() for batch in batches):
+            i, others = tasks[task]
+            left = _rows(_read(path, folders[i]))
+            yield from found(left, (left if j == i else _rows(_read(path, folders[j])) for j in others), least)
 
-    # the rows of a group follow one another, and its pairs leave as they are found
-    spread = groups.repartition(2 * n_blocks * (n_blocks + 1), "cell").sortWithinPartitions("cell")
-    return spread.mapInArrow(run, "key string, other string, shared int")
+    return spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, schema)
 
 
-def overlapping(classes: DataFrame, least: int) -> DataFrame:
-    """``(key, other, shared)``, both ways round, of classes that share ``least`` hashes or more."""
+class _Plan(NamedTuple):
+    """Classes that can be linked, how many, their hashes, and the index of them if that is the shorter way."""
+
+    classes: DataFrame
+    n: int
+    n_hashes: int
+    indexed: DataFrame | None
+
+
+def _planned(classes: DataFrame, least: int) -> _Plan:
     if least < 1:
         raise ValueError("least must be 1 or more")
+    large = classes.where(F.size("minima") >= least)
     ordered = cut(_rarest_first(classes).where(F.size("hashes") >= least), "ordered")
     indexed = _indexed(ordered, least)
     times = indexed.groupBy("at.hash").agg(F.count(F.lit(1)).alias("n"))
     meetings = times.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-    n = ordered.count()
-    if meetings * DENSE > n * (n - 1) / 2:
-        once = _compared(ordered.select("key", F.col("hashes.hash").alias("minima")), n, least)
-    else:
-        once = _met(indexed, least)
+    n, n_hashes = large.agg(F.count(F.lit(1)), F.sum(F.size("minima"))).first()
+    return _Plan(large, n, n_hashes or 0, None if meetings * DENSE > n * (n - 1) / 2 else indexed)
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
     ways = F.array(F.struct("key", "other"), F.struct(F.col("other").alias("key"), F.col("key").alias("other")))
-    return once.select(F.explode(ways).alias("way"), "shared").select("way.key", "way.other", "shared")
+    return pairs.select(F.explode(ways).alias("way"), "shared").select("way.key", "way.other", "shared")
+
+
+def overlapping(classes: DataFrame, least: int) -> DataFrame:
+    """``(key, other, shared)``, both ways round, of classes that share ``least`` hashes or more."""
+    plan = _planned(classes, least)
+    if plan.indexed is not None:
+        return _both_ways(_met(plan.indexed, least))
+    schema = "key string, other string, shared int"
+    return _both_ways(_compared(plan.classes, plan.n, plan.n_hashes, least, _pairs, schema))
+
+
+def _totals(classes: DataFrame, least: int) -> DataFrame:
+    """``(key, n_classes, n_others, most_shared)`` of classes that are linked: other classes, their members, shared hashes."""
+    plan = _planned(classes, least)
+    if plan.indexed is not None:
+        sizes = classes.select(F.col("key").alias("other"), F.col("n_members").alias("others"))
+        met = _both_ways(_met(plan.indexed, least)).join(sizes, "other")
+        parts = met.select("key", F.lit(1).alias("n_classes"), F.col("others").alias("n_others"), F.col("shared").alias("most_shared"))
+    else:
+        schema = "key string, n_classes long, n_others long, most_shared long"
+        parts = _compared(plan.classes, plan.n, plan.n_hashes, least, _tallies, schema)
+    return parts.groupBy("key").agg(
+        F.sum("n_classes").alias("n_classes"), F.sum("n_others").alias("n_others"), F.max("most_shared").alias("most_shared")
+    )
 
 
 def overlaps(sketches: DataFrame, least: int, *, id_col: str) -> DataFrame:
@@ -210,17 +365,12 @@ def links(sketches: DataFrame, least: int, *, id_col: str) -> DataFrame:
     """
     found, members = classes_of(sketches, id_col=id_col)
     classes = cut(found)
-    sizes = classes.select(F.col("key").alias("other"), F.col("n_members").alias("others"))
-    met = overlapping(classes, least).join(sizes, "other")
-    totals = met.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_classes"), F.sum("others").alias("n_others"), F.max("shared").alias("most_shared")
-    )
     copies = F.when(F.size("minima") >= least, F.col("n_members") - 1).otherwise(F.lit(0))
-    counted = classes.join(totals, "key", "left").select(
+    counted = classes.select("key", "class_id", copies.alias("copies")).join(_totals(classes, least), "key", "left").select(
         "key",
         "class_id",
         F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"),
-        (F.coalesce("n_others", F.lit(0)) + copies).cast("long").alias("n_links"),
+        (F.coalesce("n_others", F.lit(0)) + F.col("copies")).cast("long").alias("n_links"),
         F.col("most_shared").cast("long").alias("most_shared"),
     )
     return members.join(counted, "key").select(id_col, "class_id", "n_classes", "n_links", "most_shared")

@@ -68,15 +68,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, *mine)
 
 
-def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs
-    no recomputation of what came before, and later uses share one run. Columns in
-    ``by`` become folders, so that a filter on them reads no others."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, for tasks that open files themselves."""
+    at, files = _path(spark, path)
+    return files.makeQualified(at).toString()
+
+
+def write_shared(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> str:
+    """Write ``df`` to the shared folder, and say where."""
     path = fresh_path(df.sparkSession, name)
     written = _written.get()
     if written is not None:
         written.append(path)
     df.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lost executor costs
+    no recomputation of what came before, and later uses share one run. Columns in
+    ``by`` become folders, so that a filter on them reads no others."""
+    path = write_shared(df, name, by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

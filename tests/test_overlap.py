@@ -1,10 +1,12 @@
 """Links of sketches against all pairs in plain Python."""
 
+import glob
 import random
 
 import pytest
 
 from readsieve.operators import overlap
+from readsieve.session import shared_dir
 
 SCHEMA = "doc_id long, minima array<long>, key string, hash long, class_id long"
 
@@ -95,3 +97,38 @@ def test_dense_sketches_are_compared_in_blocks(spark, monkeypatch):
     rows += [(400 + i, m[1:]) for i, (_, m) in enumerate(rows[:50])]
     monkeypatch.setattr(overlap, "_met", None)
     assert got(spark, rows, 30) == brute(rows, 30)
+
+
+def test_blocks_are_written_once(spark, monkeypatch):
+    """No class is copied for each pair of blocks: what is written grows with the classes."""
+    monkeypatch.setattr(overlap, "DENSE", 1 << 40)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 2)
+    rows = made(random.Random(11), 30)
+    classes = overlap.classes_of(table(spark, rows), id_col="doc_id")[0]
+    before = set(glob.glob(f"{shared_dir(spark)}/*"))
+    pairs = overlap.overlapping(classes, 10)
+    assert "Repartition" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    (path,) = [p for p in set(glob.glob(f"{shared_dir(spark)}/*")) - before if "/blocks-" in p]
+    assert spark.read.parquet(path).count() == len({tuple(m) for _, m in rows if len(m) >= 10})
+    distinct = {tuple(m) for _, m in rows}
+    shared = {(m, n): len({*m} & {*n}) for m in distinct for n in distinct if m != n}
+    assert sorted(r["shared"] for r in pairs.collect()) == sorted(c for c in shared.values() if c >= 10)
+
+
+def test_links_of_blocks_are_counted_where_they_are_found(spark, monkeypatch):
+    """Near copies of one sketch make no row for each pair of them."""
+    monkeypatch.setattr(overlap, "DENSE", 1 << 40)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 16)
+    m = list(range(60, 0, -1))
+    rows = [(i, [1000 + i, *m[:i], *m[i + 1 :]]) for i in range(60)] + [(60, m)] * 2
+    monkeypatch.setattr(overlap, "overlapping", None)
+    assert got(spark, rows, 50) == brute(rows, 50)
+
+
+def test_blocks_of_unlike_sizes(spark, monkeypatch):
+    """Sketches of one hash and of hundreds, hashes at both ends of their range, and none left out by the folded bits."""
+    monkeypatch.setattr(overlap, "DENSE", 1 << 40)
+    rng, ends = random.Random(4), [(1 << 63) - 1, -(1 << 63), 0, -1]
+    rows = [(i, sorted({*rng.sample(range(700), rng.choice([1, 2, 30, 600])), *rng.sample(ends, i % 3)})) for i in range(40)]
+    for least in (1, 3, 400):
+        assert got(spark, rows, least) == brute(rows, least)
