@@ -48,7 +48,8 @@ _FIRST = 3
 # Classes of a block, and their hashes.
 BLOCK_ROWS = 16384
 _BLOCK_HASHES = 1 << 21
-# Rows and columns of the pairs compared at once, and hashes of the pairs counted at once.
+# Rows folded at once, rows and columns of the pairs compared at once, and hashes of the pairs counted at once.
+_FOLDED = 1024
 _TILE = 64
 _WIDE = 4096
 _HASHES_AT_ONCE = 1 << 20
@@ -137,18 +138,22 @@ def _read(path: str, folders: Sequence[int]) -> pa.Table:
 
 def _rows(table: pa.Table) -> _Rows:
     lists = table["minima"].combine_chunks()
-    sizes, flat = pc.list_value_length(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
     n, width = len(sizes), int(sizes.max())
-    row = np.repeat(np.arange(n), sizes)
-    hashes = np.full((n, width), np.iinfo(np.int64).max)
-    hashes[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    hashes.sort(axis=1)
-    last = hashes[np.arange(n), sizes - 1]
-    hashes = np.where(np.arange(width) < sizes[:, None], hashes, last[:, None])
-    fold = ((flat.view(np.uint64) * _GOLDEN) >> _SHIFT).astype(np.int64)
-    odd = (np.bincount(row * FOLDS + fold, minlength=n * FOLDS) & 1).astype(np.uint8).reshape(n, FOLDS)
-    bits = np.packbits(odd, axis=1).view(np.uint64).T.copy()
-    return _Rows(table["key"].combine_chunks(), table["n_members"].to_numpy(), sizes.astype(np.int64), hashes, bits)
+    hashes, bits = np.empty((n, width), np.int64), np.empty((FOLDS // 64, n), np.uint64)
+    for start in range(0, n, _FOLDED):
+        part = sizes[start : start + _FOLDED]
+        flat, row = pc.list_flatten(lists.slice(start, _FOLDED)).to_numpy(), np.repeat(np.arange(len(part)), part)
+        some = hashes[start : start + _FOLDED]
+        some[:] = np.iinfo(np.int64).max
+        some[row, np.arange(len(flat)) - np.repeat(np.cumsum(part) - part, part)] = flat
+        some.sort(axis=1)
+        last = some[np.arange(len(part)), part - 1]
+        np.copyto(some, last[:, None], where=np.arange(width) >= part[:, None])
+        fold = ((flat.view(np.uint64) * _GOLDEN) >> _SHIFT).astype(np.int64)
+        odd = (np.bincount(row * FOLDS + fold, minlength=len(part) * FOLDS) & 1).astype(np.uint8)
+        bits[:, start : start + _FOLDED] = np.packbits(odd.reshape(-1, FOLDS), axis=1).view(np.uint64).T
+    return _Rows(table["key"].combine_chunks(), table["n_members"].to_numpy(), sizes, hashes, bits)
 
 
 def _candidates(left: _Rows, right: _Rows, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
