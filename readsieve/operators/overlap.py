@@ -41,6 +41,8 @@ from readsieve.session import cut, qualified, write_shared
 BLOCK = 256
 # A meeting in the index costs as much as comparing so many pairs by their bits.
 DENSE = 128
+# Up to so many hashes the tasks know the order of all.
+_KNOWN = 1 << 18
 # Bits of a folded sketch, in words of 64; pairs are compared by the first words, and those left by the others.
 FOLDS = 256
 _SHIFT = np.uint64(65 - FOLDS.bit_length())
@@ -72,10 +74,14 @@ def classes_of(sketches: DataFrame, *, id_col: str) -> tuple[DataFrame, DataFram
     return found, rows.select(id_col, "key")
 
 
-def _rarest_first(classes: DataFrame) -> DataFrame:
+def _counts(classes: DataFrame) -> DataFrame:
+    """``(hash, n_classes)`` of every hash."""
+    return cut(classes.select(F.explode("minima").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_classes")))
+
+
+def _rarest_first(classes: DataFrame, counts: DataFrame) -> DataFrame:
     """``(key, hashes)``: ``(n_classes, hash)`` of every hash of a class, in the order of both."""
     pairs = classes.select("key", F.explode("minima").alias("hash"))
-    counts = cut(pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n_classes")))
     total = counts.agg(F.sum("n_classes")).first()[0] or 0
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # at most 4 x tasks hashes are in so many classes
@@ -96,6 +102,29 @@ def _indexed(ordered: DataFrame, least: int) -> DataFrame:
     ).where("at.n_classes > 1")
 
 
+def _indexed_known(classes: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """``(rank, n)``: how many classes the index would have of a hash, by tasks that know the order of all hashes."""
+    known = counts.sort("hash").toArrow()
+    hashes, places = known["hash"].to_numpy(), np.empty(known.num_rows, np.int32)
+    places[np.lexsort((hashes, known["n_classes"].to_numpy()))] = np.arange(known.num_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(hashes), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, _FOLDED):
+                lists = batch.column("minima").slice(start, _FOLDED)
+                sizes, flat = pc.list_value_length(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+                row, ranks = np.repeat(np.arange(len(sizes)), sizes), places[np.searchsorted(hashes, flat)]
+                ranks = ranks[np.lexsort((ranks, row))]
+                behind = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+                total += np.bincount(ranks[behind >= least], minlength=len(hashes))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["rank", "n"])
+
+    found = classes.select("minima").mapInArrow(run, "rank long, n long")
+    return found.groupBy("rank").agg(F.sum("n").alias("n"))
+
+
 def _met(indexed: DataFrame, least: int) -> DataFrame:
     """Pairs ``(key, other, shared)`` with key < other, by a join on the indexed hashes."""
     blocks = F.ceil(F.col("at.n_classes") / BLOCK).cast("int")
@@ -314,13 +343,22 @@ class _Plan(NamedTuple):
 def _planned(classes: DataFrame, least: int) -> _Plan:
     if least < 1:
         raise ValueError("least must be 1 or more")
-    large = classes.where(F.size("minima") >= least)
-    ordered = cut(_rarest_first(classes).where(F.size("hashes") >= least), "ordered")
-    indexed = _indexed(ordered, least)
-    times = indexed.groupBy("at.hash").agg(F.count(F.lit(1)).alias("n"))
-    meetings = times.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    large, counts = classes.where(F.size("minima") >= least), _counts(classes)
     n, n_hashes = large.agg(F.count(F.lit(1)), F.sum(F.size("minima"))).first()
-    return _Plan(large, n, n_hashes or 0, None if meetings * DENSE > n * (n - 1) / 2 else indexed)
+
+    def dense(times: DataFrame) -> bool:
+        meetings = times.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        return meetings * DENSE > n * (n - 1) / 2
+
+    # few hashes are ordered in the tasks, without a row for each hash of a class
+    few = counts.count() <= _KNOWN
+    if few and dense(_indexed_known(large, counts, least)):
+        return _Plan(large, n, n_hashes, None)
+    ordered = cut(_rarest_first(classes, counts).where(F.size("hashes") >= least), "ordered")
+    indexed = _indexed(ordered, least)
+    if not few and dense(indexed.groupBy("at.hash").agg(F.count(F.lit(1)).alias("n"))):
+        return _Plan(large, n, n_hashes, None)
+    return _Plan(large, n, n_hashes or 0, indexed)
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:

@@ -132,3 +132,21 @@ def test_blocks_of_unlike_sizes(spark, monkeypatch):
     rows = [(i, sorted({*rng.sample(range(700), rng.choice([1, 2, 30, 600])), *rng.sample(ends, i % 3)})) for i in range(40)]
     for least in (1, 3, 400):
         assert got(spark, rows, least) == brute(rows, least)
+
+
+@pytest.mark.parametrize("least", [1, 10])
+def test_few_hashes_are_counted_as_the_index_has_them(spark, least, monkeypatch):
+    classes = overlap.classes_of(table(spark, made(random.Random(8), 60)), id_col="doc_id")[0]
+    counts = overlap._counts(classes)
+    ordered = overlap._rarest_first(classes, counts).where(f"size(hashes) >= {least}")
+    rows = overlap._indexed(ordered, least).groupBy("at.hash").count().where("count > 1").collect()
+    large = classes.where(f"size(minima) >= {least}")
+    found = overlap._indexed_known(large, counts, least).where("n > 1").collect()
+    assert sorted(r["count"] for r in rows) == sorted(r["n"] for r in found) and rows
+    # dense sketches of few hashes are planned without a row for each hash of a class, with the same links
+    monkeypatch.setattr(overlap, "DENSE", 1 << 40)
+    monkeypatch.setattr(overlap, "_rarest_first", None)
+    assert overlap._planned(classes, least).indexed is None
+    monkeypatch.undo()
+    monkeypatch.setattr(overlap, "_KNOWN", 0)
+    assert got(spark, made(random.Random(8), 60), least) == brute(made(random.Random(8), 60), least)
