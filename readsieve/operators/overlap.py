@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from readsieve.session import cut, qualified, write_shared
 
 BLOCK = 256
-# A meeting in the index costs as much as comparing so many pairs by their bits.
+# A meeting in the index costs as much as comparing so many pairs by their bits, or more.
 DENSE = 128
 # Up to so many hashes the tasks know the order of all.
 _KNOWN = 1 << 18
